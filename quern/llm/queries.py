@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
+from quern.llm import pii, rules, url_rules
 from quern.sources.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *rules.MEASURES, "base_failed", "kept")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op4.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.col("n_hit")
@@ -22,9 +38,57 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_decontamination": op4_decontamination}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_decontamination": op4_decontamination,
+    "op10_url_filters": op10_url_filters,
+}
 
 ORACLE_SQL = {
+    "op2_quality_rules": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(range(1, len(w) - 3)) AS s(i)),
+twice AS (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM grams JOIN twice USING (r, g), unnest(range(i, i + 5)) AS s(p) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM doc),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM doc LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.25 * n_words AS failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS k FROM f GROUP BY source),
+fit AS (SELECT avg(k / n) AS m, greatest(var_pop(k / n) - avg(k / n * (1 - k / n) / n), 1e-6) AS spread FROM h),
+prior AS (SELECT m, least(greatest(m * (1 - m) / spread - 1, 1.0), 1e4) AS strength FROM fit),
+bad AS (SELECT source FROM h, prior WHERE (k + m * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept
+FROM f
+""",
+    "op10_url_filters": r"""
+WITH url AS (
+  SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
+part AS (
+  SELECT r, page_id, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM url),
+rules(verdict, rule, rhost, rpath) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+fit AS (
+  SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, verdict DESC, rule DESC) AS k
+  FROM part JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict,
+  CASE WHEN regexp_matches(host || path, '^([^/]*\.)?(casino|porn|viagra|xxx)(\.|/|$)|/(casino|porn|viagra|xxx)(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM part LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r)
+""",
     "op4_decontamination": r"""
 WITH bench AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
