@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
-from quern.llm import pii, rules, url_rules
+from quern.llm import packing, pii, rules, token_files, url_rules
+from quern.llm.tokens import encoder
+from quern.sources.scratch import written
 from quern.sources.tables import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -38,6 +47,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    width, size = encoder(path).dtype.itemsize, encoder(path).size
+    tokens = written(token_files.token_table(table(spark, sf_dir, "documents"), path, end_id=1), "tokens")
+    ranks = token_files.id_ranks(tokens, size, width)
+    read = token_files.read_blocks(token_files.write_blocks(tokens, ranks, width), ranks)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, end_id=1, window=2048, with_ids=False)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -46,6 +69,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op7_token_ids": op7_token_ids,
+    "op8_packing": op8_packing,
     "op10_url_filters": op10_url_filters,
 }
 
