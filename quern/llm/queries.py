@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
-from quern.llm import packing, pii, rules, token_files, url_rules
+from quern.llm import minhash, packing, pii, rules, token_files, url_rules
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -47,6 +47,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     width, size = encoder(path).dtype.itemsize, encoder(path).size
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_minhash": op5_minhash,
     "op7_token_ids": op7_token_ids,
     "op8_packing": op8_packing,
     "op10_url_filters": op10_url_filters,
@@ -98,6 +104,21 @@ bad AS (SELECT source FROM h, prior WHERE (k + m * strength) / (n + strength) >
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept
 FROM f
+""",
+    "op5_minhash": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM doc, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh AS a JOIN sh AS b USING (g) GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common AS both_sets JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * both_sets.n >= 85 * (x.n + y.n - both_sets.n)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
 """,
     "op10_url_filters": r"""
 WITH url AS (
