@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
-from quern.llm import minhash, packing, pii, rules, token_files, url_rules
+from quern.llm import minhash, packing, passages, pii, rules, token_files, url_rules
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -66,6 +66,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, end_id=1, window=2048, with_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op7_token_ids": op7_token_ids,
     "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -119,6 +124,18 @@ reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN lin
 comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
+""",
+    "op9_substring_dedup": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM doc, unnest(range(1, len(w) - 33)) AS s(i)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM win JOIN twice USING (g), unnest(range(i, i + 35)) AS s(p)),
+word AS (SELECT r, p, w[p] AS x FROM doc, unnest(range(1, len(w) + 1)) AS s(p)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
 """,
     "op10_url_filters": r"""
 WITH url AS (
