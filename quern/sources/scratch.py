@@ -39,5 +39,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, survives lost executors and gives later joins the real size of the table.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
