@@ -25,7 +25,7 @@ from quern.sources.scratch import written
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
 #: Bytes of ids in a shard.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 
 
 def encode_ids(values: np.ndarray) -> tuple[bytes, bytes]:
