@@ -54,6 +54,7 @@ class Words:
     first: int
     hashes: np.ndarray
     ends: np.ndarray
+    prefixes: np.ndarray | None = None
 
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
@@ -71,21 +72,24 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
-    """Words of consecutive texts, some at a time. ``fold``: A-Z count as a-z."""
+def word_hashes(texts: pa.Array, fold: bool = False, separators: np.ndarray = _SPACE, prefix: int = 0) -> Iterator[Words]:
+    """Words of consecutive texts, some at a time.
+
+    ``fold``: A-Z count as a-z. ``separators``: which bytes part words. ``prefix``: also hash so many first bytes.
+    """
     if not len(texts):
         return
     data, offsets = text_buffer(texts)
     low, n = 0, len(offsets) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, side="right")) - 1)
-        yield _words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], low, _FOLDED if fold else _BYTES)
+        yield _words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], low, _FOLDED if fold else _BYTES, separators, prefix)
         low = high
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray, separators: np.ndarray, prefix: int) -> Words:
     ends_of_texts = offsets[1:]
-    word = ~_SPACE[data]
+    word = ~separators[data]
     begins, stops = word.copy(), word.copy()
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
@@ -97,11 +101,15 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray)
     starts = np.flatnonzero(begins)
     lengths = np.flatnonzero(stops) + 1 - starts
     if not len(starts):
-        return Words(first, np.empty(0, np.uint64), np.zeros(len(ends_of_texts), np.int64))
+        none = np.empty(0, np.uint64)
+        return Words(first, none, np.zeros(len(ends_of_texts), np.int64), none if prefix else None)
     at = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     values = table[data[word]] * powers(int(lengths.max()))[place]
-    return Words(first, mixed(np.add.reduceat(values, at)), np.searchsorted(starts, ends_of_texts))
+    found = Words(first, mixed(np.add.reduceat(values, at)), np.searchsorted(starts, ends_of_texts))
+    if prefix:
+        found.prefixes = mixed(np.add.reduceat(np.where(place < prefix, values, np.uint64(0)), at) ^ np.uint64(0x2545F4914F6CDD1D))
+    return found
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
