@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
+from quern.llm import conversations as chat
 from quern.llm import minhash, packing, passages, pii, rules, token_files, toxicity, url_rules
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
@@ -59,6 +64,32 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        for batch in batches:
+            rows = []
+            for whole in batch.column(1).to_pylist():
+                turns = chat.read_back(whole)
+                loss = "".join(text for _, text, low, high in turns if high > low)
+                rows.append((len(turns), sha("".join(f"{role}\n{text}\n" for role, text, _, _ in turns)), len(loss), sha(loss), len(whole)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
+
+    made = chat.format_branches(chat.linear_trees(turns))
+    return made.select(F.col("conv").alias("conv_id"), "conversation").mapInArrow(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
     width, size = encoder(path).dtype.itemsize, encoder(path).size
@@ -87,6 +118,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_minhash": op5_minhash,
+    "op6_chat_format": op6_chat_format,
     "op7_token_ids": op7_token_ids,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
@@ -132,6 +164,18 @@ reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN lin
 comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
+""",
+    "op6_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' THEN 8 ELSE 14 END + length(role) +
+    length(regexp_replace(text, '(</?|\[/?)(\\*)(s>|INST\])', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
 """,
     "op9_substring_dedup": r"""
 WITH doc AS (
