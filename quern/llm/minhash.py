@@ -8,8 +8,8 @@ number of bands is such that a pair at the threshold shares none with a probabil
 Within a band's bucket not all pairs are formed. The member whose buckets are fullest is the centre; every other is
 paired with it. Pairs whose similarity, estimated from equal bits and corrected for chance, is near enough the
 threshold are confirmed on their sets. Members whose component differs from their centre's are then paired with all
-members of the bucket in other components, again behind sizes and the estimate, so that no link between components
-is lost to the choice of centres.
+members of the bucket in other components, again behind sizes and the estimate, and behind a bound from what both
+share with the centre, so that no link between components is lost to the choice of centres.
 
 Null texts have an empty set. Rows of equal doc_id are separate. The smallest doc_id of a component names it; null
 is larger than any. Of rows with that doc_id the first read stays. Columns not named are ignored.
@@ -36,6 +36,10 @@ BITS = 2
 MARGIN = 6.0
 #: Shingles hashed at once.
 BLOCK = 1024
+#: 64-bit words of the bitmap of what a set has beside its centre's.
+OWN_WORDS = 8
+#: Rows of 24 bytes in one broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def band_count(threshold: float) -> int:
@@ -110,9 +114,11 @@ def signatures(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
 
 def estimate(a: Column, b: Column, n: int) -> Column:
     """Similarity from ``n`` pairs of bits: the share of equal ones, less those equal by chance."""
-    both = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
     mask = 0x5555555555555555
-    unequal = F.aggregate(both, F.lit(0), lambda s, x: s + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(mask))))
+    unequal = F.lit(0)
+    for k in range(-(-n // 32)):
+        x = F.get(a, k).bitwiseXOR(F.get(b, k))
+        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
     chance = 1 / 2**BITS
     return ((1 - unequal / F.lit(float(n))) - chance) / (1 - chance)
 
@@ -123,36 +129,62 @@ def least_estimate(threshold: float, n: int) -> float:
     return threshold - MARGIN * math.sqrt(share * (1 - share) / n) / (1 - chance)
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows of ``nodes``) whose sets are similar enough.
+def measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Each of ``pairs`` (a, b: rows of ``nodes``) with n_a, n_b, both (sizes of the sets and of what they share) and own (bits of what only a has).
 
     Texts come from ``docs`` by doc_id and hash of the text.
     """
     wanted = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(nodes.select("row", "doc_id", "text_hash"), "row"), "wanted")
+    few = wanted.count()
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    found = written(wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("row", "text"), "texts")
-    if found.count() > wanted.count():  # docs has repeated rows
+    side = F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted
+    found = written(texts.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("row", "text"), "texts")
+    if found.count() > few:  # docs has repeated rows
         found = written(found.dropDuplicates(["row"]), "texts")
     left = found.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = found.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            sizes, own = [], []
             sides = [[s for w in word_hashes(batch.column(k), fold=True) for s in _sets(w, shingle)] for k in (2, 3)]
             for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                alone = np.setdiff1d(x, y, assume_unique=True)
+                bits = np.zeros(OWN_WORDS * 64, np.uint8)
+                bits[alone & np.uint64(OWN_WORDS * 64 - 1)] = 1
+                sizes.append((len(x), len(y), len(x) - len(alone)))
+                own.append(np.packbits(bits, bitorder="little").view("<i8"))
+            columns = list(zip(*sizes, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns), pa.array(own, pa.list_(pa.int64()))], names=["a", "b", "n_a", "n_b", "both", "own"]
+            )
 
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, both long, own array<long>")
 
 
 def _sets(words, shingle: int) -> list[np.ndarray]:
     return [shingles(words.hashes[a:b], shingle) for a, b in zip(words.starts().tolist(), words.ends.tolist(), strict=True)]
 
 
+def similar(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return (both > 0) & (100 * both >= percent * (n_a + n_b - both))
+
+
+def most_shared(x: Column, y: Column) -> Column:
+    """A bound on what two sets share that are both measured against one centre (size, both, own).
+
+    Of the centre they share no more than either has of it; beside it, no more than either has, nor than their
+    bits have in common and bits that stand for more than one could add.
+    """
+    common, ones_x, ones_y = F.lit(0), F.lit(0), F.lit(0)
+    for k in range(OWN_WORDS):
+        p, q = F.get(x["own"], k), F.get(y["own"], k)
+        common, ones_x, ones_y = common + F.bit_count(p.bitwiseAND(q)), ones_x + F.bit_count(p), ones_y + F.bit_count(q)
+    own_x, own_y = x["size"] - x["both"], y["size"] - y["both"]
+    return F.least(x["both"], y["both"]) + F.least(own_x, own_y, common + F.least(own_x - ones_x, own_y - ones_y))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept for every row of ``docs``."""
     threshold = percent / 100
@@ -173,35 +205,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = nodes.select("row", "sig", F.col("n_shingles").alias("size"))
     near = lambda x, y: (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])) & (estimate(x["sig"], y["sig"], n) >= least_estimate(threshold, n))
     one, two = (sig.select(F.col("row").alias(k), F.struct("sig", "size").alias(f"s{k}")) for k in "ab")
-    first = written(
-        starred.select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct().join(one, "a").join(two, "b").where(near(F.col("sa"), F.col("sb"))).select("a", "b"),
-        "candidates",
-    )
-    links = written(confirmed(docs, nodes, first, shingle, percent), "links")
+    stars = starred.select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
+    first = written(stars.join(one, "a").join(two, "b").where(near(F.col("sa"), F.col("sb"))).select("a", "b"), "candidates")
+    held = written(measured(docs, nodes, first, shingle), "measured")
+    linked = similar(F.col("both"), F.col("n_a"), F.col("n_b"), percent)
+    links = written(held.where(linked).select("a", "b"), "links")
     parts = components(links)
     # whoever is still apart from its centre meets the rest of the bucket
     home = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"{k}_part"))
-    placed = starred.join(home("row"), "row", "left").join(home("centre"), "centre", "left")
-    apart = written(
-        placed.select("key", "row", F.coalesce("row_part", "row").alias("part"), F.coalesce("centre_part", "centre").alias("other")).where(F.col("part") != F.col("other")).select("key", "row", "part").join(sig, "row"),
-        "apart",
+    placed = written(
+        starred.join(home("row"), "row", "left").join(home("centre"), "centre", "left").select(
+            "key", "row", "centre", F.coalesce("row_part", "row").alias("part"), F.coalesce("centre_part", "centre").alias("other")
+        ),
+        "placed",
     )
-    rest = (
-        shared.select("key", F.col("row").alias("b")).join(apart.select("key").distinct(), "key", "left_semi")
-        .join(home("b"), "b", "left")
-        .join(two, "b")
-        .select("key", "b", F.coalesce("b_part", "b").alias("b_part"), "sb")
+    open_keys = written(placed.where(F.col("part") != F.col("other")).select("key").distinct(), "open")
+    about = held.select(F.col("a").alias("row"), F.col("b").alias("centre"), "both", "own")
+    rest = written(
+        placed.join(open_keys, "key", "left_semi")
+        .join(about, ["row", "centre"], "left")
+        .join(sig, "row")
+        .select("key", "row", "part", (F.col("part") != F.col("other")).alias("apart"), F.struct("sig", "size", "both", "own").alias("s")),
+        "members",
     )
+    x, y = F.col("sa"), F.col("sb")
+    shared_most = most_shared(x, y)
+    possible = x["both"].isNull() | y["both"].isNull() | similar(shared_most, x["size"], y["size"], percent)
     pairs = (
-        apart.withColumn("sa", F.struct("sig", "size"))
-        .join(rest, "key")
-        .where((F.col("part") != F.col("b_part")) & near(F.col("sa"), F.col("sb")))
-        .select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b"))
+        rest.where("apart").select("key", F.col("row").alias("a"), F.col("part").alias("part_a"), F.col("s").alias("sa"))
+        .join(rest.select("key", F.col("row").alias("b"), F.col("part").alias("part_b"), F.col("apart").alias("apart_b"), F.col("s").alias("sb")), "key")
+        .where((F.col("part_a") != F.col("part_b")) & (~F.col("apart_b") | (F.col("a") < F.col("b"))) & possible & near(x, y))
+        .select("a", "b")
         .distinct()
     )
-    second = written(pairs.join(first, ["a", "b"], "left_anti"), "more-candidates")
+    second = written(pairs, "more-candidates")
     if not second.isEmpty():
-        links = links.unionByName(written(confirmed(docs, nodes, second, shingle, percent), "more-links"))
+        more = measured(docs, nodes, second, shingle).where(linked).select("a", "b")
+        links = links.unionByName(written(more, "more-links"))
         parts = components(links)
     classes = grouped.join(parts, F.col("row") == F.col("node"), "left").select("set_hash", F.coalesce("component", "row").alias("component"))
     sized = rows.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
