@@ -8,6 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quern.functions import text as T
 
@@ -30,18 +31,18 @@ def _rounded(x: float) -> float:
     return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = [(Counter(x.split()), Counter(y.split())) for x, y in zip(a, b, strict=True)]
     return pd.Series([_f1(x, y) if x or y else 1.0 for x, y in pairs], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gram_f1(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_f1(_grams(x, k), _grams(y, k)) if x and y else float(x == y) for x, y, k in zip(a, b, n, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chrf(a: pd.Series, b: pd.Series, most: pd.Series, beta: pd.Series) -> pd.Series:
     def one(x: str, y: str, most: int, square: float) -> float:
         if not x or not y:
@@ -85,7 +86,7 @@ def _longest_common(x: list[str], y: list[str]) -> int:
     return len(x) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rouge(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(p: str, r: str) -> float:
         x, y = p.split(), r.split()

@@ -32,7 +32,7 @@ def _advance(state: tuple, events: list[tuple[float, bool]], failures: int, cool
 
 
 def _prepared(events: DataFrame) -> DataFrame:
-    return events.select("user_id", F.unix_micros("ts").alias("us"), "event_id", (F.col("event_type") == "error").alias("failed"))
+    return events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", (F.col("event_type") == "error").alias("failed"))
 
 
 def _ordered(pdf: pd.DataFrame) -> list[tuple[float, bool]]:
@@ -43,12 +43,11 @@ def _ordered(pdf: pd.DataFrame) -> list[tuple[float, bool]]:
 def replay(events: DataFrame, failures: int, cooldown_s: float) -> DataFrame:
     """user_id, n_events, n_open and n_rejected of a batch in order of time."""
 
-    def run(key: tuple[Any], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts))
+    def run(key: tuple[Any], pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, n, n_open, rejected = _advance((0, -1.0, 0, 0, 0), _ordered(pdf), failures, cooldown_s)
-        yield pd.DataFrame([(key[0], n, n_open, rejected)], columns=["user_id", "n_events", "n_open", "n_rejected"])
+        return pd.DataFrame([(key[0], n, n_open, rejected)], columns=["user_id", "n_events", "n_open", "n_rejected"])
 
-    return _prepared(events).groupBy("user_id").applyInPandas(lambda key, pdf: next(run(key, iter([pdf]))), SCHEMA)
+    return _prepared(events).groupBy("user_id").applyInPandas(run, SCHEMA)
 
 
 def stream(events: DataFrame, failures: int, cooldown_s: float) -> DataFrame:
