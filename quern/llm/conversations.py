@@ -76,19 +76,26 @@ def segments(nodes: DataFrame) -> DataFrame:
         F.when(F.col("siblings") == 1, F.col("parent")).otherwise(F.col("node")).alias("head"),
         F.when(F.col("siblings") == 1, 1).otherwise(0).cast("long").alias("place"),
     )
-    state = written(start, "segments")
+    # Only messages whose head may still move join again; those that are settled stay as they are.
+    settled, open_ = [], written(start, "segments")
     while True:
-        jump = state.select(F.col("conv").alias("c"), F.col("node").alias("of"), F.col("head").alias("further"), F.col("place").alias("more"))
-        state = written(
-            state.join(jump, same("conv", "c") & (F.col("head") == F.col("of"))).select(
+        known = open_
+        for done in settled:
+            known = known.unionByName(done)
+        jump = known.select(F.col("conv").alias("c"), F.col("node").alias("of"), F.col("head").alias("further"), F.col("place").alias("more"))
+        moved = written(
+            open_.join(jump, same("conv", "c") & (F.col("head") == F.col("of"))).select(
                 *counted.columns, "above", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"), (F.col("more") > 0).alias("moved")
             ),
             "segments",
         )
-        moved = state.where("moved").limit(1).count()
-        state = state.drop("moved")
-        if not moved:
-            return state
+        settled.append(moved.where(~F.col("moved")).drop("moved"))
+        open_ = moved.where("moved").drop("moved")
+        if open_.isEmpty():
+            state = settled[0]
+            for done in settled[1:]:
+                state = state.unionByName(done)
+            return written(state, "segments")
 
 
 def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
