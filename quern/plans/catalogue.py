@@ -135,7 +135,7 @@ def anchor_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.integrity(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
+    return corpus.integrity(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id")
 
 
 def full_outer_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +334,7 @@ def session_title(spark: SparkSession, d: str) -> DataFrame:
 
 def title_search(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
-    return parts.where(F.contains(F.lower("p_name"), F.lit("part"))).orderBy(F.desc("p_retailprice"), "p_partkey").offset(5).limit(20).select("p_partkey", "p_name")
+    return parts.where(F.contains(F.lower("p_name"), F.lit("g"))).orderBy(F.desc("p_retailprice"), "p_partkey").offset(5).limit(20).select("p_partkey", "p_name")
 
 
 def admin_facet(spark: SparkSession, d: str) -> DataFrame:

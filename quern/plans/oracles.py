@@ -149,8 +149,8 @@ SELECT query_id, round(avg((label = q_label)::INT), 6) AS precision_at_10, min(r
 JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderkey = s.l_orderkey AND abs(n.l_linenumber - s.l_linenumber) <= 1""",
     "exact_ref_lane": f"WITH {_BOTH} SELECT query_id, doc_id, rank FROM lexical SEMI JOIN exact USING (query_id, doc_id)",
     "anchor_containment": f"WITH {_GOLD} SELECT DISTINCT query_id, doc_id FROM gold",
-    "join_integrity": """SELECT DISTINCT o_custkey AS key, 'left_only' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT DISTINCT c_custkey, 'right_only' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    "join_integrity": """SELECT DISTINCT doc_id AS key, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "full_outer_diff": "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both_sides FROM (SELECT DISTINCT doc_id, 1 AS l FROM documents) FULL JOIN (SELECT DISTINCT doc_id, 1 AS r FROM labels) USING (doc_id)",
     "metadata_join": "SELECT lang, quality, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
     "duplicate_content": f"SELECT sha256({_NORM}) AS content_sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -216,7 +216,7 @@ FROM texts LEFT JOIN c USING (conv_id, turn)""",
 SELECT conv_id, least(60, max(s))::INTEGER AS tokens, (count(*) FILTER (s <= 60))::INTEGER AS whole_turns FROM t GROUP BY conv_id""",
     "session_export": "SELECT conv_id, sha256(string_agg('**' || coalesce(role, '') || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS sha FROM conversations GROUP BY conv_id",
     "session_title": f"SELECT conv_id, array_to_string(w[1:5], ' ') || CASE WHEN len(w) > 5 THEN '...' ELSE '' END AS title FROM (SELECT conv_id, {_spaced()} AS w FROM conversations WHERE turn = 0)",
-    "title_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'part') ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5",
+    "title_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'g') ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 5",
     "admin_facet": "SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 2) AS error_rate, count(DISTINCT user_id) AS users, round(avg(coalesce(value, 0)), 4) AS mean_value FROM events",
     "online_rollup": f"SELECT event_type, count(*) AS n, {_SUMMARY.format(c='value')}, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type",
     "latency_summary": f"SELECT stage, count(ms) AS n, {_SUMMARY.format(c='ms')} FROM (SELECT 'total' AS stage, value AS ms FROM events UNION ALL SELECT 'half', value / 2 FROM events) GROUP BY stage",

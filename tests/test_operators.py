@@ -135,3 +135,9 @@ def test_ingest_holds_each_key_once(spark, tmp_path):
     go()
     got = [r.id for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect()]
     assert sorted(got) == list(range(10))
+
+
+def test_integrity_both_ways(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k long") for xs in ([1, 1, 2], [2, 3]))
+    assert {tuple(r) for r in corpus.integrity(a, b, "k", "k").select("side", "key").collect()} == {("left_only", 1), ("right_only", 3)}
+    assert tuple(corpus.set_difference(a, b, "k").first()) == (1, 1, 1)
