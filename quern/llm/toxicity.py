@@ -2,18 +2,17 @@
 
 Expressions are words (runs of ASCII letters and digits and of characters beyond ASCII; A-Z lower-cased) and, apart
 from them, the first ``PREFIX`` bytes of words. For each class, an expression's count is the number of training
-documents that have it, discounted (wholly where it is below the support, as rare ones tell nothing) and backed off
-to counts that both classes share: in how many different left contexts the expression is found, by linear counting
-over ``CONTEXT_BITS`` bits. Likelihoods are divided by what the class gives to the shared counts, so that unseen
+documents that have it, less ``DISCOUNT`` at every size of the corpus, and backed off to counts that both classes
+share: in how many different left contexts the expression is found, by linear counting over ``CONTEXT_BITS`` bits. Likelihoods are divided by what the class gives to the shared counts, so that unseen
 expressions weigh nothing for either class.
 
 A text is compared by length-normalised log-likelihoods under both classes, over the whole text and over its most
-toxic run of ``RUN`` expressions, and by the evidence for the toxic class alone. A logistic function of these, fitted
-to a bounded sample of at most ``FIT_ROWS`` (expected) labelled rows that the counts leave out, gives the score.
+toxic run of ``RUN`` expressions, and by the evidence for the toxic class alone, each of them once for expressions of
+``RARE`` documents or more and once for rarer ones. A logistic function of these, fitted to a bounded sample of at most ``FIT_ROWS`` (expected) labelled rows that the counts leave out, gives the score.
 
-Counts cover all training rows. The support is at least ``SUPPORT`` documents and one in ``SUPPORT_SHARE``, and is
-doubled until at most ``MODEL_ROWS`` expressions are left; that bounds what is broadcast. Labels of one doc_id are
-joined by the greatest. Null and empty texts have no expressions and get the score of no evidence. Without labelled
+Every expression keeps its weight. The most frequent ones, ``MODEL_ROWS`` at most, are broadcast; where there are
+more, the rest stay in a table that the texts' other expressions are joined to. Labels of one doc_id are joined by the
+greatest. Null and empty texts have no expressions and get the score of no evidence. Without labelled
 rows of both classes all scores are 0. Repeated rows give a row each. Columns not named are ignored.
 """
 
@@ -31,16 +30,19 @@ from quern.sources.scratch import written
 
 PREFIX, RUN = 6, 8
 CONTEXT_BITS = 64
-SUPPORT, SUPPORT_SHARE = 5, 20_000
-#: Discount of a count at the support or above.
 DISCOUNT = 0.75
+#: Expressions of fewer documents have features of their own, so that the logistic function learns what they are worth.
+RARE = 5
+#: Expressions in one broadcast, 16 bytes each.
 MODEL_ROWS = 1_000_000
+#: Weights of rarer expressions of texts in one broadcast; more are joined by a shuffle.
+BROADCAST_WEIGHTS = 500_000
 FIT_ROWS = 20_000
 #: Labels in one broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Fold (crc32 of doc_id mod 5) that is never learnt from, and the one that the logistic function is fitted to.
 HELD_OUT, FIT_FOLD = 0, 4
-FEATURES = 6
+FEATURES = 12
 
 _SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -96,27 +98,40 @@ def expression_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted keys of expressions with their log-likelihood ratio, and the weights of the logistic function."""
+    """Sorted keys of the most frequent expressions with their weights, and the weights of the logistic function.
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.ratios = keys[order], ratios[order].astype(np.float32)
+    An expression's weights are its log-likelihood ratio where it is not rare, or else 0, and that where it is rare.
+    ``rest`` has key, ratio and n of all others; None where there are none.
+    """
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, rare: np.ndarray):
+        self.keys, self.values = _sorted(keys, ratios, rare)
         self.mean, self.scale, self.weights = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
+        self.rest: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
-    def ratios_of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ratios[at], np.float32(0)).astype(np.float64)
+    def lacks(self, hashes: np.ndarray) -> np.ndarray:
+        """Those of distinct ``hashes`` that are not among the keys."""
+        if not len(self.keys):
+            return hashes
+        return hashes[self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] != hashes]
 
-    def features(self, pair: tuple[np.ndarray, np.ndarray]) -> list[float]:
+    def features(self, pair: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray] | None = None) -> list[float]:
+        """Of one text; ``others`` are keys and weights of its expressions that are in ``rest``."""
         found = []
         for hashes in pair:
             if not len(hashes):
-                found += [0.0, 0.0, 0.0]
+                found += [0.0] * (FEATURES // 2)
                 continue
-            ratios = self.ratios_of(hashes)
-            run = min(RUN, len(ratios))
-            sums = np.concatenate([[0.0], np.cumsum(ratios)])
-            found += [ratios.mean(), (sums[run:] - sums[:-run]).max() / RUN, np.log1p(np.maximum(ratios, 0).sum())]
+            values = _looked_up(self.keys, self.values, hashes)
+            if others is not None:
+                values = values + _looked_up(*others, hashes)
+            run = min(RUN, len(values))
+            sums = np.concatenate([np.zeros((1, 2)), np.cumsum(values, axis=0)])
+            best = (sums[run:] - sums[:-run]).max(axis=0) / RUN
+            found += [*values.mean(axis=0), *best, *np.log1p(np.maximum(values, 0).sum(axis=0))]
         return found
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -138,20 +153,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _ratios(counts: pa.Table, support: int) -> np.ndarray:
-    """Log of the likelihood under the toxic class over that under the other, each relative to its shared part."""
-    bits = counts["contexts"].to_numpy()
-    zeros = CONTEXT_BITS - np.bitwise_count(bits.view(np.uint64)).astype(float)
-    shared = -CONTEXT_BITS * np.log(np.maximum(zeros, 0.5) / CONTEXT_BITS)
-    shared = np.maximum(shared, 0.5) / max(shared.sum(), 1.0)
+def _sorted(keys: np.ndarray, ratios: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and the two weights of each."""
+    order = np.argsort(keys)
+    return keys[order], (ratios[:, None] * np.column_stack([~rare, rare])).astype(np.float32)[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Values of ``hashes`` by sorted ``keys``; 0 where there is none."""
+    if not len(keys):
+        return np.zeros((len(hashes), 2))
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where((keys[at] == hashes)[:, None], values[at], np.float32(0)).astype(np.float64)
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """key, n (documents) and ratio: log of the likelihood under the toxic class over that under the other, each relative to its shared part."""
+    zeros = CONTEXT_BITS - F.bit_count("contexts")
+    shared = F.greatest(-CONTEXT_BITS * F.log(F.greatest(zeros, F.lit(0.5)) / CONTEXT_BITS), F.lit(0.5))
+    names = ("toxic", "ordinary")
+    sums = counts.agg(
+        F.sum(shared).alias("shared"), *(F.sum(c).alias(c) for c in names), *(F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in names)
+    ).first()
     relative = []
-    for name in ("toxic", "ordinary"):
-        n = counts[name].to_numpy().astype(float)
-        used = np.where(n >= support, n - DISCOUNT, 0.0)
-        total = max(n.sum(), 1.0)
-        left = max(total - used.sum(), 1.0) / total
-        relative.append(used / total / left + shared)
-    return np.log(relative[0] / relative[1])
+    for name in names:
+        total = max(sums[name] or 0, 1)
+        left = max(DISCOUNT * sums[f"{name}_types"], 1.0) / total
+        relative.append(F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / (total * left) + shared / max(sums["shared"] or 0.0, 1.0))
+    return counts.select("key", (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(relative[0] / relative[1]).cast("float").alias("ratio"))
+
+
+def _model(counts: DataFrame) -> Model | None:
+    """The model of all expressions of ``counts``."""
+    weighed = written(ratios(counts), "ratios").withColumn("size", F.floor(F.log2("n")))
+    sizes = {r["size"]: r["count"] for r in weighed.groupBy("size").count().collect()}
+    if not sizes:
+        return None
+    least, rows = max(sizes) + 1, 0
+    while least > 0 and rows + sizes.get(least - 1, 0) <= MODEL_ROWS:
+        least -= 1
+        rows += sizes.get(least, 0)
+    table = weighed.where(F.col("size") >= least).select("key", "ratio", "n").toArrow()
+    model = Model(table["key"].to_numpy().view(np.uint64), table["ratio"].to_numpy(), table["n"].to_numpy() < RARE)
+    if least > 0:
+        model.rest = weighed.where(F.col("size") < least).select("key", "ratio", "n")
+    return model
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,36 +221,66 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(sizes) < 2:
         return None
     n = sum(r["n"] for r in sizes)
-    support = max(SUPPORT, n // SUPPORT_SHARE)
-    while True:
-        kept = counts.where(F.greatest("toxic", "ordinary") >= support)
-        if kept.count() <= MODEL_ROWS:
-            break
-        support *= 2
-    table = kept.toArrow()
-    if not table.num_rows:
+    model = _model(counts)
+    if model is None:
         return None
-    model = Model(table["key"].to_numpy().view(np.uint64), _ratios(table, support))
     share = min(1.0, FIT_ROWS * 4 / n)
     fit = labelled.where((F.col("fold") == FIT_FOLD) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    rows = _featured(fit.select(F.col("label").cast("long").alias("label"), "text"), model, "label long").toArrow()
+    rows = _featured(fit.select(F.col("label").cast("long").alias("kept"), "text"), model).toArrow()
     x = np.array(rows["features"].to_pylist(), float).reshape(-1, FEATURES)
-    y = rows["label"].to_numpy().astype(float)
+    y = rows["kept"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
     model.fit(x, y)
     return model
 
 
-def _featured(rows: DataFrame, model: Model, first: str) -> DataFrame:
+def _rare_weights(rows: DataFrame, model: Model) -> DataFrame:
+    """hash of the text, keys, ratios and rarity of those expressions of the texts of ``rows`` that the broadcast leaves out.
+
+    Texts of equal hash get the expressions of all of them, each of its right weight.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.features(pair) for pair in _texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=[batch.schema.names[0], "features"])
+            keys = [shared.value.lacks(np.unique(np.concatenate(pair))) for pair in _texts(batch.column(1))]
+            if keys:
+                hashes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.concatenate(keys).view(np.int64))], names=["hash", "key"])
+
+    found = rows.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "hash long, key long").join(model.rest, "key")
+    return written(
+        found.groupBy("hash")
+        .agg(F.collect_set(F.struct("key", "ratio", (F.col("n") < RARE).alias("rare"))).alias("found"))
+        .select("hash", F.col("found.key").alias("keys"), F.col("found.ratio").alias("ratios"), F.col("found.rare").alias("rare")),
+        "rare",
+    )
+
 
-    return rows.mapInArrow(run, f"{first}, features array<double>")
+def _featured(rows: DataFrame, model: Model, scored: bool = False) -> DataFrame:
+    """kept and features (or the score) of ``rows`` (kept, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = shared.value
+            if batch.num_columns == 2:
+                found = [model.features(pair) for pair in _texts(batch.column(1))]
+            else:
+                found = []
+                for pair, *others in zip(_texts(batch.column(1)), *batch.columns[2:], strict=True):
+                    parts = [c.values.to_numpy(zero_copy_only=False) for c in others if c.is_valid]
+                    found.append(model.features(pair, _sorted(parts[0].view(np.uint64), *parts[1:]) if parts else None))
+            made = pa.array(model.scores(np.array(found, float).reshape(-1, FEATURES))) if scored else pa.array(found, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["kept", "score" if scored else "features"])
+
+    if model.rest is not None:
+        rare = _rare_weights(rows, model)
+        held = rare.agg(F.sum(F.size("keys"))).first()[0] or 0
+        rare = F.broadcast(rare) if held <= BROADCAST_WEIGHTS else rare
+        rows = rows.withColumn("hash", F.xxhash64("text")).join(rare, "hash", "left").select("kept", "text", "keys", "ratios", "rare")
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, {'score double' if scored else 'features array<double>'}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -213,11 +289,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     source = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([shared.value.features(pair) for pair in _texts(batch.column(1))], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], names=["kept", "score"])
-
-    return source.mapInArrow(run, f"kept {source.schema['kept'].dataType.simpleString()}, score double").select("kept.*", "score")
+    return _featured(source, model, scored=True).select("kept.*", "score")

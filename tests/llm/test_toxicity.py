@@ -48,3 +48,22 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity(docs, none).collect()] == [0.0, 0.0]
     assert toxicity.toxicity(docs.limit(0), none).collect() == []
+
+
+def test_bound_of_the_broadcast_changes_no_score(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    scores = lambda: sorted((r.doc_id, round(r.score, 6)) for r in toxicity.toxicity(docs, labels).collect())
+    whole = scores()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 100)
+    assert scores() == whole
+    monkeypatch.setattr(toxicity, "BROADCAST_WEIGHTS", 0)
+    assert scores() == whole
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    assert scores() == whole
+
+
+def test_rare_expressions_weigh(spark):
+    counts = [(1, 99, 101, 1), (2, 1, 0, 1), (3, 0, 1, 1), (4, 50, 5000, 3), (5, 0, 200, 1), (6, 99, 0, 1)]
+    got = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(counts, "key long, toxic long, ordinary long, contexts long")).collect()}
+    assert got[6] > got[2] > 0 > got[3] > got[5] and got[1] > got[4] > got[5]
