@@ -10,7 +10,7 @@ A text is compared by length-normalised log-likelihoods under both classes, over
 toxic run of ``RUN`` expressions, and by the evidence for the toxic class alone, each of them once for expressions of
 ``RARE`` documents or more and once for rarer ones. A logistic function of these, fitted to a bounded sample of at most ``FIT_ROWS`` (expected) labelled rows that the counts leave out, gives the score.
 
-Every expression keeps its weight. The most frequent ones, ``MODEL_ROWS`` at most, are broadcast; where there are
+Counts cover all training rows but the sample. Every expression keeps its weight. The most frequent ones, ``MODEL_ROWS`` at most, are broadcast; where there are
 more, the rest stay in a table that the texts' other expressions are joined to. Labels of one doc_id are joined by the
 greatest. Null and empty texts have no expressions and get the score of no evidence. Without labelled
 rows of both classes all scores are 0. Repeated rows give a row each. Columns not named are ignored.
@@ -40,7 +40,7 @@ BROADCAST_WEIGHTS = 500_000
 FIT_ROWS = 20_000
 #: Labels in one broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Fold (crc32 of doc_id mod 5) that is never learnt from, and the one that the logistic function is fitted to.
+#: Fold (crc32 of doc_id mod 5) that is never learnt from, and the one of which the logistic function's sample is drawn.
 HELD_OUT, FIT_FOLD = 0, 4
 FEATURES = 12
 
@@ -216,16 +216,15 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of ``docs`` (doc_id, text) under ``labels`` (doc_id, toxic); None without both classes."""
     labelled = _labelled(docs, labels)
-    counts = written(expression_counts(labelled.where(F.col("fold") != FIT_FOLD).select("text", "label")), "expressions")
     sizes = labels.where("toxic is not null and doc_id is not null").groupBy((F.col("toxic") != 0).alias("y")).agg(F.countDistinct("doc_id").alias("n")).collect()
     if len(sizes) < 2:
         return None
-    n = sum(r["n"] for r in sizes)
-    model = _model(counts)
+    share = min(1.0, FIT_ROWS * 4 / sum(r["n"] for r in sizes))
+    drawn = (F.col("fold") == FIT_FOLD) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    model = _model(written(expression_counts(labelled.where(~drawn).select("text", "label")), "expressions"))
     if model is None:
         return None
-    share = min(1.0, FIT_ROWS * 4 / n)
-    fit = labelled.where((F.col("fold") == FIT_FOLD) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    fit = labelled.where(drawn)
     rows = _featured(fit.select(F.col("label").cast("long").alias("kept"), "text"), model).toArrow()
     x = np.array(rows["features"].to_pylist(), float).reshape(-1, FEATURES)
     y = rows["kept"].to_numpy().astype(float)

@@ -67,3 +67,15 @@ def test_rare_expressions_weigh(spark):
     counts = [(1, 99, 101, 1), (2, 1, 0, 1), (3, 0, 1, 1), (4, 50, 5000, 3), (5, 0, 200, 1), (6, 99, 0, 1)]
     got = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(counts, "key long, toxic long, ordinary long, contexts long")).collect()}
     assert got[6] > got[2] > 0 > got[3] > got[5] and got[1] > got[4] > got[5]
+
+
+def test_counts_cover_all_rows_but_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "fine good calm" + (" vile" if i % 3 == 0 else "")) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 50)
+    seen = []
+    counts = toxicity.expression_counts
+    monkeypatch.setattr(toxicity, "expression_counts", lambda rows: seen.append(rows.count()) or counts(rows))
+    model = toxicity.learn(docs, labels)
+    assert model is not None
+    assert seen[0] + 80 > sum(not held(i) for i in range(500)) > seen[0]
