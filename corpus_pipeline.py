@@ -36,8 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a kept row wholly are dropped too.
     """
     found = written(minhash.near_duplicates(docs, shingle=5, percent=80), "near")
-    kept = _without(docs, found.where(~F.col("kept")).join(found.where("kept").select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti"))
-    if found.where(~F.col("kept")).join(found.where("kept").select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").isEmpty():
+    gone = found.where(~F.col("kept")).select("doc_id", "text_hash")
+    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    kept = _without(docs, gone.join(stays, same, "left_anti"))
+    if gone.join(stays, same, "left_semi").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
 

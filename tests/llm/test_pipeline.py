@@ -59,3 +59,11 @@ def test_odd_rows_pass_through(spark, tmp_path):
     for _, stage in cp.STAGES:
         empty = cp.written(stage(spark, empty, SF), "e")
     assert empty.collect() == []
+
+
+def test_repeated_rows_without_id_keep_one(spark):
+    good, other = (" ".join(f"{w}{i}" for i in range(30)) for w in "wv")
+    rows = [(None, good, "en", "a", 1)] * 3 + [(2, other, "en", "a", 1)] * 2 + [(None, other + " end", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 2 and (None, good) in got
