@@ -3,9 +3,9 @@
 Seeds are e-mail addresses, IP addresses, card and telephone numbers that patterns and checks find in whole
 texts. Contexts (the word, or two words, before a string with a digit or ``@``) form a graph with the strings
 that follow them. Contexts are scored by the share of all their occurrences in the corpus that a known
-identifier follows, strings by their best context; this is repeated ``ROUNDS`` times. Where at least
-``MIN_SUPPORT`` different identifiers follow a context and its score reaches ``MIN_SCORE``, other strings
-there are added as spans of the kind that its seeds have most. Base spans always stay.
+identifier follows, strings by their best context, of which they take the kind; this is repeated ``ROUNDS``
+times. Where at least ``MIN_SUPPORT`` different identifiers follow a context and its score reaches ``MIN_SCORE``,
+other strings there are added as spans of the kind that its identifiers have most. Base spans always stay.
 
 Spans are code points, end exclusive. Null or empty texts have none. Repeated rows give a row each. An empty
 table learns nothing. Ties of kind go to the kind listed first. Columns not in ``keep`` are ignored.
@@ -39,16 +39,31 @@ BROADCAST_ROWS = 100_000
 
 
 def _placed(text: Column, regex: str) -> Column:
-    """Matches in order with the text before each since the last: gap, match, start."""
+    """Matches in order: match, start."""
+    return _folded(text, regex, lambda s, p: ())
+
+
+def _placed_in_context(text: Column, regex: str) -> Column:
+    """Matches in order with the text before each, ``CONTEXT_CHARS`` of it at most: match, start, before."""
+    last = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
+    return _folded(text, regex, lambda s, p: (last(F.concat(s["tail"], p["gap"])),), lambda s, p: last(F.concat(s["tail"], p["gap"], p["match"])))
+
+
+def _folded(text: Column, regex: str, before, tail=None) -> Column:
     matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pairs = F.zip_with(F.split(text, regex, -1), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    empty = F.array().cast("array<struct<gap:string,match:string,start:int>>")
+    empty = F.array().cast(f"array<struct<match:string,start:int{',before:string' if tail else ''}>>")
+    start = [F.lit(0).alias("at"), empty.alias("found")] + ([F.lit("").alias("tail")] if tail else [])
     return F.aggregate(
         F.filter(pairs, lambda p: p["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
+        F.struct(*start),
         lambda s, p: F.struct(
             (s["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct(p["gap"].alias("gap"), p["match"].alias("match"), (s["at"] + F.length(p["gap"])).alias("start")))).alias("found"),
+            F.concat(
+                s["found"],
+                F.array(F.struct(p["match"].alias("match"), (s["at"] + F.length(p["gap"])).alias("start"), *(c.alias("before") for c in before(s, p)))),
+            ).alias("found"),
+            *([tail(s, p).alias("tail")] if tail else []),
         ),
         lambda s: s["found"],
     )
@@ -85,7 +100,7 @@ def candidates(text: Column, base: Column) -> Column:
     none = F.array().cast("array<struct<value:string,start:int,end:int,kind:int,last:string,prev:string>>")
 
     def row(m: Column) -> Column:
-        before = F.lower(F.substring(m["gap"], -CONTEXT_CHARS, CONTEXT_CHARS))
+        before = F.lower(m["before"])
         value = F.regexp_extract(m["match"], "(?s)" + outer, 1)
         start = m["start"] + F.instr(m["match"], value) - 1
         end = m["start"] + F.length(m["match"])
@@ -99,7 +114,7 @@ def candidates(text: Column, base: Column) -> Column:
             F.regexp_extract(before, r"(?<!\S)(\S++)\s++\S++\s++$", 1).alias("prev"),
         )
 
-    found = F.filter(F.transform(_placed(text, CANDIDATE), row), lambda c: (c["last"] != "") & (c["value"] != ""))
+    found = F.filter(F.transform(_placed_in_context(text, CANDIDATE), row), lambda c: (c["last"] != "") & (c["value"] != ""))
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
@@ -161,27 +176,29 @@ def accepted_contexts(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     totals = written(_occurrences(docs.select("text"), open_contexts), "occurrences")
     edges = written(graph.join(totals.withColumnRenamed("n", "total"), "context"), "edges")
-    scores = edges.groupBy("value").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
+    seed = F.max(F.col("kind").isNotNull().cast("double"))
+    scores = edges.groupBy("value").agg(seed.alias("score"), F.min("kind").alias("own"))
     for _ in range(ROUNDS):
         known = edges.join(written(scores, "scores"), "value").where(F.col("score") >= MIN_SCORE)
+        kind = F.coalesce("kind", "own")
+        of_kind = F.array(*(F.sum(F.when(kind == k, F.col("n")).otherwise(0)) for k in range(len(KINDS))))
         contexts = written(
             known.groupBy("context", "total")
-            .agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count(F.lit(1)).alias("support"))
-            .select("context", F.when(F.col("support") >= MIN_SUPPORT, F.col("weight") / F.col("total")).otherwise(0.0).alias("score")),
+            .agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count(F.lit(1)).alias("support"), of_kind.alias("of_kind"))
+            .select(
+                "context",
+                F.when(F.col("support") >= MIN_SUPPORT, F.col("weight") / F.col("total")).otherwise(0.0).alias("score"),
+                (F.array_position("of_kind", F.array_max("of_kind")) - 1).cast("int").alias("its_kind"),
+            ),
             "context-scores",
         )
-        scores = edges.join(contexts, "context").groupBy("value").agg(
-            F.greatest(F.max("score"), F.max(F.col("kind").isNotNull().cast("double"))).alias("score")
+        best = F.max(F.struct("score", (-F.col("its_kind")).alias("first")))
+        scores = (
+            edges.join(contexts, "context")
+            .groupBy("value")
+            .agg(F.greatest(F.max("score"), seed).alias("score"), F.coalesce(F.min("kind"), -best["first"]).alias("own"))
         )
-    kinds = (
-        edges.where(F.col("kind").isNotNull())
-        .groupBy("context", "kind")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("context")
-        .agg(F.max(F.struct("n", (-F.col("kind")).alias("first"))).alias("best"))
-        .select("context", (-F.col("best.first")).alias("kind"))
-    )
-    return contexts.where(F.col("score") >= MIN_SCORE).join(kinds, "context").select("context", "kind")
+    return contexts.where(F.col("score") >= MIN_SCORE).select("context", F.col("its_kind").alias("kind"))
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

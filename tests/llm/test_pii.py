@@ -87,6 +87,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[9] == got[10] == []
 
 
+def test_contexts_without_seeds_discover_too(spark):
+    seen = [f"lorem {w} hotline: +1 (212) 555-01{i:02d} ipsum" for i, w in enumerate("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzabcd")]
+    found = [f"dolor {w} hotline: 555-02{i:02d}, amet" for i, w in enumerate("abcdefghijkl")]
+    again = [f"sed {w} desk: 555-02{i:02d}, amet" for i, w in enumerate("mnopqrstuvwx")]
+    texts = [*seen, *found, *again, "elit y desk: 555-0999, amet", "version 3.14 of the 2 towers"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], pii.KINDS[s.kind]) for s in r.spans] for r in pii.personal_data(docs).collect()}
+    assert got[len(texts) - 2] == [("555-0999", "phone")]
+    assert got[len(texts) - 1] == []
+
+
+def test_context_reaches_before_another_candidate(spark):
+    from pyspark.sql import functions as F
+
+    text = "account A7 jdoe77 and x"
+    docs = spark.createDataFrame([(text,)], "text string")
+    (row,) = docs.select(pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()
+    assert [(c.value, c.last, c.prev, text[c.start : c.end]) for c in row.c] == [("A7", "account", "", "A7"), ("jdoe77", "a7", "account", "jdoe77")]
+
+
 def test_redaction_replaces_spans(spark):
     docs = spark.createDataFrame([(0, "mail a@b.cd now +1 (212) 555-0100"), (1, "clean"), (2, None)], "doc_id long, text string")
     found = pii.personal_data(docs, keep=("doc_id", "text"))
