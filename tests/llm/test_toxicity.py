@@ -1,4 +1,10 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -63,10 +69,90 @@ def test_bound_of_the_broadcast_changes_no_score(spark, monkeypatch):
     assert scores() == whole
 
 
-def test_rare_expressions_weigh(spark):
-    counts = [(1, 99, 101, 1), (2, 1, 0, 1), (3, 0, 1, 1), (4, 50, 5000, 3), (5, 0, 200, 1), (6, 99, 0, 1)]
-    got = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(counts, "key long, toxic long, ordinary long, contexts long")).collect()}
-    assert got[6] > got[2] > 0 > got[3] > got[5] and got[1] > got[4] > got[5]
+def test_rare_words_weigh(spark):
+    sums = ", ".join(f"{k} long" for k in toxicity.WORD_SUMS)
+    rows = [(word, 0, 0, 0, 0, 0, 0, toxic, ordinary, toxic + ordinary) for word, toxic, ordinary in ((1, 99, 101), (2, 2, 0), (3, 0, 2), (4, 50, 5000), (5, 0, 200), (6, 99, 0), (7, 1, 0))]
+    words = spark.createDataFrame(rows, "word long, " + sums)
+    pairs = spark.createDataFrame([], "first long, second long, toxic long, ordinary long")
+    got = {r.key: r.x for r in toxicity.weights(words, pairs, {"toxic": 1.0, "ordinary": 1.0}).collect()}
+    assert got[6] > got[2] > 0 > got[3] > got[5] and got[1] > got[4] > got[5] and 7 not in got
+
+
+def plain_scores(docs, labels):
+    """The same models from dictionaries of words."""
+    pattern = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+    words = [(i, pattern.findall("".join(c.lower() if c < "\x80" else c for c in text or ""))) for i, text in docs]
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in labels}
+    counts = [Counter(), Counter()]
+    for i, w in words:
+        if i in labels and fold[i] not in (0, 4):
+            counts[labels[i]].update(zip([""] + w, w))
+    left, n, followers, once = ([Counter(), Counter()] for _ in range(4))
+    shared = Counter(b for a, b in set(counts[0]) | set(counts[1]))
+    for y in (0, 1):
+        for (a, b), k in counts[y].items():
+            left[y][b] += 1
+            n[y][a] += k
+            followers[y][a] += 1
+            once[y][a] += k == 1
+
+    def discount(values):
+        k = Counter(values)
+        return 1.0 if not k[1] or not k[2] else min(1.5, max(0.5, 2 - 3 * k[1] / (k[1] + 2 * k[2]) * k[3] / k[2]))
+
+    lower_d, pair_d = ([discount(c[y].values()) for y in (0, 1)] for c in (left, counts))
+    total = [max(sum(left[y].values()), 1) for y in (0, 1)]
+    given = [max(sum(1 if k == 1 else lower_d[y] for k in left[y].values()), 1.0) / total[y] for y in (0, 1)]
+    own = lambda y, b: (left[y][b] - lower_d[y]) / total[y] if left[y][b] > 1 else 0.0
+    share = lambda b: shared[b] / sum(shared.values())
+    back = lambda y, a: (once[y][a] + pair_d[y] * (followers[y][a] - once[y][a])) / n[y][a] if n[y][a] else 1.0
+
+    def lower(b):
+        return math.log((own(1, b) / given[1] + share(b)) / (own(0, b) / given[0] + share(b))) if shared[b] else 0.0
+
+    def both(a, b):
+        value = math.log(back(1, a) / back(0, a)) + lower(b)
+        if max(counts[0][a, b], counts[1][a, b]) > 1:
+            p = [own(y, b) + given[y] * share(b) for y in (0, 1)]
+            q = [((counts[y][a, b] - pair_d[y]) / n[y][a] / back(y, a) if counts[y][a, b] > 1 else 0.0) + p[y] for y in (0, 1)]
+            value += math.log(q[1] / q[0]) - math.log(p[1] / p[0])
+        return value
+
+    def features(w):
+        if not w:
+            return [0.0] * toxicity.FEATURES
+        found = []
+        for values in (
+            [lower(b) if shared[b] >= 5 else 0 for b in w],
+            [lower(b) if shared[b] < 5 else 0 for b in w],
+            [both(a, b) for a, b in zip([""] + w, w)],
+        ):
+            found.append(sum(values) / len(w))
+            for k in (min(k, len(w)) for k in (1, 4, 8)):
+                found.append(max(sum(values[i : i + k]) for i in range(len(w) - k + 1)) / k)
+        return found
+
+    model = toxicity.Model(*(np.zeros(0, t) for t in (np.uint64, float, float, bool)))
+    sample = [(features(w), labels[i]) for i, w in words if i in labels and fold[i] == 4]
+    model.fit(np.array([x for x, _ in sample]), np.array([y for _, y in sample], float))
+    return {i: float(model.scores(np.array([features(w)]))[0]) for i, w in words}
+
+
+def test_scores_equal_those_of_plain_dictionaries(spark):
+    random.seed(7)
+    bag = "the of and to in is was you are so a it that for on".split() + [f"w{k}" for k in range(40)]
+    docs, labels = [], {}
+    for i in range(400):
+        words = random.choices(bag, k=random.randint(1, 60))
+        labels[i] = int(random.random() < 0.3)
+        if labels[i]:
+            words += random.choices(["vile", "wretch", "you are vile", "Scum"], k=3)
+        docs.append((i, " ".join(words)))
+    docs += [(1000, None), (1001, ""), (1002, "nothing known here"), (1003, docs[3][1])]
+    want = plain_scores(docs, labels)
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    assert {r.doc_id for r in got.collect()} == set(want)
+    assert max(abs(r.score - want[r.doc_id]) for r in got.collect()) < 1e-3
 
 
 def test_counts_cover_all_rows_but_the_sample(spark, monkeypatch):
@@ -74,8 +160,8 @@ def test_counts_cover_all_rows_but_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "FIT_ROWS", 50)
     seen = []
-    counts = toxicity.expression_counts
-    monkeypatch.setattr(toxicity, "expression_counts", lambda rows: seen.append(rows.count()) or counts(rows))
+    counts = toxicity.pair_counts
+    monkeypatch.setattr(toxicity, "pair_counts", lambda rows: seen.append(rows.count()) or counts(rows))
     model = toxicity.learn(docs, labels)
     assert model is not None
     assert seen[0] + 80 > sum(not held(i) for i in range(500)) > seen[0]
