@@ -7,18 +7,20 @@ verdict is joined back to their documents.
 
 Null or empty texts have no words and fail. Documents without a source form one host, null. Repeated rows
 count and return a row each. An empty table gives no hosts and no rows. No order is involved, so there are no
-ties. Columns beyond those named are ignored, or carried where listed in ``keep``.
+ties. Very long texts are measured whole, in arrays of some 50 bytes a word; repeated windows are told apart by 64-bit
+hashes. Columns beyond those named are ignored, or carried where listed in ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.hashing import gram_hashes, word_hashes
 from quern.sources.scratch import written
 
 MIN_WORDS = 10
@@ -32,39 +34,56 @@ MAX_DUP_LINES_PER_WORD = 0.25
 MAX_HOST_RATE = 0.5
 #: Hosts whose verdicts are broadcast, some 64 bytes each; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
+#: Keys of rejected rows in one broadcast, some 50 bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(words: list, window: int = WINDOW) -> int:
+def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words covered by windows that the list has twice or more."""
-    grams = list(zip(*(words[i:] for i in range(window)), strict=False))
-    counts = Counter(grams)
-    if len(counts) == len(grams):
+    found = [w.hashes for w in word_hashes(pa.array([" ".join(words)]))]
+    return _repeated(found[0], window) if found else 0
+
+
+def _repeated(hashes: np.ndarray, window: int = WINDOW) -> int:
+    grams = gram_hashes(hashes, window)
+    if len(grams) < 2:
         return 0
-    end = n = 0
-    for i, gram in enumerate(grams):
-        if counts[gram] > 1:
-            n += i + window - max(i, end)
-            end = i + window
-    return n
+    _, place, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    change = np.zeros(len(hashes) + 1, np.int64)
+    starts = np.flatnonzero(counts[place] > 1)
+    change[starts] += 1
+    change[starts + window] -= 1
+    return int(np.count_nonzero(np.cumsum(change)))
+
+
+def measure_texts(texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """The measures of each text, in their order."""
+    found, at = [], 0
+    for words in word_hashes(texts):
+        low = 0
+        for high in words.ends.tolist():
+            text = texts[at].as_py() or ""
+            lines = [line for line in text.split("\n") if line.strip(SPACES)]
+            found.append(
+                (
+                    high - low,
+                    len(text) - sum(map(text.count, SPACES)),
+                    sum(map(text.count, SYMBOLS)),
+                    len(lines) - len(set(lines)),
+                    _repeated(words.hashes[low:high]),
+                )
+            )
+            low, at = high, at + 1
+    return found
 
 
 def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
-    """The measures of one text, in their order."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
-    lines = [line for line in text.split("\n") if line.strip(SPACES)]
-    return (
-        len(words),
-        len(text) - sum(map(text.count, SPACES)),
-        sum(map(text.count, SYMBOLS)),
-        len(lines) - len(set(lines)),
-        repeated_words(words),
-    )
+    """The measures of one text."""
+    return measure_texts(pa.array([text], pa.string()))[0]
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -73,7 +92,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure_text(x.as_py()) for x in batch.column(1)]
+            found = measure_texts(batch.column(1))
             columns = list(zip(*found, strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["kept", *MEASURES]
@@ -132,7 +151,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, in all their columns."""
-    hosts = host_verdicts(written(measured(docs, keep=("source",)), "measures"))
-    whole = measured(docs.withColumn("_row", F.struct(*docs.columns)), keep=("source", "_row"))
-    return judged(whole, hosts).where("kept").select("_row.*")
+    """The rows of ``docs`` that the rules keep, in all their columns; texts are measured once."""
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    measures = written(measured(keyed, keep=("doc_id", "source", "text_hash")), "measures")
+    keys = ("doc_id", "source", "text_hash")
+    gone = judged(measures, host_verdicts(measures)).where(~F.col("kept")).select(*(F.col(k).alias(f"gone_{k}") for k in keys)).distinct()
+    gone = written(gone, "rejected")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    same = F.col("doc.doc_id").eqNullSafe(F.col("gone_doc_id")) & F.col("doc.source").eqNullSafe(F.col("gone_source")) & (F.xxhash64("doc.text") == F.col("gone_text_hash"))
+    return docs.select(F.struct("*").alias("doc")).join(gone, same, "left_anti").select("doc.*")
