@@ -6,8 +6,9 @@ id, its bytes less one, and a data stream of those bytes, low first. Control byt
 
 Documents are in ascending order of doc_id over all shards, nulls first; rows of equal doc_id by their ids' CRC.
 Blocks are stored as rows of a Parquet table, so that any file system that Spark knows will do and a lost
-executor's blocks are written again: shard, block (in order), first and counts (documents), control, data. Null
-or empty texts have the end id alone. An empty table has no blocks.
+executor's blocks are written again: shard, block (in order), before (ids before it in its shard), docs and counts,
+control, data. Null or empty texts have the end id alone. A very long text has a block of its own. Columns not named
+are ignored. An empty table has no blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quern.sources.scratch import written
 BLOCK_IDS = 1 << 18
 #: Bytes of ids in a shard.
 SHARD_BYTES = 16 << 20
+#: Shards whose first places are broadcast, 12 bytes each; more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 
 
 def encode_ids(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -107,39 +110,38 @@ def write_blocks(tokens: DataFrame, ranks: np.ndarray, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        n = block = 0
+        n = block = before = 0
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 x = np.frombuffer(ids.as_buffer(), f"<u{width}")
                 if held and n + len(x) > BLOCK_IDS:
-                    yield pack(block, held)
-                    held, n, block = [], 0, block + 1
+                    yield pack(block, before, held)
+                    held, n, block, before = [], 0, block + 1, before + n
                 held.append((doc, place.value[x]))
                 n += len(x)
         if held:
-            yield pack(block, held)
+            yield pack(block, before, held)
 
-    def pack(block: int, held: list) -> pa.RecordBatch:
+    def pack(block: int, before: int, held: list) -> pa.RecordBatch:
         control, data = encode_ids(np.concatenate([x for _, x in held]))
         return pa.RecordBatch.from_pylist(
-            [{"block": block, "docs": [d for d, _ in held], "counts": [len(x) for _, x in held], "control": control, "data": data}],
-            pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]),
+            [{"block": block, "before": before, "docs": [d for d, _ in held], "counts": [len(x) for _, x in held], "control": control, "data": data}],
+            pa.schema([("block", pa.int64()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]),
         )
 
     ordered = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", "crc").repartitionByRange(shards, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    blocks = ordered.mapInArrow(run, "block long, docs array<long>, counts array<long>, control binary, data binary")
+    blocks = ordered.mapInArrow(run, "block long, before long, docs array<long>, counts array<long>, control binary, data binary")
     return written(blocks.withColumn("shard", F.spark_partition_id()), "token-blocks")
 
 
 def read_blocks(blocks: DataFrame, ranks: np.ndarray, dtype: str = "<u4") -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (bytes) of every document of the blocks."""
     spark = blocks.sparkSession
-    sums = blocks.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")).orderBy("shard").collect()
-    bases, total = [], 0  # a row for each shard
-    for r in sums:
-        bases.append((r["shard"], total))
-        total += r["n"]
-    first = spark.createDataFrame(bases, "shard int, base long")
+    n_ids = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    sizes = blocks.groupBy("shard").agg(F.sum(n_ids).alias("n"))
+    n_shards = sizes.count()
+    bases = written(sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base")), "shards")  # a short row for each shard
+    bases = F.broadcast(bases) if n_shards <= BROADCAST_SHARDS else bases
     ids = spark.sparkContext.broadcast(np.argsort(ranks).astype("<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +153,12 @@ def read_blocks(blocks: DataFrame, ranks: np.ndarray, dtype: str = "<u4") -> Dat
                 parts = np.split(found, ends[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["shard"]] * len(parts), pa.int32()),
-                        pa.array([row["block"]] * len(parts), pa.int64()),
                         pa.array(row["docs"], pa.int64()),
-                        pa.array(ends - counts, pa.int64()),
+                        pa.array(row["base"] + row["before"] + ends - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array([x.astype(dtype).tobytes() for x in parts], pa.binary()),
                     ],
-                    names=["shard", "block", "doc_id", "within", "n_tokens", "ids"],
+                    names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    sizes = blocks.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.join(first, "shard").select("shard", "block", (F.col("base") + F.coalesce(before, F.lit(0))).alias("base"))
-    docs = blocks.mapInArrow(run, "shard int, block long, doc_id long, within long, n_tokens long, ids binary")
-    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return blocks.join(bases, "shard").select("base", "before", "docs", "counts", "control", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -7,12 +7,14 @@ shorter ways with equal results stand before it, each for the texts that it is r
 - word vocabularies (white space dropped, lower case, an end mark on each word): texts are split at white space,
   words of Latin letters are split and lower-cased here and merged by ranks, and words are remembered.
 
-All other words and texts, and whatever the short way refuses, go through the library itself.
+All other words and texts, those that hold an added token's content, and whatever the short way refuses, go through the
+library itself, unaltered. Null texts are empty to callers; empty texts have no ids. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import lru_cache
 
@@ -34,19 +36,20 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts to arrays of ids (uint32); no special tokens are added or recognised."""
+    """Encodes texts to the ids (uint32) that the library gives without adding special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.by_word = bool(self.suffix)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.mark = os.path.commonprefix(self.added)
         self.cache: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.ranks = self._ranks(spec)
@@ -70,8 +73,14 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _apart(self, text: str) -> bool:
+        """Whether only the library is right: added tokens, and characters that are white space to some libraries alone."""
+        if self.added and self.mark in text and any(t in text for t in self.added):
+            return True
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+
     def _by_bytes(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # the two libraries differ on whether these are white space
+        if self._apart(text):
             return self._whole(text)
         try:
             return np.array(self.ranks.encode_ordinary(text), "<u4")
@@ -81,7 +90,7 @@ class Encoder:
             return self._whole(text)
 
     def _by_words(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() parts at these, the library does not
+        if self._apart(text):
             return self._whole(text)
         words, cache = text.split(), self.cache
         try:

@@ -1,9 +1,11 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quern.llm import packing, queries, token_files
 from quern.llm.tokens import Encoder, encoder
@@ -12,8 +14,57 @@ WORD, BYTE = (queries.tokenizer(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe
 TRICKY = ["a\n\nb", "  x", "x  y ", "\n", "a \n b", "don't  it's", "a b　c", "\x1c a\x1fb", "a\x85b", "É Ünal É́ ß ẞ ŉ ª º", "İ ΑΣ Ǆ", "<|endoftext|> a<|startoftext|>", "1234 5.6", "", " ", "a" * 5000, " " * 2000, "!!!'''s 'LL DON'T", "\x00\x7f", "word. Word, (word)!"]
 
 
+@lru_cache
+def untouched(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text):
-    return encoder(path).library.encode(text, add_special_tokens=False).ids
+    return untouched(path).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_found(spark):
+    texts = ["x <|endoftext|> y", "<|startoftext|>a<|endoftext|>", "<|EndOfText|> <|endoftext", "a <|endoftext|><|endoftext|>b"]
+    for path in (WORD, BYTE):
+        assert [x.tolist() for x in encoder(path).encode(texts)] == [ids_of(path, t) for t in texts]
+    assert encoder(WORD).encode(["<|endoftext|>"])[0].tolist() == [49407]
+
+
+def test_query_of_files_equals_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.op7_token_ids(spark, sf).collect()}
+    at = 0
+    for doc, text in docs:
+        ids = [*ids_of(WORD, text), 1]
+        r = got[doc]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(got) == len(docs)
+
+
+def test_query_of_packing_equals_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: [*ids_of(BYTE, r.text or ""), 1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op8_packing(spark, sf).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert by_doc.keys() == docs.keys()
+    for doc, ids in docs.items():
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for held in by_sequence.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 2048 or at & (at - 1) == 0 and at < 2048
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
