@@ -7,14 +7,14 @@ identifier follows, strings by their best context, of which they take the kind;
 times. Where at least ``MIN_SUPPORT`` different identifiers follow a context and its score reaches ``MIN_SCORE``,
 other strings there are added as spans of the kind that its identifiers have most. Base spans always stay.
 
-Spans are code points, end exclusive. Null or empty texts have none. Repeated rows give a row each. An empty
-table learns nothing. Ties of kind go to the kind listed first. Columns not in ``keep`` are ignored.
+Spans are code points, end exclusive. Null or empty texts have none. Very long texts are read whole, in time that
+grows with their length and, for very many matches, a little faster; contexts reach back over whole words of any
+length. Only strings with a digit or ``@`` are discovered, and only words before them are contexts. Repeated rows give a
+row each. An empty table learns nothing. Ties of kind go to the kind listed first. Columns not in ``keep`` are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,43 +30,57 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 #: A word with a digit or @, and number-like words after it.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[().+-]*+[0-9][0-9().+-]*+(?!\S))*+"
-#: Characters before a candidate in which its context is sought.
-CONTEXT_CHARS = 100
 MIN_SUPPORT, MIN_SCORE, ROUNDS = 3, 0.8, 3
 #: Bytes of contexts in one broadcast, rows of found spans in one; more are joined in passes or by a shuffle.
 BROADCAST_BYTES = 16 << 20
 BROADCAST_ROWS = 100_000
+#: Matches of a text that are summed together.
+BLOCK = 128
+#: Characters of a text that are cut off together.
+CUT = 4096
+
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for each row, however often a lambda within reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-def _placed(text: Column, regex: str) -> Column:
-    """Matches in order: match, start."""
-    return _folded(text, regex, lambda s, p: ())
 
+def before_each(values: Column, start: Column, merge) -> Column:
+    """For each value, ``start`` merged with all values before it: sums of whole blocks, then of what is left in its block.
 
-def _placed_in_context(text: Column, regex: str) -> Column:
-    """Matches in order with the text before each, ``CONTEXT_CHARS`` of it at most: match, start, before."""
-    last = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
-    return _folded(text, regex, lambda s, p: (last(F.concat(s["tail"], p["gap"])),), lambda s, p: last(F.concat(s["tail"], p["gap"], p["match"])))
+    Neither grows an array step by step, so texts of very many matches don't take quadratic time to copy.
+    """
+    over = lambda part: F.aggregate(part, start, merge)
+
+    def places(v: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(1), F.floor(F.size(v) / BLOCK).cast("int") + 1), lambda b: over(F.slice(v, (b - 1) * BLOCK + 1, BLOCK)))
+        firsts = lambda sums: F.transform(sums, lambda _, b: over(F.slice(sums, 1, b)))
+        return bound(
+            bound(whole, firsts),
+            lambda bases: F.transform(
+                v, lambda _, i: F.aggregate(F.slice(v, i - i % BLOCK + 1, i % BLOCK), F.get(bases, F.floor(i / BLOCK).cast("int")), merge)
+            ),
+        )
 
+    return bound(values, places)
 
-def _folded(text: Column, regex: str, before, tail=None) -> Column:
+
+def _placed(text: Column, regex: str, before: bool = False) -> Column:
+    """Matches in order: match, start, and if asked the text from the second match back to this one's start."""
     matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pairs = F.zip_with(F.split(text, regex, -1), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    empty = F.array().cast(f"array<struct<match:string,start:int{',before:string' if tail else ''}>>")
-    start = [F.lit(0).alias("at"), empty.alias("found")] + ([F.lit("").alias("tail")] if tail else [])
-    return F.aggregate(
-        F.filter(pairs, lambda p: p["match"].isNotNull()),
-        F.struct(*start),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-            F.concat(
-                s["found"],
-                F.array(F.struct(p["match"].alias("match"), (s["at"] + F.length(p["gap"])).alias("start"), *(c.alias("before") for c in before(s, p)))),
-            ).alias("found"),
-            *([tail(s, p).alias("tail")] if tail else []),
-        ),
-        lambda s: s["found"],
-    )
+    pairs = F.filter(F.zip_with(F.split(text, regex, -1), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"))), lambda p: p["match"].isNotNull())
+
+    def placed(ps: Column) -> Column:
+        ends = before_each(F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["match"])), F.lit(0), lambda s, x: s + x)
+        near = lambda i: F.concat(
+            F.coalesce(F.get(ps, i - 2)["match"], F.lit("")), F.coalesce(F.get(ps, i - 1)["gap"], F.lit("")), F.coalesce(F.get(ps, i - 1)["match"], F.lit("")), F.get(ps, i)["gap"]
+        )
+        made = lambda p, at, *more: F.struct(p["match"].alias("match"), (at + F.length(p["gap"])).alias("start"), *more)
+        if not before:
+            return F.zip_with(ps, ends, lambda p, at: made(p, at))
+        return bound(ends, lambda at: F.transform(ps, lambda p, i: made(p, F.get(at, i), near(i).alias("before"))))
+
+    return bound(pairs, placed)
 
 
 def _digits(c: Column) -> Column:
@@ -99,23 +113,29 @@ def candidates(text: Column, base: Column) -> Column:
     outer = r"^[\"'(<\[{=,;:]*(.*?)[\"')>\]},;:.!?]*$"
     none = F.array().cast("array<struct<value:string,start:int,end:int,kind:int,last:string,prev:string>>")
 
-    def row(m: Column) -> Column:
-        before = F.lower(m["before"])
-        value = F.regexp_extract(m["match"], "(?s)" + outer, 1)
-        start = m["start"] + F.instr(m["match"], value) - 1
-        end = m["start"] + F.length(m["match"])
-        seeds = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+    def row(m: Column, blocks: Column) -> Column:
+        return bound(F.struct(F.regexp_extract(m["match"], "(?s)" + outer, 1).alias("value"), (m["start"] + F.length(m["match"])).alias("end"), F.lower(m["before"]).alias("before")), lambda x: made(m, blocks, x))
+
+    def made(m: Column, blocks: Column, x: Column) -> Column:
+        start = m["start"] + F.instr(m["match"], x["value"]) - 1
+        near = F.flatten(F.transform(F.filter(blocks, lambda b: (b["low"] < x["end"]) & (b["high"] > m["start"])), lambda b: b["spans"]))
+        seeds = F.filter(near, lambda b: (b["start"] < x["end"]) & (b["end"] > m["start"]))
         return F.struct(
-            value.alias("value"),
+            x["value"].alias("value"),
             start.alias("start"),
-            (start + F.length(value)).alias("end"),
+            (start + F.length(x["value"])).alias("end"),
             F.try_element_at(seeds, F.lit(1))["kind"].alias("kind"),
-            F.regexp_extract(before, r"(?<!\S)(\S++)\s++$", 1).alias("last"),
-            F.regexp_extract(before, r"(?<!\S)(\S++)\s++\S++\s++$", 1).alias("prev"),
+            F.regexp_extract(x["before"], r"(?<!\S)(\S++)\s++$", 1).alias("last"),
+            F.regexp_extract(x["before"], r"(?<!\S)(\S++)\s++\S++\s++$", 1).alias("prev"),
         )
 
-    found = F.filter(F.transform(_placed_in_context(text, CANDIDATE), row), lambda c: (c["last"] != "") & (c["value"] != ""))
-    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+    cut = F.transform(F.sequence(F.lit(1), F.floor(F.size(base) / BLOCK).cast("int") + 1), lambda b: F.slice(base, (b - 1) * BLOCK + 1, BLOCK))
+    blocks = F.transform(
+        F.filter(cut, lambda b: F.size(b) > 0),
+        lambda b: F.struct(b.alias("spans"), F.array_min(F.transform(b, lambda x: x["start"])).alias("low"), F.array_max(F.transform(b, lambda x: x["end"])).alias("high")),
+    )
+    found = bound(blocks, lambda bs: F.transform(_placed(text, CANDIDATE, before=True), lambda m: row(m, bs)))
+    return F.when(text.rlike("[0-9@]"), F.filter(found, lambda c: (c["last"] != "") & (c["value"] != ""))).otherwise(none)
 
 
 def _contexts(found: DataFrame) -> DataFrame:
@@ -140,18 +160,17 @@ def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     pairs = docs.select(words.alias("w")).select(
         F.explode(F.arrays_zip(F.col("w").alias("cur"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1)).alias("before"))).alias("p")
     )
-    size = contexts.agg(F.sum(F.octet_length("context.last") + F.coalesce(F.octet_length("context.prev"), F.lit(0)) + 60)).first()[0] or 0
-    blocks = max(1, math.ceil(size / BROADCAST_BYTES))
-    counts = None
-    for k in range(blocks):
-        part = contexts.where(F.pmod(F.xxhash64("context.last"), F.lit(blocks)) == k) if blocks > 1 else contexts
-        found = (
-            pairs.join(F.broadcast(part), (F.col("p.cur") == F.col("context.last")) & (F.col("context.prev").isNull() | (F.col("context.prev") == F.col("p.before"))))
-            .groupBy("context")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        counts = found if counts is None else counts.unionByName(found)
-    return counts
+    bounded = F.broadcast if _bytes_of(contexts) <= BROADCAST_BYTES else lambda table: table
+    counted = pairs.select("p.cur", "p.before").groupBy("cur", "before").agg(F.count(F.lit(1)).alias("n")) if bounded is not F.broadcast else pairs.select("p.cur", "p.before", F.lit(1).alias("n"))
+    one = contexts.where(F.col("context.prev").isNull())
+    two = contexts.where(F.col("context.prev").isNotNull())
+    found = counted.join(bounded(one), F.col("cur") == F.col("context.last")).select("context", "n")
+    both = counted.join(bounded(two), (F.col("cur") == F.col("context.last")) & (F.col("before") == F.col("context.prev"))).select("context", "n")
+    return found.unionByName(both).groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def _bytes_of(contexts: DataFrame) -> int:
+    return contexts.agg(F.sum(F.octet_length("context.last") + F.coalesce(F.octet_length("context.prev"), F.lit(0)) + 60)).first()[0] or 0
 
 
 def accepted_contexts(docs: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -237,23 +256,19 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span, or run of overlapping ones, replaced by its first kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,kind:int,end:int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.try_element_at(done, F.lit(-1))["start"].alias("start"),
-                        F.try_element_at(done, F.lit(-1))["kind"].alias("kind"),
-                        F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    ends = lambda m: F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["end"]))
-    pieces = F.zip_with(ends(merged), merged, lambda end, s: F.when(s.isNotNull(), F.concat(F.substring(text, end + 1, s["start"] - end), F.get(names, s["kind"]))).otherwise(F.substring(text, end + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
+    reached = before_each(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda s, x: F.greatest(s, x))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CUT).cast("int")), lambda b: F.substring(text, b * CUT + 1, F.lit(CUT)))
+
+    def between(parts: Column, low: Column, high: Column) -> Column:
+        """The text from low to high, from the few cuts that have it."""
+        first = F.floor(low / CUT).cast("int")
+        held = F.array_join(F.slice(parts, first + 1, F.floor(high / CUT).cast("int") - first + 1), "")
+        return F.substring(held, low - first * CUT + 1, high - low)
+
+    def replaced(parts: Column) -> Column:
+        # a span that begins at or beyond all ends before it opens a new run
+        pieces = F.zip_with(spans, reached, lambda s, at: F.when(s["start"] >= at, F.concat(between(parts, at, s["start"]), F.get(names, s["kind"]))))
+        return F.concat(F.array_join(pieces, ""), between(parts, last, F.length(text)))
+
+    return F.when(F.size(spans) > 0, bound(cut, replaced)).otherwise(text)

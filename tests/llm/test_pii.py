@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -107,6 +108,35 @@ def test_context_reaches_before_another_candidate(spark):
     assert [(c.value, c.last, c.prev, text[c.start : c.end]) for c in row.c] == [("A7", "account", "", "A7"), ("jdoe77", "a7", "account", "jdoe77")]
 
 
+def test_long_words_are_whole_contexts(spark):
+    from pyspark.sql import functions as F
+
+    text = "x " + "w" * 130 + "  12 and " + "é" * 20000 + " 7"
+    docs = spark.createDataFrame([(text,)], "text string")
+    (row,) = docs.select(pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()
+    assert [(len(c.last), c.prev) for c in row.c] == [(130, "x"), (20000, "and")]
+
+
+def test_very_many_matches_take_no_quadratic_time(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"n{i} a@b{i}.cd" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, spans string")
+    began = time.monotonic()
+    found = pii.personal_data(docs, keep=("doc_id", "text"))
+    (row,) = found.select("base", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert time.monotonic() - began < 60
+    assert [tuple(s) for s in row.base] == brute(text)
+    assert row.t == " ".join(f"n{i} [EMAIL]" for i in range(50_000))
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([("ab cdef gh", [(1, 0, 4), (3, 2, 6), (6, 3, 7), (9, 1, 10)])], "t string, s array<struct<start:int,kind:int,end:int>>")
+    assert docs.select(pii.redacted(F.col("t"), F.col("s"))).first()[0] == "a[EMAIL][PHONE] g[IP]"
+
+
 def test_redaction_replaces_spans(spark):
     docs = spark.createDataFrame([(0, "mail a@b.cd now +1 (212) 555-0100"), (1, "clean"), (2, None)], "doc_id long, text string")
     found = pii.personal_data(docs, keep=("doc_id", "text"))
