@@ -201,7 +201,10 @@ fit AS (
   SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, verdict DESC, rule DESC) AS k
   FROM part JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict,
-  CASE WHEN regexp_matches(host || path, '^([^/]*\.)?(casino|porn|viagra|xxx)(\.|/|$)|/(casino|porn|viagra|xxx)(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN regexp_matches(host || path, '(?s)(^([^/]*\.)?|/)(casino|porn|viagra|xxx)([^A-Za-z0-9-]|$)')
+    OR regexp_matches(host || path, '(?s)^([^/]*\.)?[^/]*\.example\.[^/]*/ads/') OR regexp_matches(host || path, '(?s)^([^/]*\.)?tracker[^/]*\.[^/]*([^A-Za-z0-9-]|$)')
+    OR regexp_matches(host || path, '(?s)/login[^/]*\.php$') OR regexp_matches(host || path, '(?s)/out([^A-Za-z0-9-]|$).*url')
+    OR regexp_matches(host || path, '(?s)^([^/]*\.)?free-[^/]*-download\.[^/]*([^A-Za-z0-9-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM part LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r)
 """,
     "op4_decontamination": r"""

@@ -2,14 +2,19 @@
 
 A rule is written ``host/path``. It fits its host and all subdomains where the URL's path starts with the
 rule's; the longest fitting rule decides, and of equally long ones block. Pages that no rule fits get the
-verdict of pattern rules, which look for words in the URL, and are allowed where none matches.
+verdict of pattern rules, and are allowed where none matches.
 
-All literal tokens of a rule (labels of its host, whole segments of its path) must be in a URL that it fits.
-So each rule is indexed by the token that fewest URLs of the table have; a URL's tokens fetch its candidates,
-and only on those regular expressions run.
+A pattern is compared with host and path together. ``*`` stands for any characters but ``/``, ``**`` for any at all,
+``^`` for one that is neither letter, digit nor hyphen, or for the end. A leading ``||`` anchors it at the host or at a
+label of it, ``|`` at the host's beginning or, written last, at the end of the path; otherwise it may match anywhere.
+
+All literal tokens of a rule must be in a URL that it fits: labels of its host and whole segments of its path, and of a
+pattern those runs of letters, digits and hyphens that nothing in it could lengthen. So each rule is indexed by the token
+that fewest URLs of the table have; a URL's tokens fetch its candidates, and only on those regular expressions run.
+Patterns without such a token are candidates of every URL.
 
 Null URLs and those without ``://`` have an empty host and path and fit nothing. Repeated rows give a row
-each. Columns beyond those named are ignored.
+each. Very long URLs are read whole. An empty table gives no rows. Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ from quern.sources.scratch import written
 
 #: (verdict, rule)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that, as a whole label or segment, block a page that no rule fits.
-PATTERNS = ("casino", "porn", "viagra", "xxx")
+#: What blocks a page that no rule fits.
+PATTERNS = (
+    "||casino^", "||porn^", "||viagra^", "||xxx^", "/casino^", "/porn^", "/viagra^", "/xxx^",
+    "||*.example.*/ads/**", "||tracker*.*^", "**/login*.php|", "/out^**url", "||free-*-download.*^",
+)
 #: Rules in one broadcast, some 300 bytes each; a longer list is joined by a shuffle.
 BROADCAST_RULES = 50_000
-#: A token of every URL, which brings its row; no other token is without a kind.
+#: A token of every URL, which brings its row and the patterns without a literal token; no other token is without a kind.
 END = ""
+#: Characters of a pattern that its regular expression takes as they are.
+_PLAIN = r"[A-Za-z0-9/_-]"
 
 
 def host_of(url: Column) -> Column:
@@ -44,42 +54,70 @@ def _after_scheme(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens with their kind: labels of the host, segments of the path."""
+    """Distinct tokens with their kind: labels of the host, segments of the path, and words of either."""
     return F.array_distinct(
         F.concat(
             F.transform(F.split(host, r"\.", -1), lambda x: F.concat(F.lit("h:"), x)),
             F.transform(F.split(path, "/", -1), lambda x: F.concat(F.lit("p:"), x)),
+            F.transform(F.regexp_extract_all(F.concat(host, path), F.lit(WORD), F.lit(0)), lambda x: F.concat(F.lit("w:"), x)),
         )
     )
 
 
+#: Words of URLs, by which patterns are found.
+WORD = "[A-Za-z0-9-]+"
+
+
+def pattern_regex(pattern: Column) -> Column:
+    """The regular expression over host and path that a pattern stands for."""
+    body = F.regexp_replace(F.regexp_replace(pattern, r"^\|{1,2}", ""), r"\|$", "")
+    # one character or wildcard at a time, so that nothing is replaced twice
+    parts = F.transform(
+        F.regexp_extract_all(body, F.lit(r"\*\*|."), F.lit(0)),
+        lambda x: F.when(x == "**", ".*").when(x == "*", "[^/]*").when(x == "^", "(?:[^A-Za-z0-9-]|$)").when(x.rlike(_PLAIN), x).otherwise(F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))),
+    )
+    start = F.when(F.startswith(pattern, F.lit("||")), F.lit(r"^(?:[^/]*\.)?")).when(F.startswith(pattern, F.lit("|")), F.lit("^")).otherwise(F.lit(""))
+    return F.concat(F.lit("(?s)"), start, F.array_join(parts, ""), F.when(F.endswith(pattern, F.lit("|")), F.lit("$")).otherwise(F.lit("")))
+
+
+def pattern_tokens(pattern: Column) -> Column:
+    """Words of a pattern that end on both sides within it, at its anchors too."""
+    closed = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"^\|{1,2}", "/"), r"\|$", "/"), r"\^", "/")
+    return F.transform(F.regexp_extract_all(closed, F.lit(r"(?<=[^A-Za-z0-9*-])[A-Za-z0-9-]+(?=[^A-Za-z0-9*-])"), F.lit(0)), lambda x: F.concat(F.lit("w:"), x))
+
+
+def _listed(spark: SparkSession, schema: tuple[str, ...], rows) -> DataFrame:
+    """A short list as a table that no Python worker makes."""
+    structs = [F.struct(*(F.lit(v).cast("string").alias(k) for k, v in zip(schema, row, strict=True))) for row in rows]
+    empty = F.array().cast("array<struct<" + ",".join(f"{k}:string" for k in schema) + ">>")
+    return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))
+
+
 def rule_table(spark: SparkSession, rules=RULES, patterns=PATTERNS) -> DataFrame:
     """rule (null for patterns), name, verdict, regex over host and path, size, tokens of which one is in any URL it fits."""
-    listed = spark.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string")
+    listed = _listed(spark, ("verdict", "rule"), rules)
     host, path = F.split_part("rule", F.lit("/"), F.lit(1)), F.regexp_extract("rule", r"^[^/]*(.*)$", 1)
     segments = F.split(path, "/", -1)
     whole = F.filter(F.slice(segments, 1, F.size(segments) - 1), lambda x: x != "")
-    quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
     urls = listed.select(
         "rule",
         F.col("rule").alias("name"),
         "verdict",
-        F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(F.col("rule"))).alias("regex"),
+        F.concat(F.lit(r"^(?:[^/]*\.)?\Q"), "rule", F.lit(r"\E")).alias("regex"),
         F.length("rule").alias("size"),
         F.concat(
             F.transform(F.split(host, r"\.", -1), lambda x: F.concat(F.lit("h:"), x)),
             F.transform(whole, lambda x: F.concat(F.lit("p:"), x)),
         ).alias("tokens"),
     )
-    found = spark.createDataFrame([(p, k) for p in patterns for k in ("h:", "p:")], "word string, kind string").select(
+    pattern = F.col("pattern")
+    found = _listed(spark, ("pattern",), [(p,) for p in patterns]).select(
         F.lit(None).cast("string").alias("rule"),
-        F.concat("kind", "word").alias("name"),
+        F.concat(F.lit("pattern "), pattern).alias("name"),
         F.lit("block").alias("verdict"),
-        F.when(F.col("kind") == "h:", F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(F.col("word")), F.lit(r"(?:\.|/|$)")))
-        .otherwise(F.concat(F.lit("/"), quoted(F.col("word")), F.lit("(?:/|$)")))
-        .alias("regex"),
+        pattern_regex(pattern).alias("regex"),
         F.lit(0).alias("size"),
-        F.array(F.concat("kind", "word")).alias("tokens"),
+        pattern_tokens(pattern).alias("tokens"),
     )
     return urls.unionByName(found)
 
@@ -95,7 +133,8 @@ def indexed_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
         .where(F.col("rarest.n") > 0)
     )
-    return rules.drop("tokens").join(rarest, ["name", "verdict"]).withColumn("token", F.col("rarest.token")).drop("rarest")
+    found = rules.drop("tokens").join(rarest, ["name", "verdict"]).withColumn("token", F.col("rarest.token")).drop("rarest")
+    return found.unionByName(rules.where(F.size("tokens") == 0).drop("tokens").withColumn("token", F.lit(END)))
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -110,7 +149,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, keep: tuple[str
     )
     tokens = urls.select("*", F.explode(F.concat(tokens_of(F.col("host"), F.col("path")), F.array(F.lit(END)))).alias("token"))
     index = written(indexed_rules(tokens.select("token"), rules), "rules")
-    end = index.sparkSession.createDataFrame([(END,)], "token string")
+    end = index.sparkSession.range(1).select(F.lit(END).alias("token"))
     candidates = _bounded(index.unionByName(end, allowMissingColumns=True))
     fit = tokens.join(candidates, "token").where(F.col("regex").isNull() | F.rlike(F.concat("host", "path"), F.col("regex")))
     # struct order: longest first, then block before allow

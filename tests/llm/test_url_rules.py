@@ -1,4 +1,6 @@
-from quern.llm.url_rules import judge_urls
+import re
+
+from quern.llm.url_rules import judge_urls, pattern_tokens, rule_table
 
 
 def test_rules(spark):
@@ -26,3 +28,30 @@ def test_rules(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+PLAIN = {
+    "||casino^": r"^([^/]*\.)?casino([^A-Za-z0-9-]|$)",
+    "||ads*.net/x^": r"^([^/]*\.)?ads[^/]*\.net/x([^A-Za-z0-9-]|$)",
+    "**/login*.php|": r".*/login[^/]*\.php$",
+    "|www.a+b.*/**/end|": r"^www\.a\+b\.[^/]*/.*/end$",
+    "*.*": r"[^/]*\.[^/]*",
+    "free-*-download": r"free-[^/]*-download",
+}
+URLS = ["casino.net", "my.casino", "casinos.net", "ads7.net/x", "b.ads.net/x/y", "ads.net/xy", "a.b/c/login9.php", "a.b/login.php/", "www.a+b.c/d/e/end", "www.aab.c/d/end", "free-x-download.io", "get/free--download", "", "Casino.net/casino"]
+
+
+def test_patterns_match_plain_expressions(spark):
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(URLS)], "page_id long, url string")
+    for pattern, regex in PLAIN.items():
+        got = judge_urls(pages, rule_table(spark, rules=(), patterns=(pattern,))).collect()
+        assert len(got) == len(URLS)
+        for r in got:
+            assert (r.verdict == "block") == bool(re.search(regex, r.host + r.path, re.S)), (pattern, r.host + r.path)
+
+
+def test_tokens_of_patterns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(p,) for p in PLAIN], "p string").select("p", pattern_tokens(F.col("p")).alias("t")).collect()
+    assert {r.p: r.t for r in rows} == {"||casino^": ["w:casino"], "||ads*.net/x^": ["w:net", "w:x"], "**/login*.php|": ["w:php"], "|www.a+b.*/**/end|": ["w:www", "w:a", "w:b", "w:end"], "*.*": [], "free-*-download": []}
