@@ -67,3 +67,30 @@ def test_repeated_rows_without_id_keep_one(spark):
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
     got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
     assert len(got) == 2 and (None, good) in got
+
+
+def test_columns_of_clashing_names_and_repeats(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    base = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, words("a"), "en", "a", 1), (2, words("b") + " x@y.zz", "en", "a", 1), (2, words("b") + " x@y.zz", "en", "a", 1), (3, words("c"), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, base)
+    names = "spans base cands row kept text_hash hash _id _hash gone_doc_id measures n_words hits items component_id tokens ids".split()
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, cp.F.lit(k))
+    columns = docs.columns
+    for _, stage in cp.STAGES[:-1]:
+        docs = cp.written(stage(spark, docs, SF), "s")
+        assert docs.columns == columns
+    got = docs.collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3]
+    assert all(getattr(r, name) == k for r in got for k, name in enumerate(names))
+    assert "[EMAIL]" in next(r.text for r in got if r.doc_id == 2)
+    assert {r.doc_id for r in cp.pack(spark, docs, SF).collect()} == {1, 2, 3}
+
+
+def test_null_texts_stay_however_other_rows_repeat(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").schema
+    nulls = [(1, None, "en", "a", 1)] * 2
+    again = [(2, " ".join(f"w{i}" for i in range(30)), "en", "a", 1)] * 2
+    for rows, n in ((nulls, 2), (nulls + again, 3)):
+        assert cp.near_duplicates(spark, spark.createDataFrame(rows, base), SF).count() == n
