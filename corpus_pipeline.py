@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet
-and read again. All but the last return the columns of documents.
+and read again. All but the last return the columns of documents, and further columns of any name unchanged.
+
+Rows are told apart by doc_id and text, nulls included. Null and empty texts fail the quality rules; given to a later
+stage alone they stay as they are, and packing gives them the end id. Of rows that repeat doc_id and text the
+near-duplicate stage keeps one where they have words. Ties go to the smallest doc_id. Very long texts are worked on
+whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,13 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows of those doc_ids and hashes of texts."""
     keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return _matching(docs, keys, "left_anti")
+
+
+def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to ``_id`` and ``_hash`` of ``keys``; held as one column, so that no names can clash."""
+    held = docs.select(F.struct("*").alias("_doc"))
+    return held.join(keys, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_hash")), how).select("_doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     kept = _without(docs, gone.join(stays, same, "left_anti"))
-    if gone.join(stays, same, "left_semi").isEmpty():
+    twice = written(stays.join(gone, same, "left_semi").distinct(), "repeated")
+    n = twice.count()
+    if not n:
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    twice = F.broadcast(twice) if n <= BROADCAST_KEYS else twice
+    return _matching(kept, twice, "left_anti").unionByName(_matching(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +69,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    found = pii.personal_data(docs, keep=tuple(docs.columns))
-    masked = found.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
-    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = pii.personal_data(docs.select(F.struct("*").alias("_doc"), "text"), keep=("_doc",))
+    masked = pii.redacted(F.col("_doc.text"), F.col("spans"))
+    doc = F.col("_doc").withField("text", masked)
+    counted = F.when(F.size("spans") > 0, F.length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return found.select(doc.withField("n_chars", counted).alias("_doc")).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
