@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+#: Words that title searches leave out.
+STOP_WORDS = (
+    "biết", "cho", "câu", "có", "của", "được", "gì", "hiện", "hỏi", "khi", "là", "lòng", "nào",
+    "những", "như", "quy", "sau", "thế", "theo", "thì", "tôi", "trong", "và", "về", "vui", "xin",
+)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for each row, however often a lambda within reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def clean(c: Column) -> Column:
     """White space collapsed and trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -35,20 +47,47 @@ def spaced(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def query_terms(c: Column, most: int = 12) -> Column:
-    """Distinct terms of two characters or more, in order, ``most`` of them."""
-    return F.slice(F.array_distinct(F.filter(terms(c), lambda x: F.length(x) >= 2)), 1, most)
+def query_terms(c: Column) -> Column:
+    """Distinct terms of two characters or more, in order."""
+    return F.array_distinct(F.filter(terms(c), lambda x: F.length(x) >= 2))
+
+
+def title_terms(c: Column, most: int = 12) -> Column:
+    """Those that are no stop words, ``most`` of them: what a title index is asked for."""
+    return F.slice(F.array_except(query_terms(c), F.array(*map(F.lit, STOP_WORDS))), 1, most)
+
+
+def document_number(c: Column) -> Column:
+    """Upper case without white space."""
+    return F.upper(F.regexp_replace(c, r"(?U)\s+", ""))
+
+
+def document_numbers(c: Column) -> Column:
+    """Document numbers that a query names, normalised, in order."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?iu)(?<![0-9])([0-9]{1,4}\s*/\s*[0-9]{4}\s*/\s*[A-ZĐ][A-ZĐ0-9-]*)"), F.lit(1))
+    return F.transform(found, document_number)
+
+
+def locator(c: Column) -> Column:
+    """Lower case, blanks collapsed, no full stop after digits; null is empty."""
+    return F.regexp_replace(clean(F.lower(c)), r"([0-9]+)\.", "$1")
 
 
 def windows(tokens: Column, size: int, overlap: int) -> Column:
     """Runs of ``size`` tokens, each ``overlap`` into the last; none begins once one has reached the end."""
-    step, n = size - overlap, F.size(tokens)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (n > 0) & ((i == 0) | (i - step + size < n)))
-    return F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(size)))
+    step = size - overlap
+
+    def cut(ts: Column) -> Column:
+        n = F.size(ts)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (n > 0) & ((i == 0) | (i - step + size < n)))
+        return F.transform(starts, lambda i: F.slice(ts, i + 1, F.lit(size)))
+
+    return bound(tokens, cut)
 
 
+# The four patterns of contacts and the three of secrets below say what is redacted, in this order.
 def redact_contacts(c: Column) -> Column:
-    """Mail addresses, then mobile numbers, then identity numbers of 12 or 9 digits."""
+    """Mail addresses, then mobile numbers, then identity numbers of 12 or 9 digits, by labels of this library."""
     c = F.regexp_replace(c, r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "[EMAIL]")
     c = F.regexp_replace(c, r"(?:\+?84|0)[35789][0-9]{8}(?![\p{L}\p{N}_])", "[PHONE]")
     return F.regexp_replace(c, r"(?<![\p{L}\p{N}_])(?:[0-9]{12}|[0-9]{9})(?![\p{L}\p{N}_])", "[ID]")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.scratch import written
 
 #: The vocabulary of flags.
 FLAGS = ("abnormal_length", "duplicate_content_hash", "empty_content", "encoding_damage", "invalid_issuance_date", "missing_document_number", "missing_source_url", "missing_title")
@@ -23,6 +24,7 @@ def flagged(docs: DataFrame) -> DataFrame:
     """
     body = T.normalized(F.col("text"))
     base = docs.select("doc_id", "source", F.length(body).alias("size"), F.sha2(body, 256).alias("content_sha256"), body.rlike(T.MOJIBAKE).alias("damaged"))
+    base = written(base, "hashed")  # hashed once for the count and for what it is joined to
     copies = base.groupBy("content_sha256").agg((F.count(F.lit(1)) > 1).alias("copied"))
     flag = lambda when, name: F.when(when, F.lit(name))
     flags = F.array(

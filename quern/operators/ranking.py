@@ -6,12 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.scratch import written
 
 RRF_K = 60
 #: Queries in one broadcast; more are joined by a shuffle.
 BROADCAST_QUERIES = 100_000
 
 
+def blocks(table: DataFrame, most: int = BROADCAST_QUERIES) -> list[DataFrame]:
+    """``table`` as broadcasts of ``most`` rows or so, for joins that no key narrows: never a product of two large tables."""
+    rows = table.count()
+    if rows <= most:
+        return [F.broadcast(table)]
+    parts = -(-rows // most)
+    held = written(table.withColumn("_block", F.pmod(F.xxhash64(*table.columns), F.lit(parts))), "blocks")
+    return [F.broadcast(held.where(F.col("_block") == k).drop("_block")) for k in range(parts)]
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def bounded(table: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
     """``table``, to be broadcast where it has ``most`` rows at most."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
@@ -22,8 +40,11 @@ def ranked(scored: DataFrame, top: int, *order: Column, by: str = "query_id") ->
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top)
 
 
-def lexical_lane(queries: DataFrame, docs: DataFrame, top: int = 24, phrase_bonus: float = 0.0) -> DataFrame:
-    """Sum of 1 + ln(tf) over a query's distinct terms; joined by term, so that only sharing pairs meet."""
+def lexical_lane(queries: DataFrame, docs: DataFrame, top: int = 24, phrase_bonus: float = 0.0, within: DataFrame | None = None) -> DataFrame:
+    """Sum of 1 + ln(tf) over all distinct terms of a query; joined by term, so that only sharing pairs meet.
+
+    ``within`` (query_id, doc_id): only these are ranked. Null and empty texts share nothing; ties go to the smaller doc_id.
+    """
     wanted = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
     vocabulary = bounded(wanted.select("term").distinct())
     postings = docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -31,31 +52,67 @@ def lexical_lane(queries: DataFrame, docs: DataFrame, top: int = 24, phrase_bonu
     if phrase_bonus:
         hits = containment(queries, docs).withColumn("hit", F.lit(phrase_bonus))
         scored = scored.join(hits, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("hit", F.lit(0.0)), 6).alias("score"))
+    if within is not None:
+        scored = scored.join(within.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     return ranked(scored, top, F.desc("score"), F.asc("doc_id"))
 
 
+WINDOW_WORDS, LEAST_WORDS = 12, 20
+
+
+def needles(queries: DataFrame) -> DataFrame:
+    """query_id, part and needle: each cleaned, lower-case anchor (0) and, from ``LEAST_WORDS`` words on, its first, middle and last windows (1 to 3)."""
+    asked = queries.select("query_id", F.lower(T.clean(F.col("text"))).alias("anchor")).where(F.col("anchor") != "").withColumn("words", F.split("anchor", " "))
+    n = F.size("words")
+    window = lambda start: F.array_join(F.slice("words", start, F.lit(WINDOW_WORDS)), " ")
+    half = WINDOW_WORDS // 2
+    cut = F.array(window(F.lit(1)), window(F.floor(n / 2).cast("int") - half + 1), window(n - WINDOW_WORDS + 1))
+    parts = F.concat(F.array("anchor"), F.when(n >= LEAST_WORDS, cut).otherwise(F.array().cast("array<string>")))
+    return asked.select("query_id", F.posexplode(parts).alias("part", "needle"))
+
+
 def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id and doc_id where the cleaned, lower-case text holds the query's as a substring.
+    """query_id and doc_id where the cleaned, lower-case text holds the query's, or two of its three windows, as substrings.
 
-    The tokens within a query, without its first and last, must be whole tokens of the text. The longest of them (ties:
-    the smaller) is joined by equality with the distinct tokens of texts, and only pairs that meet there are compared.
-    Queries of under three tokens have no such token and are compared with all texts.
+    The tokens within a needle, without its first and last, must be whole tokens of the text. The longest of them (ties:
+    the smaller) is joined by equality with the distinct tokens of texts; texts are fetched for pairs that meet there.
+    Needles of under three tokens have no such token and are compared with all texts, in blocks. Null and empty queries
+    are contained in nothing; repeated rows count once.
     """
-    asked = queries.select("query_id", F.lower(T.clean(F.col("text"))).alias("anchor")).where(F.col("anchor") != "")
-    inner = F.transform(F.slice(F.split("anchor", " "), 2, F.greatest(F.size(F.split("anchor", " ")) - 2, F.lit(0))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))
-    asked = asked.select("query_id", "anchor", F.array_min(inner)["token"].alias("key"))
+    words = F.split("needle", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))
+    asked = written(needles(queries).withColumn("key", F.array_min(inner)["token"]), "needles")
     body = docs.select("doc_id", F.lower(T.clean(F.col("text"))).alias("body"))
-    tokens = body.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("key"))
-    keyed = tokens.join(bounded(asked.where(F.col("key").isNotNull())), "key")
-    short = body.join(bounded(asked.where(F.col("key").isNull())), F.contains("body", "anchor"))
-    return keyed.where(F.contains("body", "anchor")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id")).distinct()
+    keyed = asked.where(F.col("key").isNotNull())
+    tokens = body.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("key"))
+    pairs = written(tokens.join(bounded(keyed), "key").select("doc_id", "query_id", "part", "needle").distinct(), "pairs")
+    found = pairs.join(body, "doc_id").where(F.contains("body", "needle")).select("query_id", "doc_id", "part")
+    short = [body.join(part, F.contains("body", "needle")).select("query_id", "doc_id", "part") for part in blocks(asked.where(F.col("key").isNull()))]
+    parts = together([found, *short]).groupBy("query_id", "doc_id").agg(F.collect_set("part").alias("parts"))
+    return parts.where(F.array_contains("parts", 0) | (F.size("parts") >= 2)).select("query_id", "doc_id")
+
 
+def fused(lanes: DataFrame, k: int = RRF_K, first_lane: str = "exact") -> DataFrame:
+    """Reciprocal-rank fusion of query_id, lane, rank, doc_id: score and rank.
 
-def fused(lanes: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of query_id, lane, rank, doc_id: score and rank; ties by doc_id. A repeated item counts at its first rank."""
+    Ties go to items that ``first_lane`` has, then to its smaller rank, then to the smaller doc_id. Sums are taken in the
+    order of ranks, so equal ranks make equal sums. A repeated item counts at its first rank.
+    """
     first = lanes.groupBy("query_id", "lane", "doc_id").agg(F.min("rank").alias("rank"))
-    scored = first.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.count(F.lit(1)).alias("n_lanes"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    scored = first.groupBy("query_id", "doc_id").agg(
+        F.aggregate(F.array_sort(F.collect_list("rank")), F.lit(0.0), lambda s, r: s + 1.0 / (k + r)).alias("sum"),
+        F.count(F.lit(1)).alias("n_lanes"),
+        F.min(F.when(F.col("lane") == first_lane, F.col("rank"))).alias("own"),
+    )
+    order = (F.desc("sum"), F.asc_nulls_last("own"), F.asc("doc_id"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select("query_id", "doc_id", F.round("sum", 9).alias("score"), "n_lanes", "rank")
+
+
+def merged_lanes(lanes: DataFrame, payload: str) -> DataFrame:
+    """A row for each query and item with its rank in every lane, and conflict where lanes disagree on its ``payload``."""
+    return lanes.groupBy("query_id", "doc_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_set(F.struct("lane", "rank")))).alias("ranks"), (F.count_distinct(payload) > 1).alias("conflict")
+    )
 
 
 def capped(hits: DataFrame, group: str, cap: int, top: int) -> DataFrame:
@@ -107,13 +164,45 @@ def bm25(queries: DataFrame, docs: DataFrame, top: int, k1: float = 1.2, b: floa
     stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     tf = words.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
+    asked = queries.select("query_id", F.explode(T.title_terms(F.col("text"))).alias("term"))
     hits = tf.join(bounded(asked), "term").join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return ranked(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")), top, F.desc("score"), F.asc("doc_id"))
 
 
+def numbers_first(queries: DataFrame, docs: DataFrame, titles: DataFrame, top: int) -> DataFrame:
+    """Documents whose number a query names, by place of the number and doc_id, then title hits; each once, ``top`` in all.
+
+    ``docs``: doc_id, number. ``titles``: query_id, doc_id, rank of the first 2 * ``top``.
+    """
+    named = queries.select("query_id", F.posexplode(T.document_numbers(F.col("text"))).alias("place", "number"))
+    exact = docs.select("doc_id", T.document_number(F.col("number")).alias("number")).join(bounded(named), "number")
+    both = exact.select("query_id", "doc_id", F.struct(F.lit(0).alias("tier"), F.col("place").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b")).alias("order"))
+    hits = titles.where(F.col("rank") <= 2 * top).select("query_id", "doc_id", F.struct(F.lit(1).alias("tier"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("order"))
+    places = both.unionByName(hits).groupBy("query_id", "doc_id").agg(F.min("order").alias("order"))
+    return ranked(places, top, F.asc("order")).select("query_id", "doc_id", "rank", (F.col("order.tier") == 0).alias("by_number"))
+
+
+def intent_score(query: Column, text: Column, intents: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], bonus: float = 4.0) -> Column:
+    """``bonus`` for each intent with a keyword in the query and one in the text."""
+    has = lambda c, words: F.greatest(*(F.contains(c, F.lit(w)) for w in words), F.lit(False))
+    q, t = F.lower(query), F.lower(T.clean(text))
+    return sum((F.when(has(q, asked) & has(t, told), bonus).otherwise(0.0) for asked, told in intents.values()), F.lit(0.0))
+
+
+#: Keywords of the query and of the text by intent.
+INTENTS = {
+    "definition": (("định nghĩa", "là gì", "hiểu như thế nào", "khái niệm"), ("là", "được hiểu là", "gồm", "nghĩa là")),
+    "penalty": (("xử phạt", "phạt tiền", "tội", "mức phạt", "phạt bao nhiêu", "bồi thường"), ("phạt", "tội", "tước", "phạt tiền", "bồi thường", "bị phạt")),
+    "deadline": (("thời hạn", "thời hiệu", "bao lâu", "ngày", "tháng", "khi nào"), ("thời hạn", "ngày", "tháng", "năm", "thời hiệu", "thời gian")),
+    "authority": (("cơ quan", "thẩm quyền", "ai có quyền", "bộ", "ủy ban", "đơn vị"), ("thẩm quyền", "cơ quan", "bộ", "ủy ban", "thủ tướng", "chủ tịch")),
+    "responsibility": (("trách nhiệm", "nghĩa vụ", "bắt buộc", "phải"), ("trách nhiệm", "nghĩa vụ", "bắt buộc", "phải", "có nghĩa vụ")),
+    "condition": (("điều kiện", "đối tượng", "được phép", "tiêu chuẩn", "quy chuẩn"), ("điều kiện", "đối tượng", "tiêu chuẩn", "quy chuẩn", "yêu cầu")),
+    "exception": (("trừ trường hợp", "ngoại lệ", "không áp dụng", "loại trừ"), ("trừ", "ngoại lệ", "không áp dụng", "loại trừ")),
+}
+
+
 def saturation_weights(docs: DataFrame, average: float, most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``most`` heaviest terms of each document under BM25 saturation without inverse frequency."""
     words = docs.select("doc_id", T.terms(F.col("text")).alias("terms")).withColumn("len", F.greatest(F.size("terms"), F.lit(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import written
+
 
 def hash_bucket(rows: DataFrame, key: str, share: float) -> DataFrame:
     """Rows whose SHA-256 of the key, its first 8 digits read as a share, is below ``share``."""
@@ -14,9 +16,9 @@ def hash_bucket(rows: DataFrame, key: str, share: float) -> DataFrame:
 
 def round_robin(rows: DataFrame, strata: tuple[str, ...], key: str, n: int, seed: str) -> DataFrame:
     """The first of every stratum, then the second, and so on, ``n`` in all; strata are shuffled by hash."""
-    order = F.sha2(F.concat_ws("-", F.lit(seed), F.col(key).cast("string")), 256)
+    order = F.sha2(F.concat_ws("\0", F.lit(seed), F.col(key).cast("string")), 256)
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))
-    return rows.withColumn("turn", turn).orderBy("turn", *strata).limit(n)
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", *strata).limit(n)
 
 
 def quartiles(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -44,17 +46,20 @@ def evenly_spaced(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def _at(rows: DataFrame, key: str, places: list[int]) -> DataFrame:
-    """Rows at those places by key: a range partition's base comes from counts, so no task sorts all rows."""
-    parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_part"))
-    placed = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    sizes, bases, total = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect(), [], 0
-    for r in sizes:
-        bases.append((r["_part"], total))
-        total += r["n"]
-    spark = rows.sparkSession
-    base = spark.createDataFrame(bases, "_part int, _base long")
-    wanted = spark.createDataFrame([(p,) for p in places], "_at long")
-    return placed.join(F.broadcast(base), "_part").withColumn("_at", F.col("_base") + F.col("_place")).join(F.broadcast(wanted), "_at").drop("_part", "_place", "_base", "_at")
+    """Rows at those places by key; ties of key may fall either way.
+
+    Rows are written with their range partition and place there, so that counts and rows come from one partitioning: its
+    bounds are sampled anew each time it is computed. No task sorts all rows, and a row for each partition reaches the driver.
+    """
+    parts = rows.repartitionByRange(F.col(key)).select("*", F.spark_partition_id().alias("_part"))
+    placed = written(parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1), "placed")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen, base = [], 0
+    for part in sorted(sizes):
+        chosen += [F.struct(F.lit(part).alias("_part"), F.lit(p - base).alias("_place")) for p in places if base <= p < base + sizes[part]]
+        base += sizes[part]
+    wanted = rows.sparkSession.range(1).select(F.inline(F.array(*chosen)))
+    return placed.join(F.broadcast(wanted), ["_part", "_place"]).drop("_part", "_place")
 
 
 def representatives(rows: DataFrame, group: str, key: str) -> DataFrame:

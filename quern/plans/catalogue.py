@@ -78,11 +78,12 @@ def token_budget_select(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_title_topk(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return ranking.bm25(parts.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text"), parts, 5)
+    return ranking.bm25(parts.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), parts, 5)
 
 
 def sparse_bm25_weights(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.saturation_weights(table(spark, d, "documents").select("doc_id", "text"), 300.0, 8)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return ranking.saturation_weights(docs, docs.agg(F.avg(F.size(T.terms(F.col("text"))))).first()[0] or 1.0, 64)
 
 
 def query_tf_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    parts = rows.where(F.col("vec_id") < 12).select((F.col("vec_id") % 3).alias("query_id"), F.col("vec_id").alias("part"), F.col("embedding").alias("q"))
+    parts = rows.where(F.col("vec_id") % 100 == 0).select((F.col("vec_id") / 100 % 3).cast("long").alias("query_id"), F.col("vec_id").alias("part"), F.col("embedding").alias("q"))
     return vectors.max_sim(parts, rows)
 
 
@@ -120,13 +121,13 @@ def class_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    seeds = lines.where((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 2)).select(F.col("l_orderkey").alias("seed_rank"), "l_orderkey", "l_linenumber")
+    seeds = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seed_rank"), "l_orderkey", "l_linenumber")
     return ranking.neighbours(seeds, lines.distinct(), "l_orderkey", "l_linenumber")
 
 
 def exact_ref_lane(spark: SparkSession, d: str) -> DataFrame:
-    lexical, exact = _lanes(spark, d)
-    kept = lexical.join(exact.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    exact = ranking.containment(_queries(spark, d), table(spark, d, "documents"))
+    kept = ranking.lexical_lane(_queries(spark, d), table(spark, d, "documents"), within=exact)
     return kept.select("query_id", "doc_id", "rank")
 
 
@@ -180,8 +181,8 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_text(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("source "), F.coalesce("source", F.lit("")))
-    body = F.concat_ws(" ", F.slice(T.spaced(F.col("text")), 1, 100))
-    return table(spark, d, "documents").select("doc_id", F.substring(F.concat_ws("\n", head, body), 1, 400).alias("dense_text"))
+    body = T.bound(T.spaced(F.concat_ws(" ", head, F.col("text"))), lambda ts: F.concat_ws(" ", F.slice(ts, 1, 420)))
+    return table(spark, d, "documents").select("doc_id", F.trim(F.substring(body, 1, 2400)).alias("dense_text"))
 
 
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:

@@ -20,22 +20,23 @@ def _spaced(c: str = "text") -> str:
 _LEX = f"""
 qt AS (
   SELECT DISTINCT item_id AS query_id, term FROM (
-    SELECT item_id, unnest(list_transform(list_sort(list_transform(list_distinct(list_filter(t, lambda x: length(x) >= 2)), lambda x: {{'p': list_position(t, x), 'x': x}}))[1:12], lambda s: s.x)) AS term
+    SELECT item_id, unnest(list_distinct(list_filter(t, lambda x: length(x) >= 2))) AS term
     FROM (SELECT item_id, {_terms()} AS t FROM benchmark))),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_terms()}) AS term FROM documents) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(sum(1 + ln(tf)), 6) AS score FROM qt JOIN tf USING (term) GROUP BY ALL),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 24)"""
 _GOLD = f"""
 gold AS (
-  SELECT item_id AS query_id, doc_id
-  FROM (SELECT item_id, lower({_CLEAN.format(c='text')}) AS a FROM benchmark) AS q
-  JOIN (SELECT doc_id, lower({_CLEAN.format(c='text')}) AS b FROM documents) AS x ON a <> '' AND contains(b, a)),
+  SELECT DISTINCT item_id AS query_id, doc_id
+  FROM (SELECT item_id, lower({_CLEAN.format(c='text')}) AS a, string_split(lower({_CLEAN.format(c='text')}), ' ') AS w FROM benchmark) AS q
+  JOIN (SELECT doc_id, lower({_CLEAN.format(c='text')}) AS b FROM documents) AS x ON a <> '' AND (contains(b, a) OR (len(w) >= 20
+    AND contains(b, array_to_string(w[1:12], ' '))::INT + contains(b, array_to_string(w[len(w) // 2 - 5:len(w) // 2 + 6], ' '))::INT + contains(b, array_to_string(w[len(w) - 11:], ' '))::INT >= 2))),
 exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM gold) WHERE rank <= 24)"""
 _FUSED = """
 fusing AS (
-  SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS n_lanes
-  FROM (SELECT query_id, doc_id, rank FROM lexical UNION ALL SELECT query_id, doc_id, rank FROM exact) GROUP BY ALL),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fusing)"""
+  SELECT query_id, doc_id, list_reduce(list_transform(list_sort(list(rank)), lambda r: 1.0::DOUBLE / (60 + r)), lambda a, b: a + b) AS total, count(*) AS n_lanes, min(own) AS own
+  FROM (SELECT query_id, doc_id, rank, NULL::BIGINT AS own FROM lexical UNION ALL SELECT query_id, doc_id, rank, rank FROM exact) GROUP BY query_id, doc_id),
+fused AS (SELECT query_id, doc_id, round(total, 9) AS score, n_lanes, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, own NULLS LAST, doc_id) AS rank FROM fusing)"""
 _FOUND = """
 found AS (SELECT query_id, doc_id, rank FROM gold LEFT JOIN lexical USING (query_id, doc_id))"""
 
@@ -127,27 +128,27 @@ SELECT query_id, x.used AS used, array_to_string(list_transform(x.held, lambda h
 st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM w),
 tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM w) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT DISTINCT doc_id AS query_id, term FROM (SELECT doc_id, unnest(t) AS term FROM w WHERE doc_id % 50 = 0) WHERE length(term) >= 2),
+q AS (SELECT DISTINCT doc_id AS query_id, term FROM (SELECT doc_id, unnest(t) AS term FROM w WHERE doc_id % 100 = 0) WHERE length(term) >= 2),
 s AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / al))), 6) AS score
   FROM tf JOIN q USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
     "sparse_bm25_weights": f"""WITH w AS (SELECT doc_id, {_terms()} AS t FROM documents),
 tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM w) GROUP BY ALL),
-s AS (SELECT doc_id, term, round(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / 300.0::DOUBLE)), 6) AS weight FROM tf)
-SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 8""",
+s AS (SELECT doc_id, term, round(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (SELECT greatest(avg(len(t)), 1) FROM w))), 6) AS weight FROM tf)
+SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 64""",
     "query_tf_weights": f"SELECT item_id AS query_id, term, round(1 + ln(count(*)), 6) AS weight FROM (SELECT item_id, unnest({_terms()}) AS term FROM benchmark) GROUP BY ALL",
     "cosine_topk": f"WITH {_VEC} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5",
     "dot_hybrid_alpha": f"""WITH {_VEC}, b AS (SELECT query_id, vec_id, round(0.75::DOUBLE * score + 0.25::DOUBLE * (label = q_label)::INT, 6) AS score FROM scored)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 5""",
     "semantic_cache_lookup": f"WITH {_VEC} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score >= 0.3) WHERE rank = 1",
     "maxsim_rerank": """SELECT query_id, label, round(sum(best), 6) AS score FROM (
-  SELECT q.vec_id % 3 AS query_id, q.vec_id AS part, v.label, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
-  FROM embeddings AS q CROSS JOIN embeddings AS v WHERE q.vec_id < 12 GROUP BY ALL) GROUP BY ALL""",
+  SELECT q.vec_id // 100 % 3 AS query_id, q.vec_id AS part, v.label, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
+  FROM embeddings AS q CROSS JOIN embeddings AS v WHERE q.vec_id % 100 = 0 GROUP BY ALL) GROUP BY ALL""",
     "class_recall": f"""WITH {_VEC}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10)
 SELECT query_id, round(avg((label = q_label)::INT), 6) AS precision_at_10, min(rank) FILTER (label = q_label) AS first_rank FROM t GROUP BY query_id""",
-    "neighbor_expand": """SELECT s.l_orderkey AS seed_rank, n.l_orderkey, n.l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber = 2) AS s
-JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderkey = s.l_orderkey AND abs(n.l_linenumber - s.l_linenumber) <= 1""",
-    "exact_ref_lane": f"WITH {_BOTH} SELECT query_id, doc_id, rank FROM lexical SEMI JOIN exact USING (query_id, doc_id)",
+    "neighbor_expand": """SELECT min(s.l_orderkey * 8 + s.l_linenumber) AS seed_rank, n.l_orderkey, n.l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS s
+JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderkey = s.l_orderkey AND abs(n.l_linenumber - s.l_linenumber) <= 1 GROUP BY ALL""",
+    "exact_ref_lane": f"WITH {_BOTH} SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored SEMI JOIN gold USING (query_id, doc_id)) WHERE rank <= 24",
     "anchor_containment": f"WITH {_GOLD} SELECT DISTINCT query_id, doc_id FROM gold",
     "join_integrity": """SELECT DISTINCT doc_id AS key, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
@@ -162,7 +163,7 @@ SELECT doc_id, s AS content_sha256, '[' || array_to_string(list_filter([
     "quality_histogram": f"""WITH b AS (SELECT doc_id, source, {_NORM} AS t FROM documents), h AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM b)
 SELECT 'abnormal_length' AS flag, count(*) FILTER (length(t) > 0 AND (length(t) < 40 OR length(t) > 50000)) AS n FROM h
 UNION ALL SELECT 'duplicate_content_hash', count(*) FILTER (k > 1) FROM h UNION ALL SELECT 'empty_content', count(*) FILTER (length(t) = 0) FROM h
-UNION ALL SELECT 'encoding_damage', count(*) FILTER (regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|á[º»]')) FROM h
+UNION ALL SELECT 'encoding_damage', count(*) FILTER (regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|Ä[\\x{{80}}-\\x{{BF}}ƒ‘’]|Æ[\\x{{80}}-\\x{{BF}}]|á[º»]|â[\\x{{80}}-\\x{{BF}}€‘-…]')) FROM h
 UNION ALL SELECT 'missing_source_url', count(*) FILTER (coalesce(trim(source), '') = '') FROM h
 UNION ALL SELECT unnest(['invalid_issuance_date', 'missing_document_number', 'missing_title']), 0""",
     "build_report": f"SELECT count(*) AS n_docs, sum(strlen({_NORM}))::BIGINT AS content_bytes, count(*) FILTER (length({_NORM}) = 0) AS n_empty, round(avg(CASE WHEN doc_id % 128 = 0 THEN len({_terms()}) END), 6) AS mean_terms FROM documents",
@@ -171,7 +172,7 @@ UNION ALL SELECT unnest(['invalid_issuance_date', 'missing_document_number', 'mi
     "token_windows": f"""WITH w AS (SELECT doc_id, {_spaced()} AS t FROM documents),
 s AS (SELECT doc_id, t, i FROM w, unnest(range(0, len(t), 80)) AS r(i) WHERE i = 0 OR i - 80 + 96 < len(t))
 SELECT doc_id, (i / 80)::INTEGER AS window_no, len(t[i + 1:i + 96])::INTEGER AS n_tokens, sha256(array_to_string(t[i + 1:i + 96], ' ')) AS sha FROM s""",
-    "dense_text": f"SELECT doc_id, substr('source ' || coalesce(source, '') || chr(10) || array_to_string({_spaced()}[1:100], ' '), 1, 400) AS dense_text FROM documents",
+    "dense_text": f"SELECT doc_id, trim(substr(array_to_string(({_spaced("'source ' || coalesce(source, '') || ' ' || coalesce(text, '')")})[1:420], ' '), 1, 2400)) AS dense_text FROM documents",
     "pii_redact": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+', '[EMAIL]', 'g'),
   '(\+?84|0)([35789][0-9]{8})([^\p{L}\p{N}_]|$)', '[PHONE]\3', 'g'), '(^|[^\p{L}\p{N}_])([0-9]{12}|[0-9]{9})([^\p{L}\p{N}_]|$)', '\1[ID]\3', 'g')) AS sha FROM documents""",
     "secret_redact": r"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(url || '&token=s3cret Bearer ab.c-9 mongodb://u:p4ss@h/x'),
@@ -228,7 +229,7 @@ SELECT event_id, user_id, turn, place FROM (SELECT *, row_number() OVER (PARTITI
     "latest_state": "SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, arg_max(value, {'t': ts, 'e': event_id}) AS value, count(*) AS n FROM events GROUP BY user_id",
     "resume_pending": "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 5) GROUP BY 1",
     "hash_bucket_sample": "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.1",
-    "stratified_round_robin": """SELECT doc_id, lang, source, turn FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('seed-1-' || doc_id), doc_id) AS turn FROM documents)
+    "stratified_round_robin": """SELECT doc_id, lang, source, turn FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('seed-1' || chr(0) || doc_id), doc_id) AS turn FROM documents)
 ORDER BY turn, lang NULLS FIRST, source NULLS FIRST LIMIT 50""",
     "quantile_strata": "SELECT doc_id, lang, least(3, (k - 1) * 4 // n)::INTEGER AS bucket FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)",
     "evenly_spaced": "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id FROM o WHERE k IN (SELECT DISTINCT i * (n - 1) // 16 FROM range(17) AS r(i), (SELECT count(*) AS n FROM documents))",

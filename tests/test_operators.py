@@ -15,7 +15,7 @@ def lanes(spark, rows):
 
 def test_fusion_orders_by_reciprocal_ranks(spark):
     got = ranking.fused(lanes(spark, [(1, "dense", 1, 1), (1, "dense", 2, 2), (1, "bm25", 1, 2), (1, "bm25", 2, 3), (1, "exact", 1, 3), (1, "exact", 5, 3)]))
-    assert [r.doc_id for r in got.orderBy("rank").collect()] == [2, 3, 1]
+    assert [r.doc_id for r in got.orderBy("rank").collect()] == [3, 2, 1]
 
 
 def test_interleaving_and_merging(spark):
