@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from quern.functions import text as T
 
@@ -37,6 +37,11 @@ def _tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_f1(x, y) if x or y else 1.0 for x, y in pairs], dtype=float)
 
 
+@F.pandas_udf(LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([(Counter(x.split()) & Counter(y.split())).total() for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
 @F.pandas_udf(DoubleType())
 def _gram_f1(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_f1(_grams(x, k), _grams(y, k)) if x and y else float(x == y) for x, y, k in zip(a, b, n, strict=True)], dtype=float)
@@ -131,3 +136,64 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
     """Each assistant's turn with the user's turn before it: conv_id, turn, reference (the user's) and answer."""
     users = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
     return turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(users, ["conv_id", "turn"])
+
+
+def overlap(answer: Column, reference: Column) -> dict[str, Column]:
+    """Precision and recall of words as multisets, four digits; both empty is 1, one empty 0."""
+    a, b = T.metric_text(answer), T.metric_text(reference)
+    n, m = F.size(T.spaced(a)), F.size(T.spaced(b))
+    common = _common(a, b)
+    share = lambda k: F.when((n == 0) & (m == 0), 1.0).when(k == 0, 0.0).otherwise(F.round(common / k, 4))
+    return {"precision": share(n), "recall": share(m)}
+
+
+def set_scores(found: Column, wanted: Column) -> dict[str, Column]:
+    """Precision, recall and the share of wrong ones of two sets; null where nothing is wanted."""
+    common, n, m = F.size(F.array_intersect(found, wanted)), F.size(F.array_distinct(found)), F.size(F.array_distinct(wanted))
+    share = lambda k, d: F.when(m > 0, F.when(d > 0, F.round(k / d, 4)).otherwise(0.0))
+    return {"precision": share(common, n), "recall": share(common, m), "invalid_rate": share(n - common, n)}
+
+
+def context_hits(contexts: DataFrame, references: DataFrame, share: float = 0.6) -> DataFrame:
+    """case_id, hit, recall and rr: a reference is found in the first context that holds it, or ``share`` of its terms.
+
+    ``contexts``: case_id, rank, text. ``references``: case_id, reference_id, text. Undefined (null) without references.
+    """
+    terms = lambda c: F.array_distinct(T.terms(c))
+    body = lambda c: T.clean(F.lower(c))
+    told = contexts.select("case_id", "rank", body(F.col("text")).alias("body"), terms(F.col("text")).alias("has"))
+    asked = references.select("case_id", "reference_id", body(F.col("text")).alias("wanted"), terms(F.col("text")).alias("asked"))
+    near = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "has")) / F.size("asked")).otherwise(0.0)
+    found = asked.join(told, "case_id").where(((F.col("wanted") != "") & F.contains("body", "wanted")) | (near >= share))
+    ranks = found.groupBy("case_id", "reference_id").agg(F.min("rank").alias("rank"))
+    held = asked.select("case_id", "reference_id").join(ranks, ["case_id", "reference_id"], "left").groupBy("case_id")
+    return held.agg(F.bool_or(F.col("rank").isNotNull()).alias("hit"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall"), F.round(F.coalesce(1.0 / F.min("rank"), F.lit(0.0)), 6).alias("rr"))
+
+
+def sane_rewrite(rewritten: Column, query: Column) -> Column:
+    """Whether a rewrite has two words, is not mostly repetition from six words on, and is at most twice as long."""
+    words = T.spaced(rewritten)
+    unique = F.size(F.array_distinct(F.transform(words, F.lower))) / F.greatest(F.size(words), F.lit(1))
+    return F.coalesce((F.size(words) >= 2) & ((F.size(words) < 6) | (unique >= 0.5)) & (F.length(rewritten) <= 2 * F.length(query)), F.lit(False))
+
+
+def presented(context: Column, source: str = "source:", title: str = "title:") -> Column:
+    """citation (a first line in brackets), title, url (http or https alone) and excerpt of a context's lines."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), r"\r\n?", "\n"), "\n"), F.trim), lambda x: x != "")
+    after = lambda mark: F.trim(F.substring(F.get(F.filter(lines, lambda x: F.startswith(F.lower(x), F.lit(mark))), 0), len(mark) + 1, 1 << 20))
+    bracket = lambda x: x.rlike(r"^\[.*\]$")
+    url = after(source)
+    rest = F.filter(lines, lambda x: ~bracket(x) & ~F.startswith(F.lower(x), F.lit(source)) & ~F.startswith(F.lower(x), F.lit(title)))
+    return F.struct(
+        F.trim(F.regexp_extract(F.get(F.filter(lines, bracket), 0), r"^\[(.*)\]$", 1)).alias("citation"),
+        F.nullif(after(title), F.lit("")).alias("title"),
+        F.when(url.rlike(r"(?i)^https?://"), url).alias("url"),
+        F.array_join(rest, "\n").alias("excerpt"),
+    )
+
+
+def salvaged_json(c: Column, schema: str) -> Column:
+    """The object within a fenced or plain answer, parsed; null where there is none or it is broken."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.when(fenced != "", fenced).otherwise(c)
+    return F.from_json(F.regexp_extract(body, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, corpus, gates, logs, measures, ranking, sampling, vectors
-from quern.plans.oracles import ORACLE_SQL
+from quern.plans import evaluation, oracles
 from quern.sources.scratch import written
 from quern.sources.tables import table
 
@@ -410,4 +410,7 @@ QUERIES = {
     if callable(value) and getattr(value, "__module__", None) == __name__ and not name.startswith("_") and name not in _NOT_QUERIES
 }
 
+QUERIES |= evaluation.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | evaluation.ORACLE_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
