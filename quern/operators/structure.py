@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from quern.functions import text as T
 
@@ -94,43 +92,103 @@ def term_id(terms: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") & 0x7FFFFFFF for t in terms], dtype="Int64")
 
 
-_CITED = re.compile(rf"\b(?:(?P<doc>\d{{1,4}}/\d{{4}}/[A-ZĐ0-9-]+)|(?P<article>{ARTICLE_WORD}\s+\d+[A-Za-z]?)|(?P<clause>{CLAUSE_WORD}\s+\d+))\b", re.IGNORECASE)
+_DOC = r"[0-9]{1,4}/[0-9]{4}/[A-ZĐ0-9-]+"
+_MARK = rf"(?iuU)\b(?:{_DOC}|(?:{ARTICLE_WORD}|{CLAUSE_WORD})\s+[0-9]+(?:(?<={ARTICLE_WORD}.{{1,20}})[A-Za-z])?)\b"
+CITATIONS = "array<struct<document_number:string,article:string,clause:string>>"
 
 
-def cited(text: str | None) -> list[tuple[str, str, str]]:
-    """(document, article, clause) of each citation by place in the text, each once.
+def citations(text: Column) -> Column:
+    """(document_number, article, clause) of each citation by place in the text, each once, as relations over its marks.
 
-    A clause goes with the nearest article, an article, or a clause without any, with the nearest document; of two as
-    near the earlier. What nothing refers to stands alone.
+    A clause belongs to the article nearest to it, an article, or a clause where there is none, to the nearest document;
+    of two as near, to the earlier. An article that has clauses is cited with them alone, a document that nothing belongs
+    to by itself. Null texts cite nothing. A text's marks are compared with each other within its row.
     """
-    marks: dict[str, list[tuple[int, str]]] = {"doc": [], "article": [], "clause": []}
-    for m in _CITED.finditer(text or ""):
-        kind = m.lastgroup
-        value = m[0].upper() if kind == "doc" else f"{ARTICLE_WORD if kind == 'article' else CLAUSE_WORD} {unicodedata.normalize('NFC', m[0]).split(maxsplit=1)[1]}"
-        marks[kind].append((m.start(), value))
-
-    def nearest(kind: str, at: int) -> int | None:
-        return min(range(len(marks[kind])), key=lambda i: (abs(marks[kind][i][0] - at), marks[kind][i][0]), default=None)
-
-    rows, used = [], set()
-    owners = {i: [] for i in range(len(marks["article"]))}
-    loose = []
-    for at, name in marks["clause"]:
-        i = nearest("article", at)
-        (loose if i is None else owners[i]).append((at, name))
-    heads = [(at, name, owners[i] or [(at, "")]) for i, (at, name) in enumerate(marks["article"])] + [(at, "", [(at, name)]) for at, name in loose]
-    for at, article, clauses in heads:
-        d = nearest("doc", at)
-        place, doc = (at, "") if d is None else marks["doc"][d]
-        used.add(d)
-        rows += [(min(at, c, place), (doc, article, clause)) for c, clause in clauses]
-    rows += [(at, (doc, "", "")) for i, (at, doc) in enumerate(marks["doc"]) if i not in used]
-    return list(dict.fromkeys(unit for _, unit in sorted(rows, key=lambda r: r[0])))
-
-
-CITATIONS = ArrayType(StructType([StructField(n, StringType()) for n in ("document_number", "article", "clause")]))
-
-
-@F.pandas_udf(CITATIONS)
-def citations(texts: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("document_number", "article", "clause"), c, strict=True)) for c in cited(t)] for t in texts])
+    body = F.coalesce(text, F.lit(""))
+
+    def placed(parts: Column) -> Column:
+        return F.transform(
+            F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["mark"].alias("mark"))), lambda p: p["mark"].isNotNull()),
+            lambda p: F.struct(
+                (F.aggregate(F.slice(parts, 1, p["i"]), F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["mark"])) + F.length(F.get(parts, p["i"])["gap"])).alias("at"), p["mark"].alias("mark")
+            ),
+        )
+
+    parts = F.zip_with(F.split(body, _MARK, -1), F.regexp_extract_all(body, F.lit(_MARK), F.lit(0)), lambda gap, mark: F.struct(gap.alias("gap"), mark.alias("mark")))
+    return T.bound(T.bound(parts, placed), _attached)
+
+
+def _attached(marks: Column) -> Column:
+    """Citations of marks (at, mark)."""
+    of = lambda regex, value: F.transform(F.filter(marks, lambda m: m["mark"].rlike(regex)), lambda m: F.struct(m["at"].alias("at"), value(m["mark"]).alias("name")))
+    number = lambda word: lambda c: F.concat(F.lit(f"{word} "), F.regexp_extract(c, r"(\S+)$", 1))
+    found = F.struct(
+        of(f"(?iu)^{_DOC}$", F.upper).alias("docs"), of(f"(?iu)^{ARTICLE_WORD}", number(ARTICLE_WORD)).alias("articles"), of(f"(?iu)^{CLAUSE_WORD}", number(CLAUSE_WORD)).alias("clauses")
+    )
+    return T.bound(found, _joined)
+
+
+def _nearest(marks: Column, at: Column) -> Column:
+    """The mark nearest to a place; null where there is none."""
+    return F.array_min(F.transform(marks, lambda m: F.struct(F.abs(m["at"] - at).alias("gap"), m["at"].alias("at"), m["name"].alias("name"))))
+
+
+def _joined(m: Column) -> Column:
+    none = F.lit("")
+    cited = F.transform(
+        m["clauses"],
+        lambda c: T.bound(_nearest(m["articles"], c["at"]), lambda a: F.struct(F.coalesce(a["at"], c["at"]).alias("head"), c["at"].alias("at"), F.coalesce(a["name"], none).alias("article"), c["name"].alias("clause"))),
+    )
+
+    def with_articles(clauses: Column) -> Column:
+        alone = F.filter(m["articles"], lambda a: ~F.exists(clauses, lambda c: c["head"] == a["at"]))
+        return F.concat(clauses, F.transform(alone, lambda a: F.struct(a["at"].alias("head"), a["at"].alias("at"), a["name"].alias("article"), none.alias("clause"))))
+
+    def with_documents(heads: Column) -> Column:
+        owned = F.transform(
+            heads,
+            lambda h: T.bound(_nearest(m["docs"], h["head"]), lambda d: F.struct(F.least(h["head"], h["at"], F.coalesce(d["at"], h["at"])).alias("place"), h["head"].alias("head"), h["at"].alias("at"), F.coalesce(d["name"], none).alias("document_number"), h["article"].alias("article"), h["clause"].alias("clause"), d["at"].alias("doc_at"))),
+        )
+        return T.bound(owned, in_order)
+
+    def in_order(rows: Column) -> Column:
+        alone = F.filter(m["docs"], lambda d: ~F.exists(rows, lambda r: r["doc_at"].eqNullSafe(d["at"])))
+        lone = F.transform(alone, lambda d: F.struct(d["at"].alias("place"), d["at"].alias("head"), d["at"].alias("at"), d["name"].alias("document_number"), none.alias("article"), none.alias("clause"), d["at"].alias("doc_at")))
+        units = F.transform(F.array_sort(F.concat(rows, lone)), lambda r: F.struct(r["document_number"].alias("document_number"), r["article"].alias("article"), r["clause"].alias("clause")))
+        return F.array_distinct(units)
+
+    return T.bound(T.bound(cited, with_articles), with_documents)
+
+
+# Types of documents by a part of their number, and by a word of the text, in this order.
+TYPES_BY_NUMBER = (
+    ("/NĐ-CP", "Nghị định"), ("/ND-CP", "Nghị định"), ("/TTLT-", "Thông tư liên tịch"), ("/TT-", "Thông tư"), ("/QĐ-", "Quyết định"),
+    ("/QD-", "Quyết định"), ("/NQ-", "Nghị quyết"), ("/CT-", "Chỉ thị"), ("/VBHN-", "Văn bản hợp nhất"),
+)
+TYPES_BY_TEXT = (
+    "Hiến pháp", "Bộ luật", "Luật", "Pháp lệnh", "Nghị định", "Nghị quyết", "Thông tư liên tịch", "Thông tư", "Quyết định", "Chỉ thị", "Văn bản hợp nhất",
+)
+
+
+def document_type(number: Column, text: Column, known: Column) -> Column:
+    """The known type, else what the number says, else the first word of the list that the text has, else unspecified."""
+    by_number = [F.when(F.contains(F.upper(number), F.lit(part)), kind) for part, kind in TYPES_BY_NUMBER]
+    by_text = [F.when(text.rlike(rf"(?iuU)\b{word}\b"), word) for word in TYPES_BY_TEXT]
+    return F.coalesce(F.nullif(F.trim(known), F.lit("")), *by_number, *by_text, F.lit("unspecified"))
+
+
+def headings(text: Column) -> Column:
+    """Chapters, sections and articles of a text's lines, each once whatever its case, in order."""
+    found = F.filter(F.split(T.normalized(text), "\n"), lambda x: x.rlike(CHAPTER) | x.rlike(SECTION) | x.rlike(ARTICLE))
+
+    def once(lines: Column) -> Column:
+        lower = F.transform(lines, F.lower)
+        return F.filter(lines, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+
+    return T.bound(found, once)
+
+
+def inference_text(labelled: dict[str, Column], body: Column) -> Column:
+    """Labelled lines of the fields that are not blank, then the body."""
+    lines = [F.when(T.clean(c) != "", F.concat(F.lit(f"{name}: "), T.clean(c))) for name, c in labelled.items()]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\nNội dung:\n"), F.coalesce(body, F.lit("")))

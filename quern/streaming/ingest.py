@@ -10,18 +10,34 @@ from pyspark.sql.streaming import StreamingQuery
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, files_per_batch: int = 4) -> StreamingQuery:
     """Appends new files below ``source`` to the Parquet table ``target``, each key once.
 
-    A batch that was replayed writes its own folder again, so a restart neither loses nor doubles rows.
+    A batch that was replayed writes its own folder again, so a restart neither loses nor doubles rows. Keys are held with
+    a hash of their row in folders by bucket of the key, and a batch reads the buckets that it has keys of; a key that
+    comes again with another row raises, as does one that a batch has twice with different rows. Null keys are one key.
     """
+    buckets = 64
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def commit(batch: DataFrame, number: int) -> None:
-        try:
-            held = spark.read.parquet(f"{target}/batch=*").where(F.input_file_name().contains("batch=") & ~F.input_file_name().contains(f"batch={number}/"))
-            new = batch.dropDuplicates([key]).join(held.select(key), key, "left_anti")
-        except Exception as error:  # the first batch has no table to look at
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            new = batch.dropDuplicates([key])
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        digest = F.sha2(F.to_json(F.struct(*sorted(batch.columns)), {"ignoreNullFields": "false"}), 256)
+        rows = batch.select("*", digest.alias("_digest"), bucket.alias("_bucket")).dropDuplicates([key, "_digest"]).persist()
+        known = rows.select(key, "_digest", "_bucket")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/keys")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most the number of buckets
+            held = spark.read.schema(known.schema.add("batch", "long")).parquet(f"{target}/keys").where(F.col("_bucket").isin(touched) & (F.col("batch") != number))
+            held = held.select(F.col(key).alias("_key"), F.col("_digest").alias("_held"))
+            seen = rows.join(held, F.col(key).eqNullSafe(F.col("_key")), "left")
+            clash = seen.where(F.col("_held").isNotNull() & (F.col("_held") != F.col("_digest")))
+            if not clash.isEmpty():
+                raise ValueError(f"batch {number} has a key that was committed with another row")
+            rows_new = seen.where(F.col("_held").isNull()).drop("_key", "_held")
+        else:
+            rows_new = rows
+        if not rows.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"batch {number} has a key with different rows")
+        rows_new.select(key, "_digest", F.lit(number).cast("long").alias("batch"), "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "batch").parquet(f"{target}/keys")
+        rows_new.drop("_digest", "_bucket").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -141,3 +141,47 @@ def test_integrity_both_ways(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "k long") for xs in ([1, 1, 2], [2, 3]))
     assert {tuple(r) for r in corpus.integrity(a, b, "k", "k").select("side", "key").collect()} == {("left_only", 1), ("right_only", 3)}
     assert tuple(corpus.set_difference(a, b, "k").first()) == (1, 1, 1)
+
+
+def test_ingest_refuses_another_row_of_a_key(spark, tmp_path):
+    import pytest
+
+    put = lambda rows: spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    go = lambda: ingest.ingest(spark, f"{tmp_path}/in", "id long, text string", f"{tmp_path}/out", f"{tmp_path}/check", "id", 1).awaitTermination(120)
+    put([(1, "a"), (2, "b")])
+    go()
+    put([(1, "a"), (3, "c")])
+    go()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect()) == [1, 2, 3]
+    put([(2, "other")])
+    with pytest.raises(Exception, match="another row"):
+        go()
+
+
+def test_samples_of_many_rows_are_right_twice(spark):
+    rows = spark.range(2_000_000).select((F.col("id") * 7919 % 2_000_000).alias("id")).repartition(7)
+    for _ in range(2):
+        assert sorted(r.id for r in sampling.systematic(rows, "id", 13).collect()) == [i * 2_000_000 // 13 for i in range(13)]
+        assert sorted(r.id for r in sampling.evenly_spaced(rows, "id", 17).collect()) == [i * 1_999_999 // 16 for i in range(17)]
+
+
+def test_containment_by_windows(spark):
+    words = [f"w{i}" for i in range(30)]
+    anchor = " ".join(words)
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    texts = [anchor, changed(2), changed(2, 28), changed(20), " ".join(words[:12]) + " and " + " ".join(words[-12:]), " ".join(words[:12]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, anchor), (2, " ".join(words[:19]))], "query_id long, text string")
+    assert sorted(map(tuple, ranking.containment(asked, docs).collect())) == [(1, 0), (1, 1), (1, 4), (2, 0), (2, 3)]
+
+
+def test_queries_beyond_one_block(spark):
+    table = spark.range(10)
+    parts = ranking.blocks(table, 3)
+    assert len(parts) == 4 and sorted(r.id for r in ranking.together(parts).collect()) == list(range(10))
+
+
+def test_lanes_merge_with_conflicts(spark):
+    rows = lanes(spark, [(1, "a", 1, 7), (1, "b", 2, 7), (1, "b", 1, 8)]).withColumn("payload", F.concat("doc_id", F.when(F.col("lane") == "b", "x").otherwise("y")))
+    got = {r.doc_id: (r.ranks, r.conflict) for r in ranking.merged_lanes(rows, "payload").collect()}
+    assert got == {7: ({"a": 1, "b": 2}, True), 8: ({"b": 1}, False)}

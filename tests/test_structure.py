@@ -41,11 +41,23 @@ def test_identifiers(spark):
 
 
 def test_citations(spark):
-    assert structure.cited("Khoản 2 Điều 5 Luật 72/2020/QH14 và điều 6") == [("72/2020/QH14", "Điều 5", "Khoản 2"), ("72/2020/QH14", "Điều 6", "")]
-    assert structure.cited("Theo 1/2019/NĐ-CP, Khoản 3") == [("1/2019/NĐ-CP", "", "Khoản 3")]
-    assert structure.cited("2/2018/TT-A") == [("2/2018/TT-A", "", "")] and structure.cited(None) == []
-    df = spark.createDataFrame([("Điều 5",), (None,)], "t string")
-    assert [len(r.c) for r in df.select(structure.citations("t").alias("c")).collect()] == [1, 0]
+    texts = ["Khoản 2 Điều 5 Luật 72/2020/QH14 và điều 6", "Theo 1/2019/NĐ-CP, Khoản 3", "2/2018/TT-A", None, "Điều 5", "Điều 1a Khoản 1, Khoản 2 Điều 3 và 5/2001/AB, rồi 6/2002/CD, Điều 1a Khoản 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [[tuple(c) for c in r.c] for r in df.select(structure.citations(F.col("t")).alias("c")).collect()]
+    assert got[0] == [("72/2020/QH14", "Điều 5", "Khoản 2"), ("72/2020/QH14", "Điều 6", "")]
+    assert got[1] == [("1/2019/NĐ-CP", "", "Khoản 3")]
+    assert got[2] == [("2/2018/TT-A", "", "")] and got[3] == []
+    assert got[4] == [("", "Điều 5", "")]
+    assert got[5] == [("5/2001/AB", "Điều 1a", "Khoản 1"), ("5/2001/AB", "Điều 3", "Khoản 2"), ("6/2002/CD", "Điều 1a", "Khoản 1")]
+
+
+def test_types_headings_and_inference_text(spark):
+    rows = [("12/2020/NĐ-CP", "x", None), ("1/2", "theo bộ luật này", ""), (None, "không", " Luật "), (None, "vô luậtx", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "n string, t string, k string")
+    assert [r.x for r in df.select(structure.document_type(F.col("n"), F.col("t"), F.col("k")).alias("x")).collect()] == ["Nghị định", "Bộ luật", "Luật", "unspecified", "unspecified"]
+    text = spark.createDataFrame([(LAW + "điều 1. phạm vi\nMục 1\n",)], "t string")
+    assert text.select(structure.headings(F.col("t"))).first()[0] == ["Chương I", "Mục 1", "Điều 1. Phạm vi", "Chương II", "Điều 2. Khác"]
+    assert df.select(structure.inference_text({"A": F.lit(" x  y "), "B": F.lit(None).cast("string")}, F.lit("z"))).first()[0] == "A: x y\nNội dung:\nz"
 
 
 def test_identity_cascade(spark):
