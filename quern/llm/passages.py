@@ -5,19 +5,20 @@ fingerprint is the least hash of the ``GRAM``-word runs in it, the leftmost on a
 fingerprints, and neighbours mostly share theirs. Windows of one text that share a fingerprint at one place form a
 stretch, which also has a hash of all its words.
 
-Batches of documents add immutable runs, sorted by fingerprint, of (fingerprint, stretch, count). Each new run is
-merge-joined with the older ones to find fingerprints that occurred before; when there are ``FANOUT`` runs they are
-compacted to one. Fingerprints seen twice are then verified: stretches that occur twice are repeated as a whole;
+Batches of documents add immutable runs, in buckets sorted by fingerprint, of (fingerprint, stretch, count). Each new run
+is merge-joined with the older ones to find fingerprints that occurred before; when there are ``FANOUT`` runs they are
+compacted to one. An index in a folder of its own is found again by later sessions, which add their batches. Fingerprints seen twice are then verified: stretches that occur twice are repeated as a whole;
 where one fingerprint has different stretches, as at the edges of copies, their windows are compared one by one by
 96 bits of hashes of all words. Windows that occur twice anywhere, in one document or several, mark their words.
 
-Null and empty texts have no words. Texts shorter than a window repeat nothing. Repeated rows repeat each other. An
+Null and empty texts have no words. Very long texts are read whole; a row is held by one task. Texts shorter than a window repeat nothing. Repeated rows repeat each other. An
 empty table adds no run. Rows are known by a number written with the fingerprints. Columns not named are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.hashing import gram_hashes, mixed, word_hashes
-from quern.sources.scratch import written
+from quern.sources.scratch import shared_dir, written
 
 WINDOW, GRAM = 35, 8
 BATCHES, FANOUT = 3, 3
+#: Rows of a bucket that an index is laid out for, and how many buckets it has.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 16, 20_000
 #: Windows whose least run is sought at once.
 BLOCK = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -116,32 +119,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of (print, stretch, n), each sorted by print and never changed."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.runs: list[DataFrame] = []
+    """Immutable runs of (print, stretch, n) in a folder, each in buckets of the print and sorted by it there.
+
+    A run is a bucketed table over its own folder, so joins with older runs read their buckets as they are: the history is
+    never shuffled again. A manifest lists the runs that count; it is written after the runs are, so a job that fails
+    leaves the index as it was. ``open_index`` finds an index that an earlier session left.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = LEAST_BUCKETS, runs: tuple[str, ...] = (), version: int = 0):
+        """Without a ``folder`` the index lives in the job's own and ends with it."""
+        folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:8]}"
+        self.spark, self.folder, self.buckets, self.names, self.version = spark, folder, buckets, list(runs), version
+        self.tables = {name: self._registered(name) for name in self.names}
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [self.tables[name] for name in self.names]
+
+    def _registered(self, name: str) -> DataFrame:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (print BIGINT, stretch BIGINT, n BIGINT) USING parquet "
+            f"CLUSTERED BY (print) SORTED BY (print, stretch) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+        )
+        return self.spark.table(name)
+
+    def _written(self, counted: DataFrame) -> str:
+        name = f"quern_run_{uuid.uuid4().hex}"
+        dealt = counted.repartition(self.buckets, "print")
+        dealt.write.bucketBy(self.buckets, "print").sortBy("print", "stretch").option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
+        self.tables[name] = self.spark.table(name)
+        return name
+
+    def _commit(self, names: list[str]) -> None:
+        self.version += 1
+        listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+        self.spark.range(1).select(F.lit(self.buckets).alias("buckets"), listed.alias("runs")).coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+        self.names = names
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds the prints of a batch (from fingerprints); returns those prints that have now occurred more than once."""
         counted = batch.select(F.explode("prints").alias("p")).groupBy("p.print", "p.stretch").agg(F.sum("p.n").alias("n"))
-        run = written(counted.sortWithinPartitions("print", "stretch"), "run")
+        name = self._written(counted)
+        run = self.tables[name]
         seen = run.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("print")
         for old in self.runs:
             seen = seen.union(run.select("print").hint("merge").join(old.select("print"), "print", "left_semi"))
-        self.runs.append(run)
         found = written(seen.distinct(), "seen")
-        if len(self.runs) >= FANOUT:
+        self._commit([*self.names, name])
+        if len(self.names) >= FANOUT:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """Replaces all runs by one."""
-        self.runs = [written(self.entries().sortWithinPartitions("print", "stretch"), "run")]
+        """Replaces all runs by one; folders of old ones stay until they are cleared by hand, as others may read them."""
+        self._commit([self._written(self.entries())])
 
     def entries(self) -> DataFrame:
         """Every (print, stretch) once, with its count."""
-        if len(self.runs) == 1:
+        if len(self.names) == 1:
             return self.runs[0]
         whole = self.runs[0]
         for run in self.runs[1:]:
@@ -149,6 +184,18 @@ class FingerprintIndex:
         return whole.groupBy("print", "stretch").agg(F.sum("n").alias("n"))
 
 
+def open_index(spark: SparkSession, folder: str) -> FingerprintIndex:
+    """The index that an earlier session left in ``folder``, by the last version of its manifest."""
+    last = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+    return FingerprintIndex(spark, folder, last["buckets"], tuple(last["runs"]), last["version"])
+
+
+def buckets_for(prints: DataFrame) -> int:
+    """Buckets of an index that such a batch begins: its runs keep that number for good."""
+    n = prints.agg(F.sum(F.size("prints"))).first()[0] or 0
+    return int(min(max(n // BUCKET_ROWS, LEAST_BUCKETS), MOST_BUCKETS))
+
+
 def marked_prints(index: FingerprintIndex, seen: DataFrame) -> DataFrame:
     """print, stretch, whole (the stretch repeats) and edge (its print has other stretches) of entries that may repeat."""
     entries = written(index.entries().join(seen, "print", "left_semi"), "entries")
@@ -220,7 +267,7 @@ def removed_text(marked: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (null: the text as it is) of every row of ``docs``."""
     prints = written(fingerprints(docs), "prints")
-    index = FingerprintIndex(docs.sparkSession)
+    index = FingerprintIndex(docs.sparkSession, buckets=buckets_for(prints))
     seen = None
     for k in range(BATCHES):
         found = index.add(prints.where(F.pmod(F.xxhash64("row"), F.lit(BATCHES)) == k))

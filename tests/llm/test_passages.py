@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from quern.llm import passages
 from quern.llm.passages import WINDOW, FingerprintIndex, fingerprints
 
@@ -73,3 +75,30 @@ def test_index_finds_what_history_has(spark):
 
 def test_empty_table(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_later_sessions_add_to_an_index(spark, tmp_path):
+    words = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    docs = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = lambda *texts: passages.written(passages.fingerprints(docs(*texts)), "prints")
+    folder = str(tmp_path / "index")
+    first = passages.FingerprintIndex(spark, folder, 4)
+    assert first.add(prints(words("a", 60), words("b", 60))).collect() == []
+    later = passages.open_index(spark.newSession(), folder)
+    assert later.buckets == 4 and len(later.runs) == 1
+    shared = later.add(prints(words("a", 60), words("c", 60)))
+    assert {r.print for r in shared.collect()} == {p.print for p in prints(words("a", 60)).first().prints}
+    again = passages.open_index(spark, folder)
+    assert again.add(prints(words("c", 50), words("d", 40))).count() > 0 and len(again.runs) == 1
+    total = passages.open_index(spark, folder).entries().agg({"n": "sum"}).first()[0]
+    assert total == sum(p.n for w in "abacd" for p in prints(words(w, 60 if w != "d" else 40)).first().prints) + sum(p.n for p in prints(words("c", 50)).first().prints)
+
+
+def test_history_is_joined_without_shuffling_it(spark, tmp_path):
+    index = passages.FingerprintIndex(spark, str(tmp_path / "index"), 4)
+    rows = spark.range(200).select(F.array(F.struct(F.col("id").alias("print"), F.col("id").alias("stretch"), F.lit(1).cast("long").alias("n"))).alias("prints"))
+    index.add(rows)
+    index.add(rows)
+    a, b = index.runs
+    plan = a.hint("merge").join(b, "print", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
