@@ -3,14 +3,16 @@
 Documents longer than the window fill whole windows first. The histogram of what remains of each document is
 held against combinations of two or three lengths that fill a window exactly: all pairs, and triples with two of
 the ``TOP`` most frequent lengths. Least squares with counts of at least 0 tell how often to use each; they are
-rounded down to what the histogram has. Documents of a length take the places of that length in turn. What is
-left is laid end to end, shortest first, and cut at windows; the last window is cut at powers of two, which
-need no padding.
+rounded down to what the histogram has. Residuals are packed greedily: the longest, then each time the longest that still
+fits, as often as the counts allow, where windows come out full. Documents of a length take the places of that length in
+turn. What then fills no window is laid end to end, shortest first, and cut at windows; the last window is cut at powers
+of two, which need no padding.
 
 The plan's size depends on the window and ``SALTS`` alone. A document finds its place from its turn among those of
 its length, counted in ``SALTS`` parts so that a frequent length is never in one task. Null or empty texts have the
 end id alone. Repeated rows are packed each. An empty table gives no pieces. All order comes from a row number
-written with the tokens, so ties don't matter.
+written with the tokens, so ties don't matter. Very long texts fill whole windows; their ids are held by one task. Columns
+not in ``keep`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,6 +85,32 @@ def repeats(combos: list[tuple[int, ...]], histogram: np.ndarray) -> np.ndarray:
     return counts
 
 
+def greedy(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Windows that come out full, longest lengths first, and how often each is filled; takes them off ``left``.
+
+    Every round uses up a length of its window or puts its longest aside, so there are few rounds.
+    """
+    window, found = len(left), []
+    aside = np.zeros(window, bool)
+    while len(open_ := np.flatnonzero((left > 0) & ~aside)):
+        combo, room, free = [int(open_[-1])], window - int(open_[-1]), left.copy()
+        free[combo[0]] -= 1
+        while room and len(fits := np.flatnonzero(free[: room + 1] > 0)):
+            a = int(fits[-1])
+            many = min(int(free[a]), room // a)
+            combo += [a] * many
+            free[a] -= many
+            room -= a * many
+        if room:
+            aside[combo[0]] = True
+            continue
+        n = int(min(left[a] // combo.count(a) for a in set(combo)))
+        found.append((tuple(combo), n))
+        for a in combo:
+            left[a] -= n
+    return found
+
+
 @dataclass
 class Plan:
     """Where the n-th document of a remaining length goes."""
@@ -122,6 +150,12 @@ def plan(histogram: np.ndarray, first: int) -> Plan:
     window = len(histogram)
     combos = combinations(histogram)
     counts = repeats(combos, histogram)
+    left = histogram.copy()
+    for combo, n in zip(combos, counts.tolist(), strict=True):
+        for a in combo:
+            left[a] -= n
+    rest = greedy(left)
+    combos, counts = combos + [c for c, _ in rest], np.append(counts, [n for _, n in rest]).astype(np.int64)
     runs: list[list[tuple[int, int, int]]] = [[] for _ in range(window)]
     planned = np.zeros(window, np.int64)
     for combo, n in zip(combos, counts.tolist(), strict=True):

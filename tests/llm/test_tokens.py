@@ -153,6 +153,18 @@ def test_plan_uses_combinations():
     assert set(filled[5:]) == {64}
 
 
+def test_residuals_are_packed_greedily():
+    left = np.zeros(64, np.int64)
+    left[[40, 9, 5, 1, 63]] = [6, 12, 7, 9, 1]
+    before = left.copy()
+    found = packing.greedy(left)
+    assert all(sum(combo) == 64 for combo, _ in found) and (left >= 0).all()
+    taken = sum((np.bincount(combo, minlength=64) * n for combo, n in found), np.zeros(64, np.int64))
+    assert (before - taken == left).all() and taken[63] == 1 and taken[40] == 6
+    made = packing.plan(before, 0)
+    assert (made.planned == taken).all()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, BYTE, 1).collect() == []
