@@ -143,9 +143,9 @@ class FingerprintIndex:
         )
         return self.spark.table(name)
 
-    def _written(self, counted: DataFrame) -> str:
+    def _written(self, dealt: DataFrame) -> str:
+        """Writes counts that are already dealt by print to the index's buckets."""
         name = f"quern_run_{uuid.uuid4().hex}"
-        dealt = counted.repartition(self.buckets, "print")
         dealt.write.bucketBy(self.buckets, "print").sortBy("print", "stretch").option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
         self.tables[name] = self.spark.table(name)
         return name
@@ -159,7 +159,7 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds the prints of a batch (from fingerprints); returns those prints that have now occurred more than once."""
         counted = batch.select(F.explode("prints").alias("p")).groupBy("p.print", "p.stretch").agg(F.sum("p.n").alias("n"))
-        name = self._written(counted)
+        name = self._written(counted.repartition(self.buckets, "print"))  # copies are counted before, so no print is hot here
         run = self.tables[name]
         seen = run.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("print")
         for old in self.runs:
@@ -175,13 +175,13 @@ class FingerprintIndex:
         self._commit([self._written(self.entries())])
 
     def entries(self) -> DataFrame:
-        """Every (print, stretch) once, with its count."""
+        """Every (print, stretch) once, with its count, dealt by print: runs have each once already, so one shuffle does."""
         if len(self.names) == 1:
             return self.runs[0]
         whole = self.runs[0]
         for run in self.runs[1:]:
             whole = whole.unionByName(run)
-        return whole.groupBy("print", "stretch").agg(F.sum("n").alias("n"))
+        return whole.repartition(self.buckets, "print").groupBy("print", "stretch").agg(F.sum("n").alias("n"))
 
 
 def open_index(spark: SparkSession, folder: str) -> FingerprintIndex:
