@@ -23,13 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="quern-")
             spark.sparkContext.setCheckpointDir(base)
         _made[app] = f"{base.rstrip('/')}/quern-{os.getpid()}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _made[app])
+        atexit.register(removed, spark, _made[app])
     return _made[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on any file system of Spark, where the session still runs."""
     sc = spark.sparkContext
-    if sc._jsc is None:  # the session has ended
+    if sc._jsc is None:
         return
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
