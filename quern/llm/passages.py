@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.hashing import gram_hashes, mixed, word_hashes
-from quern.sources.scratch import shared_dir, written
+from quern.sources.scratch import removed, shared_dir, written
 
 WINDOW, GRAM = 35, 8
 BATCHES, FANOUT = 3, 3
@@ -128,6 +128,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = LEAST_BUCKETS, runs: tuple[str, ...] = (), version: int = 0):
         """Without a ``folder`` the index lives in the job's own and ends with it."""
+        self.own = folder is None
         folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:8]}"
         self.spark, self.folder, self.buckets, self.names, self.version = spark, folder, buckets, list(runs), version
         self.tables = {name: self._registered(name) for name in self.names}
@@ -171,8 +172,13 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Replaces all runs by one; folders of old ones stay until they are cleared by hand, as others may read them."""
+        """Replaces all runs by one. Old ones stay, as others may read them, but where the index is the job's own."""
+        old = self.names
         self._commit([self._written(self.entries())])
+        for name in old if self.own else ():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, f"{self.folder}/{name}")
+            del self.tables[name]
 
     def entries(self) -> DataFrame:
         """Every (print, stretch) once, with its count, dealt by print: runs have each once already, so one shuffle does."""
