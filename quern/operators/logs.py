@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import places
+
 
 def rate(when: Column) -> Column:
     """Per cent of rows, two digits."""
@@ -25,19 +27,21 @@ def facet(events: DataFrame) -> DataFrame:
 
 def by_type(events: DataFrame) -> DataFrame:
     """Each type's count, share and value statistics."""
-    n = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *summary(F.col("value"), 4))
+    n = summarised(events, "event_type", "value", 4, F.count(F.lit(1)))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def summary(c: Column, digits: int) -> list[Column]:
-    return [F.round(x, digits).alias(name) for name, x in (("mean", F.avg(c)), ("p50", F.percentile(c, F.lit(0.5))), ("p95", F.percentile(c, F.lit(0.95))), ("least", F.min(c)), ("most", F.max(c)))]
+def summarised(rows: DataFrame, group: str, value: str, digits: int, n: Column) -> DataFrame:
+    """group, ``n``, mean, exact median and 95th percentile, least and most; null where a group has no values."""
+    c = F.col(value)
+    plain = rows.groupBy(group).agg(n.alias("n"), *(F.round(x, digits).alias(name) for name, x in (("mean", F.avg(c)), ("least", F.min(c)), ("most", F.max(c)))))
+    middle = places.quantiles(rows, group, value, {"p50": 0.5, "p95": 0.95}).select(F.col(group).alias("_of"), *(F.round(p, digits).alias(p) for p in ("p50", "p95")))
+    return plain.join(middle, F.col(group).eqNullSafe(F.col("_of")), "left").select(group, "n", "mean", "p50", "p95", "least", "most")
 
 
 def nearest_rank(events: DataFrame, share: float) -> DataFrame:
     """The value at place ceil(share * n) of each type."""
-    order = Window.partitionBy("event_type").orderBy("value")
-    placed = events.where(F.col("value").isNotNull()).select("event_type", "value", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    return placed.where(F.col("place") == F.greatest(F.ceil(share * F.col("n")), F.lit(1))).select("event_type", F.col("value").alias("at_rank"))
+    return places.nearest_rank(events, "event_type", "value", share).select("event_type", F.col("value").alias("at_rank"))
 
 
 def daily_quota(events: DataFrame, each: int, all_: int) -> DataFrame:

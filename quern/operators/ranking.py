@@ -145,13 +145,13 @@ def neighbours(seeds: DataFrame, rows: DataFrame, doc: str, number: str) -> Data
 
 
 def within_budget(items: Column, budget: int, least: float, cap: int, most: int) -> Column:
-    """Choice from sorted structs (score, group, tokens, id): those too weak, over their group's cap or over what is left of the budget are passed over, until ``most`` are held."""
+    """Choice from sorted structs (score, group, tokens, id): those too weak or not finite, over their group's cap or over what is left of the budget are passed over, until ``most`` are held."""
     none = F.array().cast("array<struct<group:string,id:bigint>>")
     start = F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("held"))
 
     def step(state: Column, x: Column) -> Column:
         same = F.size(F.filter(state["held"], lambda h: h["group"] == x["group"]))
-        fits = (x["score"] >= least) & (same < cap) & (state["used"] + x["tokens"] <= budget) & (F.size(state["held"]) < most)
+        fits = (x["score"] >= least) & ~F.isnan(x["score"]) & (x["score"] < float("inf")) & (same < cap) & (state["used"] + x["tokens"] <= budget) & (F.size(state["held"]) < most)
         taken = F.struct((state["used"] + x["tokens"]).alias("used"), F.concat(state["held"], F.array(F.struct(x["group"].alias("group"), x["id"].alias("id")))).alias("held"))
         return F.when(fits, taken).otherwise(state)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.places import placed
 from quern.sources.scratch import written
 
 
@@ -23,9 +24,7 @@ def round_robin(rows: DataFrame, strata: tuple[str, ...], key: str, n: int, seed
 
 def quartiles(rows: DataFrame, group: str, key: str) -> DataFrame:
     """bucket = least(3, 4 * index / count) of rows in order of key within their group."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    return rows.withColumn("bucket", F.least(F.lit(3), F.floor(at * 4 / n)).cast("int"))
+    return placed(rows, group, key).select(*rows.columns, F.least(F.lit(3), F.floor(F.col("_before") * 4 / F.col("_total"))).cast("int").alias("bucket"))
 
 
 def systematic(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import answers, corpus, gates, logs, measures, ranking, sampling, vectors
+from quern.operators import answers, corpus, gates, logs, measures, ranking, sampling, search, vectors
 from quern.plans import evaluation, oracles
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -135,6 +135,23 @@ def anchor_containment(spark: SparkSession, d: str) -> DataFrame:
     return ranking.containment(_queries(spark, d), table(spark, d, "documents"))
 
 
+def tiered_search(spark: SparkSession, d: str) -> DataFrame:
+    """English documents first, all others for passages that none of those holds."""
+    docs, english = table(spark, d, "documents"), F.coalesce(F.col("lang") == "en", F.lit(False))
+    return search.tiered(_queries(spark, d), [("en", docs.where(english)), ("other", docs.where(~english))], 5)
+
+
+def payload_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical hits, and exact ones whose payload (a seventh of another revision, a fifth of another hash) agrees with the documents."""
+    lexical, exact = _lanes(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(T.normalized(F.col("text")), 256).alias("content_sha256"))
+    stale = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("content_sha256"))
+    revision = F.when(F.col("doc_id") % 7 == 0, "r0").otherwise("r1")
+    told = exact.join(docs, "doc_id").select("query_id", "doc_id", "rank", F.lit(False).alias("lexical"), revision.alias("revision"), F.col("doc_id").alias("store_key"), stale.alias("content_sha256"))
+    named = lexical.where("rank <= 5").select("query_id", "doc_id", "rank", F.lit(True).alias("lexical"))
+    return search.valid_hits(told.unionByName(named, allowMissingColumns=True), docs, "r1")
+
+
 def join_integrity(spark: SparkSession, d: str) -> DataFrame:
     return corpus.integrity(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id")
 
@@ -348,7 +365,7 @@ def online_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     timed = table(spark, d, "events").select(F.explode(F.create_map(F.lit("total"), F.col("value"), F.lit("half"), F.col("value") / 2)).alias("stage", "ms"))
-    return timed.groupBy("stage").agg(F.count("ms").alias("n"), *logs.summary(F.col("ms"), 4))
+    return logs.summarised(timed, "stage", "ms", 4, F.count("ms"))
 
 
 def nearest_rank_p95(spark: SparkSession, d: str) -> DataFrame:

@@ -150,6 +150,12 @@ SELECT query_id, round(avg((label = q_label)::INT), 6) AS precision_at_10, min(r
 JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderkey = s.l_orderkey AND abs(n.l_linenumber - s.l_linenumber) <= 1 GROUP BY ALL""",
     "exact_ref_lane": f"WITH {_BOTH} SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored SEMI JOIN gold USING (query_id, doc_id)) WHERE rank <= 24",
     "anchor_containment": f"WITH {_GOLD} SELECT DISTINCT query_id, doc_id FROM gold",
+    "tiered_search": f"""WITH {_GOLD}, t AS (SELECT query_id, doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS tier FROM gold JOIN documents USING (doc_id)),
+m AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS first FROM t)
+SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM m WHERE tier = first) WHERE rank <= 5""",
+    "payload_validity": f"""WITH {_BOTH}, h AS (SELECT query_id, doc_id, true AS lexical FROM lexical WHERE rank <= 5
+UNION ALL SELECT query_id, doc_id, false FROM exact WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0)
+SELECT query_id, doc_id, bool_or(lexical) AS lexical FROM h GROUP BY ALL""",
     "join_integrity": """SELECT DISTINCT doc_id AS key, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "full_outer_diff": "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both_sides FROM (SELECT DISTINCT doc_id, 1 AS l FROM documents) FULL JOIN (SELECT DISTINCT doc_id, 1 AS r FROM labels) USING (doc_id)",
