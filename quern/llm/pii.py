@@ -155,18 +155,20 @@ def _contexts(found: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often the corpus has each context."""
+    """How often the corpus has each context, in one scan: a word that ends contexts is looked up once, then with the word before it."""
     words = F.split(F.lower("text"), r"\s+")
     pairs = docs.select(words.alias("w")).select(
         F.explode(F.arrays_zip(F.col("w").alias("cur"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1)).alias("before"))).alias("p")
     )
-    bounded = F.broadcast if _bytes_of(contexts) <= BROADCAST_BYTES else lambda table: table
-    counted = pairs.select("p.cur", "p.before").groupBy("cur", "before").agg(F.count(F.lit(1)).alias("n")) if bounded is not F.broadcast else pairs.select("p.cur", "p.before", F.lit(1).alias("n"))
-    one = contexts.where(F.col("context.prev").isNull())
-    two = contexts.where(F.col("context.prev").isNotNull())
-    found = counted.join(bounded(one), F.col("cur") == F.col("context.last")).select("context", "n")
-    both = counted.join(bounded(two), (F.col("cur") == F.col("context.last")) & (F.col("before") == F.col("context.prev"))).select("context", "n")
-    return found.unionByName(both).groupBy("context").agg(F.sum("n").alias("n"))
+    if _bytes_of(contexts) <= BROADCAST_BYTES:
+        bounded, counted = F.broadcast, pairs.select("p.cur", "p.before", F.lit(1).alias("n"))
+    else:
+        bounded, counted = (lambda table: table), pairs.select("p.cur", "p.before").groupBy("cur", "before").agg(F.count(F.lit(1)).alias("n"))
+    one = contexts.groupBy(F.col("context.last").alias("last")).agg(F.max(F.when(F.col("context.prev").isNull(), F.col("context"))).alias("one"))
+    two = contexts.where(F.col("context.prev").isNotNull()).select(F.col("context.last").alias("its_last"), F.col("context.prev").alias("its_prev"), F.col("context").alias("two"))
+    found = counted.join(bounded(one), F.col("cur") == F.col("last")).join(bounded(two), (F.col("cur") == F.col("its_last")) & (F.col("before") == F.col("its_prev")), "left")
+    met = found.groupBy("one", "two").agg(F.sum("n").alias("n"))
+    return met.select(F.explode(F.array_compact(F.array("one", "two"))).alias("context"), "n").groupBy("context").agg(F.sum("n").alias("n"))
 
 
 def _bytes_of(contexts: DataFrame) -> int:
