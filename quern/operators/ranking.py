@@ -158,14 +158,34 @@ def within_budget(items: Column, budget: int, least: float, cap: int, most: int)
     return F.aggregate(items, start, step)
 
 
+def postings(docs: DataFrame) -> DataFrame:
+    """term, doc_id, tf and len (terms of the document); null and empty texts have none."""
+    words = docs.select("doc_id", T.terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
+    return words.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def corpus_size(docs: DataFrame) -> DataFrame:
+    """One row: n_docs and n_terms, documents without terms counted."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("n_terms"))
+
+
+def title_queries(queries: DataFrame) -> DataFrame:
+    """query_id and term of what a title index is asked for."""
+    return queries.select("query_id", F.explode(T.title_terms(F.col("text"))).alias("term"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over terms, inverse frequency ln((N - df + 0.5) / (df + 0.5)) of at least 0.000001."""
-    words = docs.select("doc_id", T.terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = words.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode(T.title_terms(F.col("text"))).alias("term"))
-    hits = tf.join(bounded(asked), "term").join(df, "term").crossJoin(F.broadcast(stats))
+    asked = title_queries(queries)
+    wanted = postings(docs).join(bounded(asked.select("term").distinct()), "term", "left_semi")
+    return bm25_over(asked, wanted, corpus_size(docs), top, k1, b)
+
+
+def bm25_over(asked: DataFrame, wanted: DataFrame, size: DataFrame, top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of ``asked`` (query_id, term) over all postings of its terms and the corpus size. Ties go to the smaller doc_id."""
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = size.select("n_docs", F.try_divide("n_terms", "n_docs").alias("avg_len"))
+    hits = wanted.join(bounded(asked), "term").join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return ranked(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")), top, F.desc("score"), F.asc("doc_id"))

@@ -346,10 +346,8 @@ def rewrite_filter(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("conv_id", "turn", answers.sane_rewrite(F.col("answer"), F.col("reference")).alias("sane"))
 
 
-@query("""WITH h AS (SELECT item_id, doc_id, (contains(lower(b.text), 'and')::INT + contains(lower(b.text), 'der')::INT) AS x, d.text FROM benchmark AS b, documents AS d WHERE item_id % 100 = 0)
-SELECT item_id AS query_id, sum(CASE WHEN contains(lower(q), 'the') AND (contains(lower(t), 'idiot') OR contains(lower(t), 'scum')) THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN (contains(lower(q), 'der') OR contains(lower(q), 'and')) AND contains(lower(t), 'die') THEN 4.0::DOUBLE ELSE 0 END) AS score
-FROM (SELECT item_id, b.text AS q, regexp_replace(d.text, '\\s+', ' ', 'g') AS t FROM benchmark AS b, documents AS d WHERE item_id % 100 = 0) GROUP BY item_id""".replace("""WITH h AS (SELECT item_id, doc_id, (contains(lower(b.text), 'and')::INT + contains(lower(b.text), 'der')::INT) AS x, d.text FROM benchmark AS b, documents AS d WHERE item_id % 100 = 0)
-""", ""))
+@query("""SELECT item_id AS query_id, sum(CASE WHEN contains(lower(q), 'the') AND (contains(lower(t), 'idiot') OR contains(lower(t), 'scum')) THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN (contains(lower(q), 'der') OR contains(lower(q), 'and')) AND contains(lower(t), 'die') THEN 4.0::DOUBLE ELSE 0 END) AS score
+FROM (SELECT item_id, b.text AS q, regexp_replace(d.text, '\\s+', ' ', 'g') AS t FROM benchmark AS b, documents AS d WHERE item_id % 100 = 0) GROUP BY item_id""")
 def intent_score(spark: SparkSession, d: str) -> DataFrame:
     """Sums of intent bonuses of every query whose id 100 divides over all documents."""
     asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
