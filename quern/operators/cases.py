@@ -86,6 +86,24 @@ def outcomes(results: DataFrame, passed: float) -> DataFrame:
     )
 
 
+def code_checks(status: Column, technical_error: Column, contexts: Column, citations: Column) -> Column:
+    """Array of (check, passed, value): the request ended, has contexts, its answer has citations. Nulls fail."""
+    error = F.coalesce(technical_error, F.lit(False))
+    some = lambda n: F.coalesce(n, F.lit(0)) > 0
+    rows = (
+        ("request_completed", F.coalesce(status.isin("ok", "cache_hit"), F.lit(False)) & ~error, F.coalesce(status, F.lit("unobserved"))),
+        ("context_present", some(contexts), F.coalesce(contexts, F.lit(0)).cast("string")),
+        ("citation_present", some(citations), F.coalesce(citations, F.lit(0)).cast("string")),
+    )
+    return F.array(*(F.struct(F.lit(name).alias("check"), passed.alias("passed"), value.alias("value")) for name, passed, value in rows))
+
+
+def timings(seconds: Column, order: tuple[str, ...]) -> Column:
+    """Measured steps of a map of seconds, in ``order``, four digits; steps without a number are left out."""
+    steps = F.transform(F.array(*map(F.lit, order)), lambda k: F.struct(k.alias("step"), F.round(F.try_element_at(seconds, k), 4).alias("seconds")))
+    return F.filter(steps, lambda x: x["seconds"].isNotNull())
+
+
 def coverage_of(rows: DataFrame, *columns: str) -> DataFrame:
     """field, defined and share of rows that have each measure."""
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).isNotNull().alias("has")) for c in columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import answers, cases, levels, ranking
+from quern.operators import answers, cases, levels, promotion, ranking
 from quern.sources import records
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -406,3 +406,36 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, list_sort(list_distinct(list_concat(string_split(lang, 'n'), string_split(source, 'n')))) AS flags FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def flag_union(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang is not null and source is not null").select("doc_id", records.flag_union(F.split("lang", "n"), F.split("source", "n")).alias("flags"))
+
+
+_PROMOTED = """WITH l AS (SELECT user_id AS case_id, CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS b, event_id % 3 > 0 AS required,
+CASE WHEN event_id % 10 = 0 THEN 'verified' WHEN event_id % 5 = 0 THEN 'rejected' END AS d FROM events), p AS (SELECT *, coalesce(d, b) AS a FROM l) """
+
+
+def _promoted(spark: SparkSession, d: str) -> DataFrame:
+    """Events as labels of their user; every fifth has a decision."""
+    n, events = F.col("event_id"), table(spark, d, "events")
+    status = F.when(F.col("event_type") == "purchase", "verified").when(F.col("event_type") == "error", "rejected").otherwise("pending")
+    labels = events.select(F.col("user_id").alias("case_id"), n.alias("evidence_id"), status.alias("status"), (n % 3 > 0).alias("required"))
+    decisions = events.where(n % 5 == 0).select(F.col("user_id").alias("case_id"), n.alias("evidence_id"), F.when(n % 10 == 0, "verified").otherwise("rejected").alias("new_status"))
+    return promotion.promoted(labels, decisions)
+
+
+@query(_PROMOTED + "SELECT s AS status, sum(x)::BIGINT AS n_before, sum(y)::BIGINT AS n_after FROM (SELECT b AS s, 1 AS x, 0 AS y FROM p UNION ALL SELECT a, 0, 1 FROM p) GROUP BY s")
+def promotion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return promotion.status_counts(_promoted(spark, d))
+
+
+@query(_PROMOTED + "SELECT case_id, bool_and(NOT required OR a = 'verified') AS verified FROM p GROUP BY case_id")
+def promoted_cases(spark: SparkSession, d: str) -> DataFrame:
+    return promotion.verified_cases(_promoted(spark, d))
+
+
+@query("""SELECT o_orderkey AS request_id, k.c AS "check", CASE k.c WHEN 'request_completed' THEN o_orderstatus <> 'P' AND o_orderpriority NOT LIKE '1-%' WHEN 'context_present' THEN o_custkey % 3 > 0 ELSE o_orderkey % 2 > 0 END AS passed,
+CASE k.c WHEN 'request_completed' THEN CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'cache_hit' ELSE 'unobserved' END WHEN 'context_present' THEN (o_custkey % 3)::VARCHAR ELSE (o_orderkey % 2)::VARCHAR END AS value
+FROM orders, (VALUES ('request_completed'), ('context_present'), ('citation_present')) AS k(c)""")
+def code_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests: their status, priority 1 as an error, remainders as numbers of contexts and citations."""
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "cache_hit")
+    checks = cases.code_checks(status, F.col("o_orderpriority").startswith("1-"), F.col("o_custkey") % 3, F.col("o_orderkey") % 2)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.inline(checks))
