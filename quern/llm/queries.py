@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
 from quern.llm import conversations as chat
-from quern.llm import minhash, packing, passages, pii, rules, token_files, toxicity, url_rules
+from quern.llm import minhash, packing, passages, pii, rules, shards, token_files, toxicity, url_rules
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -112,6 +112,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+#: Two regions of three racks of four shards.
+SHARDS = shards.even_tree(2, 3, 4)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shards(table(spark, sf_dir, "documents"), SHARDS, shards.grown(SHARDS)).withColumn("law", F.lit("key"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -123,8 +131,20 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
+    "op13_sharding": op13_sharding,
 }
 
+#: The checksum of a text in SQL: its bytes through a table of the 256 remainders of the reversed polynomial.
+CRC32_SQL = r"""crc_table AS (
+  SELECT list(c ORDER BY i) AS remainders FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) AS t(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the checksum of an expression, where ``crc_table`` is joined."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, remainders[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+
+
 ORACLE_SQL = {
     "op2_quality_rules": r"""
 WITH doc AS (
@@ -188,6 +208,30 @@ kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone U
 n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+""",
+    "op13_sharding": rf"""
+WITH {CRC32_SQL},
+tree AS (
+  SELECT r, k, s, 'region' || r AS region, 'region' || r || '/rack' || k AS rack, 'region' || r || '/rack' || k || '/shard' || s AS leaf, 12 * r + 4 * k + s AS shard
+  FROM range(0, 2) AS a(r), range(0, 3) AS b(k), range(0, 4) AS c(s)),
+doc AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 8 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, crc_table),
+region AS (
+  SELECT id, name, weight, -ln((('0x' || substr(md5(key || '/' || name), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / weight AS draw
+  FROM doc, (VALUES ('region0', 12.0::DOUBLE), ('region1', 12.0), ('grown2', 1.0)) AS v(name, weight)),
+won AS (
+  SELECT id, arg_min(name, draw) FILTER (name != 'grown2') AS region, arg_min(name, draw) = 'grown2' AS moved,
+    arg_min(name, draw) AS grown_region FROM region GROUP BY id),
+rack AS (
+  SELECT id, arg_min(rack, -ln((('0x' || substr(md5(key || '/' || rack), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS rack
+  FROM doc JOIN won USING (id) JOIN (SELECT DISTINCT region, rack FROM tree) USING (region) GROUP BY id),
+leaf AS (
+  SELECT id, arg_min(shard, -ln((('0x' || substr(md5(key || '/' || leaf), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS shard
+  FROM doc JOIN rack USING (id) JOIN tree USING (rack) GROUP BY id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CASE WHEN moved THEN 24 ELSE shard END::INT AS grown_shard
+FROM doc JOIN leaf USING (id) JOIN won USING (id)
 """,
     "op10_url_filters": r"""
 WITH url AS (
