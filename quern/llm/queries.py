@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
 from quern.llm import conversations as chat
-from quern.llm import minhash, packing, passages, pii, rules, shards, token_files, toxicity, url_rules
+from quern.llm import minhash, packing, passages, pii, rules, shards, token_files, toxicity, url_rules, whitening
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -112,6 +112,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 #: Two regions of three racks of four shards.
 SHARDS = shards.even_tree(2, 3, 4)
 
@@ -131,6 +135,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_whitening": op11_whitening,
     "op13_sharding": op13_sharding,
 }
 
