@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import contamination as op4
 from quern.llm import conversations as chat
-from quern.llm import minhash, packing, passages, pii, rules, shards, token_files, toxicity, url_rules, whitening
+from quern.llm import minhash, packing, passages, pii, repair, rules, shards, token_files, toxicity, url_rules, whitening
 from quern.llm.tokens import encoder
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -116,6 +116,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), most=8).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.summaries(repair.repaired_pieces(repair.damaged(turns)))
+
+
 #: Two regions of three racks of four shards.
 SHARDS = shards.even_tree(2, 3, 4)
 
@@ -136,6 +141,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_whitening": op11_whitening,
+    "op12_structure_repair": op12_structure_repair,
     "op13_sharding": op13_sharding,
 }
 
@@ -150,7 +156,61 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, remainders[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
 
 
+
+
+def _way(state: str, cost: str, audit: str, body: str) -> str:
+    """SQL for a state's price, audit and text with what one more step adds."""
+    return f"{{'c': {state}.c + {cost}, 't': {state}.t || {audit}, 'b': {state}.b || {body}}}"
+
+
+def _least(role: str, word: str, free: tuple[str, ...], paid: tuple[str, ...], insert: str) -> str:
+    """SQL for the best of the ways to end in a role: this row deleted, or kept or reroled after each role before."""
+    text = "chr(10) || word || ':' || text"
+    ways = [_way(role, "3", "'D'", "''")]
+    for states, inserted, more, made in ((free, "0", "''", "''"), (paid, "2", "'I'", f"chr(10) || '{insert}:'")):
+        for state in states:
+            ways.append(f"CASE WHEN stays AND initial = '{role}' THEN {_way(state, f'{inserted} + extra', f'{more} || {chr(39)}K{chr(39)}', f'{made} || ' + text.replace('word', 'role'))} END")
+            if word:
+                ways.append(f"CASE WHEN stays THEN {_way(state, f'{inserted} + 2 + extra', f'{more} || {chr(39)}R{chr(39)}', f'{made} || ' + text.replace('word', chr(39) + word + chr(39)))} END")
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
 ORACLE_SQL = {
+    "op12_structure_repair": rf"""
+WITH RECURSIVE {CRC32_SQL},
+kind AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, crc_table),
+hurt AS (
+  SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kind, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS twice(k)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY g ORDER BY i) AS before
+  FROM placed),
+steps AS (SELECT g, i, role, text, initial, NOT (blank OR again) AS stays, CASE WHEN cut THEN 1 ELSE 0 END AS extra FROM judged),
+faults AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY g),
+state AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, {{'c': 0::BIGINT, 't': '', 'b': ''}} AS e, {{'c': 1000000000::BIGINT, 't': '', 'b': ''}} AS s,
+    {{'c': 1000000000::BIGINT, 't': '', 'b': ''}} AS u, {{'c': 1000000000::BIGINT, 't': '', 'b': ''}} AS a FROM kind
+  UNION ALL
+  SELECT g, i + 1, {_way("e", "3", "'D'", "''")}, {_least("s", "", ("e",), (), "")}, {_least("u", "user", ("e", "s", "a"), ("u",), "assistant")},
+    {_least("a", "assistant", ("u",), ("e", "s", "a"), "user")}
+  FROM (SELECT state.*, role, text, initial, stays, extra FROM state JOIN steps ON steps.g = state.g AND steps.i = state.i + 1)),
+best AS (
+  SELECT g, list_sort([e, a, {_way("u", "2", "'I'", "chr(10) || 'assistant:'")}, {_way("s", "4", "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")}])[1] AS best
+  FROM state QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.t AS audit, sha256(substr(best.b, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM kind) JOIN best USING (g) LEFT JOIN faults USING (g)
+""",
     "op2_quality_rules": r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
