@@ -196,6 +196,19 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Piece,
         yield piece, False
 
 
+def _batches(rows: Iterator[dict], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows some at a time: 256, or as many as pass the size of a piece."""
+    held: list[dict] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += row.pop("_chars", 0)
+        if len(held) == 256 or chars > PIECE_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema=kind)
+            held, chars = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema=kind)
+
+
 def pieces_of(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Rows (conv_id, turn, role, text, n) as pieces in order, with their prices and audits for all roles before and after."""
     held = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n"))
@@ -208,7 +221,7 @@ def pieces_of(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     made = StructType([rows.schema["conv_id"], *StructType.fromDDL(_PIECE).fields])
     kind = to_arrow_schema(made)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part = TaskContext.get().partitionId()
         for k, (piece, alone) in enumerate(_cut(batches, piece_rows)):
             ways = [
@@ -217,10 +230,10 @@ def pieces_of(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
                 for last, (cost, audit) in moves(piece.turns, before).items()
             ]
             row = {"conv_id": piece.conv, "_part": part, "_piece": k, "alone": alone, **{c: getattr(piece, c) for c in COUNTS}}
-            row |= {"first_role": piece.first_role, "last_role": piece.last_role, "ways": ways, "turns": [vars(t) for t in piece.turns]}
-            yield pa.RecordBatch.from_pylist([row], schema=kind)
+            row |= {"first_role": piece.first_role, "last_role": piece.last_role, "ways": ways, "turns": [vars(t) for t in piece.turns], "_chars": piece.chars}
+            yield row
 
-    return written(ranges.mapInArrow(cut, made), "pieces")
+    return written(ranges.mapInArrow(lambda batches: _batches(cut(batches), kind), made), "pieces")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -282,14 +295,9 @@ def repaired_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     narrow = cut.where(~F.col("alone")).select("conv_id", "_part", "_piece", "ways", "first_role", "last_role", "low", "high")
     choice_kind = to_arrow_schema(StructType.fromDDL(_CHOICE))
 
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for row in _joined(batches):
-            held.append(row)
-            if len(held) == 1000:
-                yield pa.RecordBatch.from_pylist(held, schema=choice_kind)
-                held = []
-        yield pa.RecordBatch.from_pylist(held, schema=choice_kind)
+        yield from _batches(_joined(batches), choice_kind)
 
     choices = written(narrow.repartition("conv_id").sortWithinPartitions("conv_id", "_part", "_piece").mapInArrow(join, _CHOICE), "choices")
     few = choices.count() <= BROADCAST_PIECES
@@ -300,7 +308,7 @@ def repaired_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     made = StructType([rows.schema["conv_id"], *StructType.fromDDL(f"alone boolean, {_DONE}").fields])
     kind = to_arrow_schema(made)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 turns = [Turn(**t) for t in row["turns"]]
@@ -313,9 +321,9 @@ def repaired_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
                 done = {c: row[c] for c in ("conv_id", "alone", *COUNTS)} | {"piece": row["piece"] or 0, "ends": ends, "cost": cost, "audit": audit, "repaired": repaired(turns, audit, before)}
                 done["illegal"] += row["more_illegal"] or 0
                 done["n_turns"] -= row["again"] or 0
-                yield pa.RecordBatch.from_pylist([done], schema=kind)
+                yield done | {"_chars": sum(len(t.text) for t in turns)}
 
-    return written(met.select(*alone.columns).unionByName(alone).mapInArrow(finish, made), "repaired")
+    return written(met.select(*alone.columns).unionByName(alone).mapInArrow(lambda batches: _batches(finish(batches), kind), made), "repaired")
 
 
 def body(turns: Column) -> Column:
@@ -337,7 +345,7 @@ def summaries(pieces: DataFrame) -> DataFrame:
 
     kind = to_arrow_schema(made)
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total, audits, sha, any_turn = None, [], None, False
         for batch in batches:
             for row in batch.to_pylist():
@@ -352,7 +360,7 @@ def summaries(pieces: DataFrame) -> DataFrame:
                     sha.update((b"\n" if any_turn else b"") + row["body"].encode("utf-8", "surrogatepass"))
                     any_turn = True
                 if row["ends"]:
-                    yield pa.RecordBatch.from_pylist([total | {"conv_id": row["conv_id"], "audit": "".join(audits), "repaired_sha256": sha.hexdigest()}], schema=kind)
+                    yield total | {"conv_id": row["conv_id"], "audit": "".join(audits), "repaired_sha256": sha.hexdigest(), "_chars": total["cost"]}
 
-    met = parts.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(stream, made)
+    met = parts.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(lambda batches: _batches(stream(batches), kind), made)
     return whole.unionByName(met.select("conv_id", gaps(F.col("low"), F.col("high"), F.col("n_turns")), *sums, "audit", "repaired_sha256"))
