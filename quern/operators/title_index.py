@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import ranking
-from quern.sources import records
+from quern.sources import publication, records
 
 BUCKETS = 64
 #: Doc_ids in the range of a run, and runs at most: ids spread more widely are refused until ``width`` is raised.
@@ -43,22 +43,22 @@ def build(docs: DataFrame, folder: str, revision: str, width: int = WIDTH) -> in
             if not records.complete(spark, f"{run}/{name}"):
                 found.write.mode("overwrite").parquet(f"{run}/{name}")
                 made += name == "size"
-    if records.complete(spark, f"{folder}/version={revision}"):
-        records.point(spark, folder, revision)
+    if publication.published(spark, folder, revision):
+        publication.point(spark, folder, revision)
         return made
     read = lambda name, schema: spark.read.schema(schema).parquet(*(f"{r}/{name}" for r in runs)) if runs else spark.createDataFrame([], schema)
     total = read("size", SIZE).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_terms")))
     total.write.mode("overwrite").parquet(f"{folder}/size={revision}")
     whole = read("postings", POSTINGS).withColumn("bucket", bucket(F.col("term")))
     spread = whole.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-    records.publish(spread, folder, revision, by=("bucket",))
+    publication.publish(spread, folder, revision, by=("bucket",))
     return made
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, top: int) -> DataFrame:
     """BM25 of ``queries`` (query_id, text) over the published index: query_id, doc_id, score, rank."""
-    revision = records.current_version(spark, folder)
-    index = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{folder}/version={revision}")
+    revision = publication.current_version(spark, folder)
+    index = spark.read.schema(f"{POSTINGS}, bucket int").parquet(publication.current_path(spark, folder))
     asked = ranking.title_queries(queries)
     terms = ranking.bounded(asked.select("term", bucket(F.col("term")).alias("bucket")).distinct())
     wanted = index.join(terms, ["bucket", "term"], "left_semi").select("term", "doc_id", "tf", "len")

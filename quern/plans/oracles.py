@@ -70,7 +70,7 @@ f1s AS (
   SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN coalesce(k, 0) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * k / (len(a) + len(b)), 4) END AS f1
   FROM (SELECT *, {_MULTI.format(a='a', b='b')} AS k
     FROM (SELECT *, list_filter(string_split({_METRIC.format(c='answer')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({_METRIC.format(c='reference')}, ' '), lambda x: x <> '') AS b FROM SOURCE)))"""
-_VEC = """
+VECTORS = """
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, q.label AS q_label, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
   FROM embeddings AS q JOIN embeddings AS v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"""
@@ -137,14 +137,14 @@ tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l,
 s AS (SELECT doc_id, term, round(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (SELECT greatest(avg(len(t)), 1) FROM w))), 6) AS weight FROM tf)
 SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS k FROM s) WHERE k <= 64""",
     "query_tf_weights": f"SELECT item_id AS query_id, term, round(1 + ln(count(*)), 6) AS weight FROM (SELECT item_id, unnest({_terms()}) AS term FROM benchmark) GROUP BY ALL",
-    "cosine_topk": f"WITH {_VEC} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5",
-    "dot_hybrid_alpha": f"""WITH {_VEC}, b AS (SELECT query_id, vec_id, round(0.75::DOUBLE * score + 0.25::DOUBLE * (label = q_label)::INT, 6) AS score FROM scored)
+    "cosine_topk": f"WITH {VECTORS} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5",
+    "dot_hybrid_alpha": f"""WITH {VECTORS}, b AS (SELECT query_id, vec_id, round(0.75::DOUBLE * score + 0.25::DOUBLE * (label = q_label)::INT, 6) AS score FROM scored)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 5""",
-    "semantic_cache_lookup": f"WITH {_VEC} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score >= 0.3) WHERE rank = 1",
+    "semantic_cache_lookup": f"WITH {VECTORS} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score >= 0.3) WHERE rank = 1",
     "maxsim_rerank": """SELECT query_id, label, round(sum(best), 6) AS score FROM (
   SELECT q.vec_id // 100 % 3 AS query_id, q.vec_id AS part, v.label, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
   FROM embeddings AS q CROSS JOIN embeddings AS v WHERE q.vec_id % 100 = 0 GROUP BY ALL) GROUP BY ALL""",
-    "class_recall": f"""WITH {_VEC}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10)
+    "class_recall": f"""WITH {VECTORS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10)
 SELECT query_id, round(avg((label = q_label)::INT), 6) AS precision_at_10, min(rank) FILTER (label = q_label) AS first_rank FROM t GROUP BY query_id""",
     "neighbor_expand": """SELECT min(s.l_orderkey * 8 + s.l_linenumber) AS seed_rank, n.l_orderkey, n.l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS s
 JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderkey = s.l_orderkey AND abs(n.l_linenumber - s.l_linenumber) <= 1 GROUP BY ALL""",

@@ -1,4 +1,4 @@
-"""Records of a corpus: checked reads, JSON tables, manifests and published tables.
+"""Records of a corpus: checked reads, JSON tables and manifests.
 
 Null values are kept apart from empty ones unless said otherwise; empty tables give no rows.
 """
@@ -105,39 +105,6 @@ def sink_faults(made: DataFrame, expected: int, dimension: int) -> list[str]:
     return [what for what, bad in checks.items() if bad]
 
 
-def publish(df: DataFrame, folder: str, version: str, by: tuple[str, ...] = ()) -> str:
-    """Writes ``df``, in folders of the columns ``by``, as a new version of a table, then makes it the current one by a small pointer file.
-
-    Readers see the old version until the pointer changes; a failed write changes nothing and may be repeated, a
-    complete version is never written over. Any file system of Spark.
-    """
-    path = f"{folder}/version={version}"
-    df.write.mode("errorifexists" if complete(df.sparkSession, path) else "overwrite").partitionBy(*by).parquet(path)
-    return point(df.sparkSession, folder, version)
-
-
-def point(spark: SparkSession, folder: str, version: str) -> str:
-    """Makes a written version the current one."""
-    path = f"{folder}/version={version}"
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").text(f"{folder}/_next")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    current, new = hadoop.Path(f"{folder}/_current"), hadoop.Path(f"{folder}/_next")
-    fs = current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(current, True)
-    if not fs.rename(new, current):
-        raise OSError(f"{path} could not be published")
-    return path
-
-
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The published version of a table."""
-    return spark.read.parquet(f"{folder}/version={current_version(spark, folder)}")
-
-
-def current_version(spark: SparkSession, folder: str) -> str:
-    return spark.read.text(f"{folder}/_current").first()[0]
-
-
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` has ended."""
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -88,20 +88,6 @@ def test_json_contracts(spark, tmp_path):
     assert sorted(map(str, (r.a for r in records.log_snapshot(spark, str(tmp_path / "log.json"), "a long").collect()))) == ["1", "None", "None"]
 
 
-def test_versions_are_published_whole(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    records.publish(spark.range(3), folder, "1")
-    records.publish(spark.range(5), folder, "2")
-    assert records.current(spark, folder).count() == 5
-    with pytest.raises(Exception, match="(?i)exist"):
-        records.publish(spark.range(9), folder, "2")
-    assert records.current(spark, folder).count() == 5
-    assert {r.position for r in records.sharded(spark, f"{folder}/version=2").collect()} >= {0}
-    made = records.vector_records(spark.createDataFrame([(1, [1.0, 2.0], [1], [0.5], None), (2, [1.0], [1], [0.5], "u")], "id long, embedding array<double>, term_ids array<long>, weights array<double>, url string"), "id", 2)
-    assert records.sink_faults(made, 2, 2) == ["1 vectors of another dimension"]
-    assert [r.metadata for r in made.orderBy("id").collect()] == [{}, {"url": "u"}]
-
-
 def test_contexts_and_salvage(spark):
     df = spark.createDataFrame([("[5/2020/A]\ntitle: T\nsource: https://x.y\nbody\n\nmore",), ("source: ftp://x\nonly",), (None,)], "c string")
     got = [r.p for r in df.select(answers.presented(F.col("c")).alias("p")).collect()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import ranking, title_index
-from quern.sources import records
+from quern.sources import publication
 
 
 def titles(spark, *rows):
@@ -32,7 +32,7 @@ def test_a_broken_build_goes_on_and_a_new_revision_takes_over(spark, tmp_path, m
         raise OSError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(records, "publish", broken)
+        patch.setattr(publication, "publish", broken)
         with pytest.raises(OSError):
             title_index.build(docs.where("doc_id < 20"), str(tmp_path), "r1", width=10)
     assert title_index.build(docs, str(tmp_path), "r1", width=10) == 1
