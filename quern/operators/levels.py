@@ -62,7 +62,7 @@ def exact_reference() -> Column:
     return number & ((level == "document") | (article & ((level == "article") | clause)))
 
 
-def _applies(level: str) -> Column:
+def applies(level: str) -> Column:
     """Gold that counts at a level: all for documents, that which names the locator else."""
     return F.lit(True) if level == "document" else T.locator(F.col(level)) != ""
 
@@ -72,8 +72,8 @@ def stage_recalls(gold: DataFrame, matches: DataFrame, stages: dict[str, int], d
     firsts = matches.groupBy("case_id", "evidence_id", "stage").agg(*(F.min(F.when(F.col(f"by_{x}"), F.col("rank"))).alias(f"{x}_rank") for x in LEVELS))
     spark = gold.sparkSession
     listed = [(s, cap, s in document_only) for s, cap in stages.items()]
-    stage = F.broadcast(spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(c).alias("capacity"), F.lit(o).alias("document_only")) for s, c, o in listed)))))
-    held = gold.select("case_id", "evidence_id", *(_applies(x).alias(f"has_{x}") for x in LEVELS)).join(stage).join(firsts, ["case_id", "evidence_id", "stage"], "left")
+    stage = F.broadcast(spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(c).cast("int").alias("capacity"), F.lit(o).alias("document_only")) for s, c, o in listed)))))
+    held = gold.select("case_id", "evidence_id", *(applies(x).alias(f"has_{x}") for x in LEVELS)).join(stage).join(firsts, ["case_id", "evidence_id", "stage"], "left")
     cells = [(x, k) for x in LEVELS for k in DEPTHS[x]]
     counts = held.groupBy("case_id", "stage", "capacity", "document_only").agg(
         *(F.count_if(f"has_{x}").alias(f"{x}_n") for x in LEVELS),
@@ -110,8 +110,8 @@ def stage_bundle(recalls: DataFrame) -> DataFrame:
 
 def level_reciprocal_ranks(gold: DataFrame, matches: DataFrame, stage: str) -> DataFrame:
     """case_id, level and rr of the first candidate that matches any gold at that level; null without applicable gold."""
-    firsts = matches.where(F.col("stage") == stage).groupBy("case_id").agg(*(F.min(F.when(F.col(f"by_{x}") & _applies(x), F.col("rank"))).alias(x) for x in LEVELS))
-    counts = gold.groupBy("case_id").agg(*(F.count_if(_applies(x)).alias(f"{x}_n") for x in LEVELS))
+    firsts = matches.where(F.col("stage") == stage).groupBy("case_id").agg(*(F.min(F.when(F.col(f"by_{x}") & applies(x), F.col("rank"))).alias(x) for x in LEVELS))
+    counts = gold.groupBy("case_id").agg(*(F.count_if(applies(x)).alias(f"{x}_n") for x in LEVELS))
     rows = F.array(*(F.struct(F.lit(x).alias("level"), F.when(F.col(f"{x}_n") > 0, F.coalesce(F.round(1.0 / F.col(x), 4), F.lit(0.0))).alias("rr")) for x in LEVELS))
     return counts.join(firsts, "case_id", "left").select("case_id", F.inline(rows))
 

@@ -33,7 +33,8 @@ STAGES, DOCUMENT_ONLY = {"source": 24, "local": 4, "final": 2}, ("source",)
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount", "l_returnflag", "l_linestatus")
 
 
-def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def evidence(spark: SparkSession, d: str, stages: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Gold and candidates of the stages."""
     lines = table(spark, d, "lineitem").select("l_orderkey", *_ORDER)
     case = Window.partitionBy("l_orderkey")
     lines = lines.withColumn("n", F.row_number().over(case.orderBy(*_ORDER))).withColumn("rank", F.row_number().over(case.orderBy(F.desc("l_extendedprice"), *_ORDER)))
@@ -58,30 +59,40 @@ def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("ART  "), "l_returnflag").alias("article"),
         F.when(F.col("l_quantity") > 10, F.col("l_linestatus")).alias("clause"),
     )
-    depth = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(k).alias("depth")) for s, k in STAGES.items()))
+    depth = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(k).alias("depth")) for s, k in stages.items()))
     candidates = every.select("*", F.inline(depth)).where(F.col("rank") <= F.col("depth")).drop("depth")
     return gold, candidates
 
 
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return evidence(spark, d, STAGES)
+
+
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gold, candidates = _evidence(spark, d)
     return gold, candidates, written(levels.level_matches(gold, candidates), "matches")
 
 
-_EVIDENCE = """
+def evidence_sql(stages: dict[str, int]) -> str:
+    """The same gold and candidates, and their matches by level, as SQL."""
+    listed = ", ".join(f"('{s}', {k})" for s, k in stages.items())
+    return f"""
 lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount, l_returnflag, l_linestatus) AS n,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount, l_returnflag, l_linestatus) AS rank FROM lineitem),
 gold AS (SELECT l_orderkey AS case_id, n AS evidence_id, CASE WHEN n % 2 = 1 THEN l_suppkey % 20 END AS g_id, CASE WHEN l_partkey % 3 > 0 THEN 'n' || (l_suppkey % 20) END AS g_number,
   CASE WHEN l_partkey % 4 > 0 THEN 'art ' || lower(l_returnflag) END AS g_article, CASE WHEN l_partkey % 5 > 1 THEN lower(l_linestatus) END AS g_clause,
   ['document', 'article', 'clause'][l_partkey % 3 + 1] AS lvl, l_discount < 0.08 AS required, CASE WHEN l_tax > 0.02 THEN 'verified' ELSE 'needs_review' END AS status FROM lines WHERE n <= 3),
 cand AS (SELECT l_orderkey AS case_id, stage, rank, CASE WHEN n % 3 > 0 THEN l_suppkey % 20 END AS c_id, 'n' || (l_suppkey % 20) AS c_number, 'art ' || lower(l_returnflag) AS c_article, CASE WHEN l_quantity > 10 THEN lower(l_linestatus) END AS c_clause
-  FROM lines JOIN (VALUES ('source', 24), ('local', 4), ('final', 2)) AS s(stage, depth) ON rank <= depth),
+  FROM lines JOIN (VALUES {listed}) AS s(stage, depth) ON rank <= depth),
 docm AS (SELECT gold.*, stage, rank, c_article, c_clause, c_number, coalesce(g_id = c_id, false) OR coalesce(g_number = c_number, false) AS d FROM gold JOIN cand USING (case_id)),
 artm AS (SELECT *, CASE WHEN NOT (d OR (g_id IS NULL AND g_number IS NULL)) THEN false WHEN g_article IS NULL THEN d ELSE coalesce(g_article = c_article, false) END AS a FROM docm),
 m AS (SELECT *, CASE WHEN NOT a THEN false WHEN g_clause IS NULL THEN a ELSE coalesce(g_clause = c_clause, false) END AS c FROM artm),
 need AS (SELECT *, CASE lvl WHEN 'document' THEN d WHEN 'article' THEN a ELSE c END AS r FROM m)"""
 
 
+_EVIDENCE = evidence_sql(STAGES)
+
+
 @query(f"WITH {_EVIDENCE} SELECT case_id, evidence_id, stage, bool_or(d) AS document, bool_or(a) AS article, bool_or(c) AS clause FROM m GROUP BY ALL HAVING bool_or(d) OR bool_or(a)")
 def level_match(spark: SparkSession, d: str) -> DataFrame:
     hits = _matched(spark, d)[2].groupBy("case_id", "evidence_id", "stage").agg(*(F.bool_or(f"by_{x}").alias(x) for x in levels.LEVELS))
@@ -137,15 +148,16 @@ def level_mrr(spark: SparkSession, d: str) -> DataFrame:
     return levels.level_reciprocal_ranks(gold, hits, "local")
 
 
-@query(f"""WITH RECURSIVE {_EVIDENCE},
-h AS (SELECT case_id, rank, list_sort(list(DISTINCT evidence_id)) AS items FROM need WHERE stage = 'source' AND r GROUP BY ALL),
+NDCG_SQL = """h AS (SELECT case_id, rank, list_sort(list(DISTINCT evidence_id)) AS items FROM need WHERE stage = 'source' AND r GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS i FROM h),
 w AS (SELECT case_id, 0::BIGINT AS i, []::BIGINT[] AS served, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT case_id FROM gold)
   UNION ALL SELECT w.case_id, o.i, CASE WHEN len(list_filter(o.items, lambda x: NOT list_contains(served, x))) > 0 THEN list_append(served, list_min(list_filter(o.items, lambda x: NOT list_contains(served, x)))) ELSE served END,
-    gain + CASE WHEN len(list_filter(o.items, lambda x: NOT list_contains(served, x))) > 0 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END FROM w JOIN o ON o.case_id = w.case_id AND o.i = w.i + 1)
-SELECT case_id, round(arg_max(gain, i) / (SELECT sum(1 / log2(r + 1)) FROM range(1, least(10, count(*) FILTER (true) + 0) + 1) AS t(r)), 4) AS ndcg FROM w GROUP BY case_id""".replace(
-    "(SELECT sum(1 / log2(r + 1)) FROM range(1, least(10, count(*) FILTER (true) + 0) + 1) AS t(r))", "any_value(ideal)").replace(
-    "AS ndcg FROM w GROUP BY", "AS ndcg FROM w JOIN (SELECT case_id, list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda r: 1 / log2(r + 1))) AS ideal FROM gold GROUP BY case_id) USING (case_id) GROUP BY"))
+    gain + CASE WHEN len(list_filter(o.items, lambda x: NOT list_contains(served, x))) > 0 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END FROM w JOIN o ON o.case_id = w.case_id AND o.i = w.i + 1),
+best AS (SELECT case_id, list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda r: 1 / log2(r + 1))) AS ideal FROM gold GROUP BY case_id),
+ndcg AS (SELECT case_id, round(arg_max(gain, i) / any_value(ideal), 4) AS ndcg FROM w JOIN best USING (case_id) GROUP BY case_id)"""
+
+
+@query(f"WITH RECURSIVE {_EVIDENCE}, {NDCG_SQL} SELECT case_id, ndcg FROM ndcg")
 def greedy_ndcg(spark: SparkSession, d: str) -> DataFrame:
     gold, _, hits = _matched(spark, d)
     return levels.greedy_ndcg(gold, hits, "source")

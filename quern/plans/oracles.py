@@ -17,7 +17,7 @@ def _spaced(c: str = "text") -> str:
     return _SPACED.format(c=c)
 
 
-_LEX = f"""
+LEXICAL_SQL = f"""
 qt AS (
   SELECT DISTINCT item_id AS query_id, term FROM (
     SELECT item_id, unnest(list_distinct(list_filter(t, lambda x: length(x) >= 2))) AS term
@@ -50,7 +50,7 @@ def _recalls(found: str, name: str = "recalls", ks: str = "1, 3, 5, 10, 24, 50")
     FROM benchmark CROSS JOIN (SELECT unnest([{ks}]) AS k) LEFT JOIN {found} AS f ON f.query_id = item_id GROUP BY ALL))"""
 
 
-_BOTH = _LEX + "," + _GOLD
+_BOTH = LEXICAL_SQL + "," + _GOLD
 _PAIRS = """
 pairs AS (
   SELECT a.conv_id, a.turn, a.text AS answer, u.text AS reference FROM conversations AS a
@@ -115,7 +115,7 @@ SELECT query_id, doc_id, source, final_rank FROM (SELECT *, row_number() OVER (P
 s AS (SELECT query_id, doc_id, round(coalesce(score, 0) + CASE WHEN g.doc_id IS NULL THEN 0 ELSE 8.0::DOUBLE END, 6) AS score
   FROM scored FULL JOIN (SELECT query_id, doc_id FROM gold) AS g USING (query_id, doc_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
-    "token_budget_select": f"""WITH {_LEX},
+    "token_budget_select": f"""WITH {LEXICAL_SQL},
 h AS (SELECT query_id, rank, score, source, trunc(n_chars / 5)::BIGINT AS tokens, doc_id FROM lexical JOIN documents USING (doc_id) WHERE rank <= 16),
 RECURSIVE_DUMMY AS (SELECT 1)
 SELECT query_id, x.used AS used, array_to_string(list_transform(x.held, lambda h: h.id::VARCHAR), ',') AS chosen FROM (
@@ -193,7 +193,7 @@ SELECT doc_id, (i / 80)::INTEGER AS window_no, len(t[i + 1:i + 96])::INTEGER AS
 SELECT query_id, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN place <= 10 THEN 1 / log2(place + 1) ELSE 0 END), 6) AS ndcg FROM p GROUP BY query_id""",
     "multihop_coverage": f"WITH {_BOTH},{_FOUND} SELECT query_id, bool_and(rank IS NOT NULL) AS all_found, round(avg((rank IS NOT NULL)::INT), 6) AS share FROM found GROUP BY query_id",
     "first_loss": f"WITH {_BOTH},{_FOUND} SELECT query_id, doc_id, CASE WHEN rank IS NULL THEN 'lexical' WHEN rank > 10 THEN 'top_10' WHEN rank > 3 THEN 'top_3' END AS stage FROM found",
-    "candidate_distribution": f"""WITH {_LEX}, c AS (SELECT query_id, count(*) AS n FROM lexical GROUP BY 1)
+    "candidate_distribution": f"""WITH {LEXICAL_SQL}, c AS (SELECT query_id, count(*) AS n FROM lexical GROUP BY 1)
 SELECT count(*) AS n, min(n) AS least, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most FROM c""",
     "reranker_delta": f"""WITH {_BOTH},{_FUSED},{_FOUND}, ffound AS (SELECT query_id, doc_id, fused.rank FROM gold LEFT JOIN fused USING (query_id, doc_id)),{_recalls('found', 'r1', '1, 3')},{_recalls('ffound', 'r2', '1, 3')}
 SELECT *, round("after" - "before", 6) AS delta FROM (SELECT k, round(avg(recall), 6) AS "before" FROM r1 GROUP BY k) JOIN (SELECT k, round(avg(recall), 6) AS "after" FROM r2 GROUP BY k) USING (k)""",
