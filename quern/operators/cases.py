@@ -178,10 +178,19 @@ def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def sensitive_path(path: Column) -> Column:
-    """Environment files, credentials and keys by their names."""
+    """Environment files, credentials and keys by their names; of environment files only the template ``.env.example`` is safe."""
     name = F.lower(F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1))
     named = name.isin(".env", "credentials.json", "secrets.json", "service-account.json")
-    return F.coalesce((named | name.startswith(".env.") | name.rlike(r"\.(key|pem|p12|pfx)$")) & ~name.rlike(r"^\.env\.(example|sample|template)$"), F.lit(False))
+    return F.coalesce((named | name.startswith(".env.") | name.rlike(r"^.+\.(key|pem|p12|pfx)$")) & (name != ".env.example"), F.lit(False))
+
+
+def excluded_path(path: Column, paths: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
+    """Paths that a digest of sources leaves out: sensitive ones, those named or below a prefix, and what tools leave behind."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    left = plain.endswith(".tmp") | plain.endswith(".pyc") | F.contains(F.concat(F.lit("/"), plain, F.lit("/")), F.lit("/__pycache__/")) | plain.startswith(".pytest_cache/")
+    for p in prefixes:
+        left = left | plain.startswith(p)
+    return F.coalesce(sensitive_path(path) | left | plain.isin(*paths), F.lit(False))
 
 
 def owned(rows: DataFrame, owner: str, key: str = "client_id") -> DataFrame:

@@ -10,7 +10,7 @@ from quern.sources.scratch import written
 
 #: The vocabulary of flags.
 FLAGS = ("abnormal_length", "duplicate_content_hash", "empty_content", "encoding_damage", "invalid_issuance_date", "missing_document_number", "missing_source_url", "missing_title")
-SHORT, LONG = 40, 50_000
+SHORT, LONG = 20, 20_000_000
 
 
 def content_hash(c: Column) -> Column:

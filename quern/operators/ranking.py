@@ -41,7 +41,7 @@ def ranked(scored: DataFrame, top: int, *order: Column, by: str = "query_id") ->
 
 
 def lexical_lane(queries: DataFrame, docs: DataFrame, top: int = 24, phrase_bonus: float = 0.0, within: DataFrame | None = None) -> DataFrame:
-    """Sum of 1 + ln(tf) over all distinct terms of a query; joined by term, so that only sharing pairs meet.
+    """Sum of 1 + ln(tf) over all distinct terms of a query, and ``phrase_bonus`` where the text holds the whole query; joined by term, so that only sharing pairs meet.
 
     ``within`` (query_id, doc_id): only these are ranked. Null and empty texts share nothing; ties go to the smaller doc_id.
     """
@@ -50,7 +50,7 @@ def lexical_lane(queries: DataFrame, docs: DataFrame, top: int = 24, phrase_bonu
     postings = docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     scored = postings.join(bounded(wanted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(1 + F.log("tf")), 6).alias("score"))
     if phrase_bonus:
-        hits = containment(queries, docs).withColumn("hit", F.lit(phrase_bonus))
+        hits = containment(queries, docs, windows=False).withColumn("hit", F.lit(phrase_bonus))
         scored = scored.join(hits, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("hit", F.lit(0.0)), 6).alias("score"))
     if within is not None:
         scored = scored.join(within.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
@@ -71,8 +71,8 @@ def needles(queries: DataFrame) -> DataFrame:
     return asked.select("query_id", F.posexplode(parts).alias("part", "needle"))
 
 
-def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id and doc_id where the cleaned, lower-case text holds the query's, or two of its three windows, as substrings.
+def containment(queries: DataFrame, docs: DataFrame, windows: bool = True) -> DataFrame:
+    """query_id and doc_id where the cleaned, lower-case text holds the query's, or (with ``windows``) two of its three windows, as substrings.
 
     The tokens within a needle, without its first and last, must be whole tokens of the text. The longest of them (ties:
     the smaller) is joined by equality with the distinct tokens of texts; texts are fetched for pairs that meet there.
@@ -81,7 +81,8 @@ def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """
     words = F.split("needle", " ")
     inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))
-    asked = written(needles(queries).withColumn("key", F.array_min(inner)["token"]), "needles")
+    parts = needles(queries) if windows else needles(queries).where("part = 0")
+    asked = written(parts.withColumn("key", F.array_min(inner)["token"]), "needles")
     body = docs.select("doc_id", F.lower(T.clean(F.col("text"))).alias("body"))
     keyed = asked.where(F.col("key").isNotNull())
     tokens = body.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("key"))
@@ -159,14 +160,14 @@ def within_budget(items: Column, budget: int, least: float, cap: int, most: int)
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf and len (terms of the document); null and empty texts have none."""
-    words = docs.select("doc_id", T.terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
+    """term, doc_id, tf and len (words of the title); null and empty texts have none."""
+    words = docs.select("doc_id", T.words(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
     return words.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
     """One row: n_docs and n_terms, documents without terms counted."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(T.terms(F.col("text")))), F.lit(0)).cast("long").alias("n_terms"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(T.words(F.col("text")))), F.lit(0)).cast("long").alias("n_terms"))
 
 
 def title_queries(queries: DataFrame) -> DataFrame:

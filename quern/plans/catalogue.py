@@ -217,8 +217,8 @@ def pii_redact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secret_redact(spark: SparkSession, d: str) -> DataFrame:
-    message = F.concat(F.col("url"), F.lit("&token=s3cret Bearer ab.c-9 mongodb://u:p4ss@h/x"))
-    return table(spark, d, "pages").select("page_id", T.redact_secrets(message).alias("message"))
+    message = F.concat(F.col("url"), F.lit("&token=s3cret Bearer ab.c-9 forbearer kept xy-known-1 mongodb://u:p4ss@h/x"))
+    return table(spark, d, "pages").select("page_id", T.redact_secrets(message, ("xy-known-1", "kept")).alias("message"))
 
 
 def source_host(spark: SparkSession, d: str) -> DataFrame:

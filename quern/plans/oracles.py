@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _TERMS = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
 _CLEAN = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(65279), ''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _SPACED = r"list_filter(regexp_split_to_array(coalesce({c}, ''), '\s+'), lambda x: x <> '')"
 _METRIC = r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -111,9 +111,10 @@ SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS turn FROM fused JOIN documents USING (doc_id))
 SELECT query_id, doc_id, source, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM c WHERE turn <= 2) WHERE final_rank <= 10""",
     "local_topk_per_group": "SELECT * FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents) WHERE rank <= 3",
-    "lexical_prefilter": f"""WITH {_BOTH},
+    "lexical_prefilter": f"""WITH {LEXICAL_SQL},
+phrase AS (SELECT DISTINCT item_id AS query_id, doc_id FROM (SELECT item_id, lower({_CLEAN.format(c='text')}) AS a FROM benchmark) AS q JOIN (SELECT doc_id, lower({_CLEAN.format(c='text')}) AS b FROM documents) AS x ON a <> '' AND contains(b, a)),
 s AS (SELECT query_id, doc_id, round(coalesce(score, 0) + CASE WHEN g.doc_id IS NULL THEN 0 ELSE 8.0::DOUBLE END, 6) AS score
-  FROM scored FULL JOIN (SELECT query_id, doc_id FROM gold) AS g USING (query_id, doc_id))
+  FROM scored FULL JOIN phrase AS g USING (query_id, doc_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
     "token_budget_select": f"""WITH {LEXICAL_SQL},
 h AS (SELECT query_id, rank, score, source, trunc(n_chars / 5)::BIGINT AS tokens, doc_id FROM lexical JOIN documents USING (doc_id) WHERE rank <= 16),
@@ -124,7 +125,7 @@ SELECT query_id, x.used AS used, array_to_string(list_transform(x.held, lambda h
     lambda s, i: CASE WHEN i.held[1].score >= 2.0 AND len(list_filter(s.held, lambda h: h.grp = i.held[1].grp)) < 1 AND s.used + i.held[1].tokens <= 720 AND len(s.held) < 3
       THEN {{'used': s.used + i.held[1].tokens, 'held': list_concat(s.held, i.held)}} ELSE s END,
     {{'used': 0::BIGINT, 'held': [{{'grp': 'x', 'id': 0::BIGINT, 'score': 0.0::DOUBLE, 'tokens': 0::BIGINT}}][1:0]}}) AS x FROM h GROUP BY query_id)""".replace(",\nRECURSIVE_DUMMY AS (SELECT 1)", ""),
-    "bm25_title_topk": f"""WITH w AS (SELECT p_partkey AS doc_id, {_terms('p_name')} AS t FROM part),
+    "bm25_title_topk": """WITH w AS (SELECT p_partkey AS doc_id, regexp_extract_all(lower(coalesce(p_name, '')), '[\\p{L}\\p{N}]+') AS t FROM part),
 st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM w),
 tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM w) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -163,11 +164,11 @@ UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (
     "duplicate_content": f"SELECT sha256({_NORM}) AS content_sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "quality_flags": f"""WITH b AS (SELECT doc_id, source, {_NORM} AS t FROM documents), h AS (SELECT *, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS k FROM b)
 SELECT doc_id, s AS content_sha256, '[' || array_to_string(list_filter([
-  CASE WHEN length(t) > 0 AND (length(t) < 40 OR length(t) > 50000) THEN '"abnormal_length"' END, CASE WHEN k > 1 THEN '"duplicate_content_hash"' END,
+  CASE WHEN length(t) > 0 AND (length(t) < 20 OR length(t) > 20000000) THEN '"abnormal_length"' END, CASE WHEN k > 1 THEN '"duplicate_content_hash"' END,
   CASE WHEN length(t) = 0 THEN '"empty_content"' END, CASE WHEN regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|Ä[\\x{{80}}-\\x{{BF}}ƒ‘’]|Æ[\\x{{80}}-\\x{{BF}}]|á[º»]|â[\\x{{80}}-\\x{{BF}}€‘-…]') THEN '"encoding_damage"' END,
   CASE WHEN coalesce(trim(source), '') = '' THEN '"missing_source_url"' END], lambda x: x IS NOT NULL), ',') || ']' AS flags FROM h""",
     "quality_histogram": f"""WITH b AS (SELECT doc_id, source, {_NORM} AS t FROM documents), h AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM b)
-SELECT 'abnormal_length' AS flag, count(*) FILTER (length(t) > 0 AND (length(t) < 40 OR length(t) > 50000)) AS n FROM h
+SELECT 'abnormal_length' AS flag, count(*) FILTER (length(t) > 0 AND (length(t) < 20 OR length(t) > 20000000)) AS n FROM h
 UNION ALL SELECT 'duplicate_content_hash', count(*) FILTER (k > 1) FROM h UNION ALL SELECT 'empty_content', count(*) FILTER (length(t) = 0) FROM h
 UNION ALL SELECT 'encoding_damage', count(*) FILTER (regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|Ä[\\x{{80}}-\\x{{BF}}ƒ‘’]|Æ[\\x{{80}}-\\x{{BF}}]|á[º»]|â[\\x{{80}}-\\x{{BF}}€‘-…]')) FROM h
 UNION ALL SELECT 'missing_source_url', count(*) FILTER (coalesce(trim(source), '') = '') FROM h
@@ -181,9 +182,9 @@ SELECT doc_id, (i / 80)::INTEGER AS window_no, len(t[i + 1:i + 96])::INTEGER AS
     "dense_text": f"SELECT doc_id, trim(substr(array_to_string(({_spaced("'source ' || coalesce(source, '') || ' ' || coalesce(text, '')")})[1:420], ' '), 1, 2400)) AS dense_text FROM documents",
     "pii_redact": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+', '[EMAIL]', 'g'),
   '(\+?84|0)([35789][0-9]{8})([^\p{L}\p{N}_]|$)', '[PHONE]\3', 'g'), '(^|[^\p{L}\p{N}_])([0-9]{12}|[0-9]{9})([^\p{L}\p{N}_]|$)', '\1[ID]\3', 'g')) AS sha FROM documents""",
-    "secret_redact": r"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(trim(url || '&token=s3cret Bearer ab.c-9 mongodb://u:p4ss@h/x'),
-  '(?i)([?&](?:api[_-]?key|key|token|secret|password|auth|bearer)=)[^&\s]+', '\1[REDACTED]', 'g'), '(?i)(bearer\s+)[a-zA-Z0-9_\-.]+', '\1[REDACTED]', 'g'),
-  '(?i)(mongodb(?:\+srv)?://[^\s:]+:)([^@\s]+)(@[^\s]+)', '\1[REDACTED]\3', 'g'), 1, 200) AS message FROM pages""",
+    "secret_redact": r"""SELECT page_id, substr(replace(regexp_replace(regexp_replace(regexp_replace(trim(url || '&token=s3cret Bearer ab.c-9 forbearer kept xy-known-1 mongodb://u:p4ss@h/x'),
+  '(?i)([?&](?:api[_-]?key|key|token|secret|password|auth|bearer)=)[^&\s]+', '\1[REDACTED]', 'g'), '(?i)(^|[^\p{L}\p{N}_])(bearer\s+)[a-zA-Z0-9_\-.]+', '\1\2[REDACTED]', 'g'),
+  '(?i)(mongodb(?:\+srv)?://[^\s:]+:)([^@\s]+)(@[^\s]+)', '\1[REDACTED]\3', 'g'), 'xy-known-1', '[REDACTED]'), 1, 200) AS message FROM pages""",
     "source_host": "SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "recall_at_k": f"WITH {_BOTH},{_FOUND},{_recalls('found')} SELECT query_id, k, found_n, gold_n, round(recall, 6) AS recall, reason FROM recalls",
     "macro_micro": f"WITH {_BOTH},{_FOUND},{_recalls('found')} SELECT k, {_MACRO}, count(recall) AS n_defined, count(*) - count(recall) AS n_undefined FROM recalls GROUP BY k",
