@@ -179,7 +179,7 @@ def sane_rewrite(rewritten: Column, query: Column) -> Column:
 
 def presented(context: Column, source: str = "source:", title: str = "title:") -> Column:
     """citation (a first line in brackets), title, url (http or https alone) and excerpt of a context's lines."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), r"\r\n?", "\n"), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(context, F.lit("")), r"\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     after = lambda mark: F.trim(F.substring(F.get(F.filter(lines, lambda x: F.startswith(F.lower(x), F.lit(mark))), 0), len(mark) + 1, 1 << 20))
     bracket = lambda x: x.rlike(r"^\[.*\]$")
     url = after(source)

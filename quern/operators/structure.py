@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.functions import text as T
+from quern.sources.scratch import written
 
 # The words of headings and citations, and the namespace of URLs.
 CHAPTER = r"(?iu)^\s*(Chương\s+(?:[IVXLCDM]+|\d+))(?![\p{L}\p{N}_])"
@@ -94,70 +95,53 @@ def term_id(terms: pd.Series) -> pd.Series:
 
 _DOC = r"[0-9]{1,4}/[0-9]{4}/[A-ZĐ0-9-]+"
 _MARK = rf"(?iuU)\b(?:{_DOC}|(?:{ARTICLE_WORD}|{CLAUSE_WORD})\s+[0-9]+(?:(?<={ARTICLE_WORD}.{{1,20}})[A-Za-z])?)\b"
-CITATIONS = "array<struct<document_number:string,article:string,clause:string>>"
 
+def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row (a number for each text), at, kind (document, article or clause) and name of each mark, by its place in the text."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), F.monotonically_increasing_id().alias("row"))
+    zipped = F.arrays_zip(F.split(body, _MARK, -1).alias("gap"), F.regexp_extract_all(body, F.lit(_MARK), F.lit(0)).alias("mark"))
+    parts = texts.select("key", "row", F.posexplode(zipped).alias("i", "part")).where(F.col("part.mark").isNotNull())
+    so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.sum(F.length("part.gap") + F.length("part.mark")).over(so_far) - F.length("part.mark")
+    word = lambda w: F.concat(F.lit(f"{w} "), F.regexp_extract("part.mark", r"(\S+)$", 1))
+    is_article, is_clause = (F.col("part.mark").rlike(f"(?iu)^{w}") for w in (ARTICLE_WORD, CLAUSE_WORD))
+    kind = F.when(is_article, "article").when(is_clause, "clause").otherwise("document")
+    name = F.when(is_article, word(ARTICLE_WORD)).when(is_clause, word(CLAUSE_WORD)).otherwise(F.upper("part.mark"))
+    return parts.select("key", "row", at.alias("at"), kind.alias("kind"), name.alias("name"))
 
-def citations(text: Column) -> Column:
-    """(document_number, article, clause) of each citation by place in the text, each once, as relations over its marks.
-
-    A clause belongs to the article nearest to it, an article, or a clause where there is none, to the nearest document;
-    of two as near, to the earlier. An article that has clauses is cited with them alone, a document that nothing belongs
-    to by itself. Null texts cite nothing. A text's marks are compared with each other within its row.
-    """
-    body = F.coalesce(text, F.lit(""))
-
-    def placed(parts: Column) -> Column:
-        return F.transform(
-            F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["mark"].alias("mark"))), lambda p: p["mark"].isNotNull()),
-            lambda p: F.struct(
-                (F.aggregate(F.slice(parts, 1, p["i"]), F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["mark"])) + F.length(F.get(parts, p["i"])["gap"])).alias("at"), p["mark"].alias("mark")
-            ),
-        )
-
-    parts = F.zip_with(F.split(body, _MARK, -1), F.regexp_extract_all(body, F.lit(_MARK), F.lit(0)), lambda gap, mark: F.struct(gap.alias("gap"), mark.alias("mark")))
-    return T.bound(T.bound(parts, placed), _attached)
-
-
-def _attached(marks: Column) -> Column:
-    """Citations of marks (at, mark)."""
-    of = lambda regex, value: F.transform(F.filter(marks, lambda m: m["mark"].rlike(regex)), lambda m: F.struct(m["at"].alias("at"), value(m["mark"]).alias("name")))
-    number = lambda word: lambda c: F.concat(F.lit(f"{word} "), F.regexp_extract(c, r"(\S+)$", 1))
-    found = F.struct(
-        of(f"(?iu)^{_DOC}$", F.upper).alias("docs"), of(f"(?iu)^{ARTICLE_WORD}", number(ARTICLE_WORD)).alias("articles"), of(f"(?iu)^{CLAUSE_WORD}", number(CLAUSE_WORD)).alias("clauses")
-    )
-    return T.bound(found, _joined)
-
-
-def _nearest(marks: Column, at: Column) -> Column:
-    """The mark nearest to a place; null where there is none."""
-    return F.array_min(F.transform(marks, lambda m: F.struct(F.abs(m["at"] - at).alias("gap"), m["at"].alias("at"), m["name"].alias("name"))))
 
+def _nearest(of: Column, place: str, *ties: str) -> Column:
+    """Of the values that some rows of a text have, the one nearest by place; of two as near, the earlier. Each row is passed twice."""
+    held = F.when(of.isNotNull(), F.struct(F.col(place).alias("at"), of.alias("name")))
+    run = lambda *order: F.last(held, ignorenulls=True).over(Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = run(place, *ties), run(F.desc(place), *ties)
+    return F.when(after["at"].isNull() | (F.col(place) - before["at"] <= after["at"] - F.col(place)), before).otherwise(after)
 
-def _joined(m: Column) -> Column:
-    none = F.lit("")
-    cited = F.transform(
-        m["clauses"],
-        lambda c: T.bound(_nearest(m["articles"], c["at"]), lambda a: F.struct(F.coalesce(a["at"], c["at"]).alias("head"), c["at"].alias("at"), F.coalesce(a["name"], none).alias("article"), c["name"].alias("clause"))),
-    )
-
-    def with_articles(clauses: Column) -> Column:
-        alone = F.filter(m["articles"], lambda a: ~F.exists(clauses, lambda c: c["head"] == a["at"]))
-        return F.concat(clauses, F.transform(alone, lambda a: F.struct(a["at"].alias("head"), a["at"].alias("at"), a["name"].alias("article"), none.alias("clause"))))
 
-    def with_documents(heads: Column) -> Column:
-        owned = F.transform(
-            heads,
-            lambda h: T.bound(_nearest(m["docs"], h["head"]), lambda d: F.struct(F.least(h["head"], h["at"], F.coalesce(d["at"], h["at"])).alias("place"), h["head"].alias("head"), h["at"].alias("at"), F.coalesce(d["name"], none).alias("document_number"), h["article"].alias("article"), h["clause"].alias("clause"), d["at"].alias("doc_at"))),
-        )
-        return T.bound(owned, in_order)
+def cited(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n (from 1) and document_number, article, clause of each citation by place in a text, each once.
 
-    def in_order(rows: Column) -> Column:
-        alone = F.filter(m["docs"], lambda d: ~F.exists(rows, lambda r: r["doc_at"].eqNullSafe(d["at"])))
-        lone = F.transform(alone, lambda d: F.struct(d["at"].alias("place"), d["at"].alias("head"), d["at"].alias("at"), d["name"].alias("document_number"), none.alias("article"), none.alias("clause"), d["at"].alias("doc_at")))
-        units = F.transform(F.array_sort(F.concat(rows, lone)), lambda r: F.struct(r["document_number"].alias("document_number"), r["article"].alias("article"), r["clause"].alias("clause")))
-        return F.array_distinct(units)
-
-    return T.bound(T.bound(cited, with_articles), with_documents)
+    A clause belongs to the article nearest to it, an article, or a clause where there is none, to the nearest document;
+    of two as near, to the earlier. An article that has clauses is cited with them alone, a document that nothing belongs
+    to by itself. Null texts cite nothing; each repeated row of a key is read by itself. The marks of a text are sorted
+    and passed, never compared with each other.
+    """
+    found = written(marks(docs, key, text), "marks")
+    near = found.withColumn("of", _nearest(F.when(F.col("kind") == "article", F.col("name")), "at")).where(F.col("kind") == "clause")
+    clauses = near.select("key", "row", F.coalesce("of.at", "at").alias("head"), "at", F.coalesce("of.name", F.lit("")).alias("article"), F.col("name").alias("clause"))
+    articles = found.where(F.col("kind") == "article").select("key", "row", F.col("at").alias("head"), "at", F.col("name").alias("article"), F.lit("").alias("clause"))
+    units = clauses.unionByName(articles.join(clauses.select("row", "head").distinct(), ["row", "head"], "left_anti").select(*clauses.columns))
+    none = F.lit(None).cast("string")
+    documents = found.where(F.col("kind") == "document").select("key", "row", F.col("at").alias("head"), "at", none.alias("article"), none.alias("clause"), F.col("name").alias("number"))
+    whole = written(units.withColumn("number", none).unionByName(documents).withColumn("doc", _nearest(F.col("number"), "head", "at")), "owned")
+    owned = whole.where(F.col("number").isNull())
+    place = F.least("head", "at", F.coalesce("doc.at", "at"))
+    listed = owned.select("key", "row", F.struct(place.alias("place"), "head", "at").alias("order"), F.coalesce("doc.name", F.lit("")).alias("document_number"), "article", "clause")
+    used = owned.select("row", F.col("doc.at").alias("at")).distinct()
+    alone = documents.join(used, ["row", "at"], "left_anti").select("key", "row", F.struct(F.col("at").alias("place"), "head", "at").alias("order"), F.col("number").alias("document_number"), F.lit("").alias("article"), F.lit("").alias("clause"))
+    first = listed.unionByName(alone).groupBy("key", "row", "document_number", "article", "clause").agg(F.min("order").alias("order"))
+    return first.select(F.col("key").alias(key), F.row_number().over(Window.partitionBy("row").orderBy("order")).alias("n"), "document_number", "article", "clause")
 
 
 # Types of documents by a part of their number, and by a word of the text, in this order.

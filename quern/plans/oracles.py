@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _TERMS = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
 _CLEAN = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(65279), ''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+NORMALIZED_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(65279), ''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _SPACED = r"list_filter(regexp_split_to_array(coalesce({c}, ''), '\s+'), lambda x: x <> '')"
 _METRIC = r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -161,21 +161,21 @@ SELECT query_id, doc_id, bool_or(lexical) AS lexical FROM h GROUP BY ALL""",
 UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "full_outer_diff": "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both_sides FROM (SELECT DISTINCT doc_id, 1 AS l FROM documents) FULL JOIN (SELECT DISTINCT doc_id, 1 AS r FROM labels) USING (doc_id)",
     "metadata_join": "SELECT lang, quality, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
-    "duplicate_content": f"SELECT sha256({_NORM}) AS content_sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "quality_flags": f"""WITH b AS (SELECT doc_id, source, {_NORM} AS t FROM documents), h AS (SELECT *, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS k FROM b)
+    "duplicate_content": f"SELECT sha256({NORMALIZED_SQL}) AS content_sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "quality_flags": f"""WITH b AS (SELECT doc_id, source, {NORMALIZED_SQL} AS t FROM documents), h AS (SELECT *, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS k FROM b)
 SELECT doc_id, s AS content_sha256, '[' || array_to_string(list_filter([
   CASE WHEN length(t) > 0 AND (length(t) < 20 OR length(t) > 20000000) THEN '"abnormal_length"' END, CASE WHEN k > 1 THEN '"duplicate_content_hash"' END,
   CASE WHEN length(t) = 0 THEN '"empty_content"' END, CASE WHEN regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|Ä[\\x{{80}}-\\x{{BF}}ƒ‘’]|Æ[\\x{{80}}-\\x{{BF}}]|á[º»]|â[\\x{{80}}-\\x{{BF}}€‘-…]') THEN '"encoding_damage"' END,
   CASE WHEN coalesce(trim(source), '') = '' THEN '"missing_source_url"' END], lambda x: x IS NOT NULL), ',') || ']' AS flags FROM h""",
-    "quality_histogram": f"""WITH b AS (SELECT doc_id, source, {_NORM} AS t FROM documents), h AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM b)
+    "quality_histogram": f"""WITH b AS (SELECT doc_id, source, {NORMALIZED_SQL} AS t FROM documents), h AS (SELECT *, count(*) OVER (PARTITION BY t) AS k FROM b)
 SELECT 'abnormal_length' AS flag, count(*) FILTER (length(t) > 0 AND (length(t) < 20 OR length(t) > 20000000)) AS n FROM h
 UNION ALL SELECT 'duplicate_content_hash', count(*) FILTER (k > 1) FROM h UNION ALL SELECT 'empty_content', count(*) FILTER (length(t) = 0) FROM h
 UNION ALL SELECT 'encoding_damage', count(*) FILTER (regexp_matches(t, '\\x{{FFFD}}|Ã[\\x{{80}}-\\x{{BF}}]|Â[\\x{{80}}-\\x{{BF}}]|Ä[\\x{{80}}-\\x{{BF}}ƒ‘’]|Æ[\\x{{80}}-\\x{{BF}}]|á[º»]|â[\\x{{80}}-\\x{{BF}}€‘-…]')) FROM h
 UNION ALL SELECT 'missing_source_url', count(*) FILTER (coalesce(trim(source), '') = '') FROM h
 UNION ALL SELECT unnest(['invalid_issuance_date', 'missing_document_number', 'missing_title']), 0""",
-    "build_report": f"SELECT count(*) AS n_docs, sum(strlen({_NORM}))::BIGINT AS content_bytes, count(*) FILTER (length({_NORM}) = 0) AS n_empty, round(avg(CASE WHEN doc_id % 128 = 0 THEN len({_terms()}) END), 6) AS mean_terms FROM documents",
+    "build_report": f"SELECT count(*) AS n_docs, sum(strlen({NORMALIZED_SQL}))::BIGINT AS content_bytes, count(*) FILTER (length({NORMALIZED_SQL}) = 0) AS n_empty, round(avg(CASE WHEN doc_id % 128 = 0 THEN len({_terms()}) END), 6) AS mean_terms FROM documents",
     "keyset_page": "SELECT doc_id, lang FROM documents WHERE doc_id > 100 AND trim(lang) IN ('de', 'fr') ORDER BY doc_id LIMIT 25",
-    "text_normalize": f"SELECT doc_id, sha256({_NORM}) AS sha, length({_CLEAN.format(c='text')})::INTEGER AS clean_chars FROM documents",
+    "text_normalize": f"SELECT doc_id, sha256({NORMALIZED_SQL}) AS sha, length({_CLEAN.format(c='text')})::INTEGER AS clean_chars FROM documents",
     "token_windows": f"""WITH w AS (SELECT doc_id, {_spaced()} AS t FROM documents),
 s AS (SELECT doc_id, t, i FROM w, unnest(range(0, len(t), 80)) AS r(i) WHERE i = 0 OR i - 80 + 96 < len(t))
 SELECT doc_id, (i / 80)::INTEGER AS window_no, len(t[i + 1:i + 96])::INTEGER AS n_tokens, sha256(array_to_string(t[i + 1:i + 96], ' ')) AS sha FROM s""",

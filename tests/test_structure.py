@@ -1,4 +1,5 @@
 import hashlib
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ def test_identifiers(spark):
 
 def test_citations(spark):
     texts = ["Khoản 2 Điều 5 Luật 72/2020/QH14 và điều 6", "Theo 1/2019/NĐ-CP, Khoản 3", "2/2018/TT-A", None, "Điều 5", "Điều 1a Khoản 1, Khoản 2 Điều 3 và 5/2001/AB, rồi 6/2002/CD, Điều 1a Khoản 1"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [[tuple(c) for c in r.c] for r in df.select(structure.citations(F.col("t")).alias("c")).collect()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    rows = sorted(structure.cited(df, "i", "t").collect(), key=lambda r: (r.i, r.n))
+    got = [[tuple(r)[2:] for r in rows if r.i == i] for i in range(len(texts))]
     assert got[0] == [("72/2020/QH14", "Điều 5", "Khoản 2"), ("72/2020/QH14", "Điều 6", "")]
     assert got[1] == [("1/2019/NĐ-CP", "", "Khoản 3")]
     assert got[2] == [("2/2018/TT-A", "", "")] and got[3] == []
@@ -87,3 +89,12 @@ def test_rerank_candidates_in_phases(spark):
     hits = spark.createDataFrame(rows, "query_id long, chunk_id long, doc_id long, position int, score double")
     got = [r.chunk_id for r in evidence.rerank_candidates(hits, 2, 10).orderBy("place").collect()]
     assert got == [2, 3, 7, 5, 6]
+
+
+def test_a_text_of_a_hundred_thousand_marks(spark):
+    n = 25_000
+    text = " ".join(f"Khoản {k % 9 + 1} Điều {k + 1} Luật {k % 9000 + 1}/2020/QH{k} xem Điều {k + 1}a" for k in range(n))
+    began = time.time()
+    got = structure.cited(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").agg(F.count("*").alias("n"), F.count_if(F.col("clause") != "").alias("clauses"), F.countDistinct("document_number").alias("docs")).first()
+    assert (got.n, got.clauses, got.docs) == (2 * n, n, n)
+    assert time.time() - began < 60
