@@ -13,8 +13,8 @@ within texts and roles get a backslash after their bracket (and one more where t
 read; roles also escape line ends. The loss covers the assistants' texts.
 
 Null roles and texts are empty. Nulls in the conversation's key form one conversation. A parent that isn't there, or
-null, makes a root; nodes must be distinct in a conversation and form no cycles. Columns not named are ignored. An
-empty table gives no conversation.
+null, makes a root. Of rows that repeat a message the least stays, and the smallest message of a circle of replies becomes
+a root. Columns not named are ignored. An empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -63,6 +63,33 @@ def read_back(conversation: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
+def as_trees(nodes: DataFrame) -> DataFrame:
+    """``nodes`` as trees: one row for a message, and no message among those above itself.
+
+    Of rows that repeat a message the least (parent, role, text, score) stays. Of messages that reply to each other in a
+    circle the smallest loses its parent. Rows without a node are left out. Where every parent is smaller than its reply
+    there is no circle; only otherwise are parents followed, doubling the distance each round.
+    """
+    rest = [c for c in nodes.columns if c not in ("conv", "node")]
+    first = ["parent", "role", "text", "score"]
+    least = F.min(F.struct(*(F.col(c) for c in (*first, *(c for c in rest if c not in first)))))
+    one = written(nodes.where(F.col("node").isNotNull()).groupBy("conv", "node").agg(least.alias("_row")).select("conv", "node", *(F.col(f"_row.{c}").alias(c) for c in rest)), "messages")
+    if one.where(F.col("parent") >= F.col("node")).isEmpty():
+        return one
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    further = lambda step: step.select(F.col("conv").alias("c"), F.col("node").alias("of"), F.col("to").alias("next"), F.col("least").alias("low"))
+    ids = one.select(F.col("conv").alias("c"), F.col("node").alias("of"))
+    # Where each message gets to by so many steps, and the least message on the way; those that get past a root are left out.
+    step = written(one.where(F.col("parent").isNotNull()).join(ids, same("conv", "c") & (F.col("parent") == F.col("of"))).select("conv", "node", F.col("parent").alias("to"), F.least("node", "parent").alias("least")), "above")
+    for _ in range(max(one.count(), 2).bit_length()):
+        step = written(step.join(further(step), same("conv", "c") & (F.col("to") == F.col("of"))).select("conv", "node", F.col("next").alias("to"), F.least("least", "low").alias("least")), "above")
+        if step.isEmpty():
+            return one
+    # After more steps than there are messages only circles are reached, and all of each.
+    roots = written(step.where(F.col("node") == F.col("least")).join(step.select(F.col("conv").alias("c"), F.col("to").alias("of")).distinct(), same("conv", "c") & (F.col("node") == F.col("of")), "left_semi").select(F.col("conv").alias("c"), F.col("node").alias("of")), "circles")
+    return one.join(roots, same("conv", "c") & (F.col("node") == F.col("of")), "left").select("conv", "node", F.when(F.col("of").isNull(), F.col("parent")).alias("parent"), *(c for c in rest if c != "parent"))
+
+
 def segments(nodes: DataFrame) -> DataFrame:
     """nodes with head (first node of its run), place (steps from the head) and n_replies, written."""
     replies = nodes.where(F.col("parent").isNotNull()).groupBy("conv", F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("n_replies"))
@@ -98,12 +125,13 @@ def segments(nodes: DataFrame) -> DataFrame:
             return written(state, "segments")
 
 
-def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
+def branches(nodes: DataFrame, top: int | None = None, trees: bool = False) -> DataFrame:
     """conv, leaf, rank and depth, with role and text, of every message of the chosen branches.
 
     ``nodes``: conv, node (long), parent (long), role, text, score (double). ``top``: branches of a conversation; None for all.
+    ``trees``: the caller knows that no message is repeated or above itself, so that this need not be seen to.
     """
-    state = segments(nodes)
+    state = segments(nodes if trees else as_trees(nodes))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     runs = written(
         state.groupBy("conv", "head").agg(
@@ -142,9 +170,9 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     return state.join(spans, same("conv", "cc") & (F.col("head") == F.col("hh"))).select("conv", "leaf", "rank", (F.col("before") + F.col("place")).alias("depth"), "role", "text")
 
 
-def format_branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
+def format_branches(nodes: DataFrame, top: int | None = None, trees: bool = False) -> DataFrame:
     """conv, leaf, rank and conversation (the formatted text) of the chosen branches."""
-    pieces = branches(nodes, top).select("conv", "leaf", "rank", "depth", formatted(F.col("role"), F.col("text")).alias("piece"))
+    pieces = branches(nodes, top, trees).select("conv", "leaf", "rank", "depth", formatted(F.col("role"), F.col("text")).alias("piece"))
     return pieces.groupBy("conv", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "piece"))).alias("pieces")).select(
         "conv", "leaf", "rank", F.array_join(F.col("pieces.piece"), "").alias("conversation")
     )

@@ -84,7 +84,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
-    made = chat.format_branches(chat.linear_trees(turns))
+    made = chat.format_branches(chat.linear_trees(turns), trees=True)
     return made.select(F.col("conv").alias("conv_id"), "conversation").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
@@ -188,8 +188,10 @@ hurt AS (
   FROM kind, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS twice(k)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
 judged AS (
-  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
-    row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut,
     lag(substr(role, 1, 1)) OVER (PARTITION BY g ORDER BY i) AS before
   FROM placed),
 steps AS (SELECT g, i, role, text, initial, NOT (blank OR again) AS stays, CASE WHEN cut THEN 1 ELSE 0 END AS extra FROM judged),

@@ -84,3 +84,21 @@ def test_long_and_tied_conversations(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_branches(chat.linear_trees(none)).collect() == []
+
+
+def test_circles_and_repeated_messages(spark):
+    kinds = "conv long, node long, parent long, role string, text string, score double"
+    rows = [
+        (1, 5, 5, "user", "self", 1.0),
+        (2, 1, 3, "user", "a", 1.0), (2, 2, 1, "assistant", "b", 1.0), (2, 3, 2, "user", "c", 1.0),
+        (3, 4, 6, "user", "a", 1.0), (3, 6, 4, "assistant", "b", 1.0), (3, 7, 6, "user", "leaf", 2.0), (3, 9, 7, "assistant", "below", 1.0), (3, 8, 4, "assistant", "other", 1.0),
+        (4, 1, None, "user", "x", 0.0), (4, 1, None, "user", "x", 0.0), (4, 2, 1, "assistant", "y", 0.0), (4, 2, 1, "assistant", "z", 0.0), (4, None, 1, "user", "no node", 0.0),
+        (None, 8, 2, "user", "orphan", 0.0), (None, 3, 8, "assistant", "reply", 0.0),
+    ]
+    got = {}
+    for r in chat.branches(spark.createDataFrame(rows, kinds).repartition(3)).orderBy("depth").collect():
+        got.setdefault((r.conv, r.leaf), []).append(r.text)
+    # The smallest message of a circle becomes its root.
+    assert got == {
+        (1, 5): ["self"], (2, 3): ["a", "b", "c"], (3, 9): ["a", "b", "leaf", "below"], (3, 8): ["a", "other"], (4, 2): ["x", "y"], (None, 3): ["orphan", "reply"],
+    }
