@@ -154,6 +154,69 @@ def set_scores(found: Column, wanted: Column) -> dict[str, Column]:
     return {"precision": share(common, n), "recall": share(common, m), "invalid_rate": share(n - common, n)}
 
 
+def legal_citations(c: Column) -> Column:
+    """Distinct articles, clauses and chapters that a text cites, with their law where it follows, in lower case."""
+    # The words of citations.
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:Điều|Khoản|Chương)\s+[0-9]+[A-Za-z]?(?:\s+Luật\s+[0-9]{1,4}/[0-9]{4}/[A-ZĐ0-9-]+)?"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: T.clean(F.lower(x))))
+
+
+#: Statuses of cases whose answers are not judged.
+SKIPPED = ("input_guardrail_error", "output_guardrail_error", "retrieval_error", "reranker_error")
+
+
+def case_bundle(cases: DataFrame) -> DataFrame:
+    """Every measure of an answer in one row: ``cases`` (key columns, answer, reference, category, status, answerable) with its measures.
+
+    Citations are null where the reference cites nothing. Null statuses are ok.
+    """
+    status = F.coalesce("status", F.lit("ok"))
+    cites = set_scores(F.col("_a"), F.col("_r"))
+    same = (T.metric_text(F.col("answer")) == T.metric_text(F.col("reference"))).cast("double")
+    held = cases.withColumn("_a", legal_citations(F.col("answer"))).withColumn("_r", legal_citations(F.col("reference")))
+    return held.select(
+        *(c for c in cases.columns if c not in ("answer", "reference")),
+        (~status.isin(*SKIPPED)).alias("applicable"),
+        F.when(status.isin(*SKIPPED), status).alias("skip_reason"),
+        F.col("category").isin("pure_refusal", "no_evidence").alias("is_refusal"),
+        same.alias("exact_match"),
+        *(v.alias(f"token_{k}") for k, v in overlap(F.col("answer"), F.col("reference")).items()),
+        token_f1(F.col("answer"), F.col("reference")).alias("token_f1"),
+        gram_f1(F.col("answer"), F.col("reference")).alias("char_f1"),
+        rouge_l(F.col("answer"), F.col("reference")).alias("rouge_l"),
+        chrf(F.col("answer"), F.col("reference")).alias("chrf"),
+        *(v.alias(f"citation_{k}") for k, v in cites.items()),
+    )
+
+
+MEANS = ("exact_match", "token_precision", "token_recall", "token_f1", "char_f1", "rouge_l", "chrf", "citation_precision", "citation_recall", "citation_invalid_rate")
+
+
+def breakdown(bundles: DataFrame) -> DataFrame:
+    """kind (skip_reason or category), name and n: why cases are not judged, and what the judged answers are."""
+    rows = F.array(F.struct(F.lit("skip_reason").alias("kind"), F.col("skip_reason").alias("name")), F.struct(F.lit("category").alias("kind"), F.when(F.col("applicable"), F.col("category")).alias("name")))
+    return bundles.select(F.inline(rows)).where(F.col("name").isNotNull()).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def answer_report(bundles: DataFrame) -> DataFrame:
+    """One row over cases of ``case_bundle``: counts, reasons, refusals, pass rate and means over judged cases.
+
+    Cases that aren't said to be answerable or not count as either. Rates without a case are null.
+    """
+    scored = F.col("applicable")
+    can, cannot = scored & F.coalesce("answerable", F.lit(True)), scored & ~F.coalesce("answerable", F.lit(False))
+    right = F.count_if(cannot & F.col("category").isin("pure_refusal", "no_evidence"))
+    rate = lambda a, b: F.round(F.when(b > 0, a / b), 4)
+    return bundles.agg(
+        F.count(F.lit(1)).alias("total_cases"), F.count_if(scored).alias("scored_cases"), F.count_if(~scored).alias("skipped_cases"),
+        F.count_if(can).alias("answerable_count"), F.count_if(cannot).alias("unanswerable_count"),
+        rate(F.count_if(scored & (F.col("category") == "mixed_claim_refusal")), F.count_if(scored)).alias("mixed_claim_refusal_rate"),
+        rate(right, F.count_if(scored & F.col("is_refusal"))).alias("refusal_precision"), rate(right, F.count_if(cannot)).alias("refusal_recall"), rate(right, F.count_if(cannot)).alias("unanswerable_accuracy"),
+        rate(F.count_if(can & (F.col("token_f1") >= 0.5)), F.count_if(can)).alias("answer_similarity_pass_rate"),
+        *(F.round(F.avg(F.when(scored, F.col(c))), 4).alias(c) for c in MEANS),
+    )
+
+
 def context_hits(contexts: DataFrame, references: DataFrame, share: float = 0.6) -> DataFrame:
     """case_id, hit, recall and rr: a reference is found in the first context that holds it, or ``share`` of its terms.
 

@@ -67,3 +67,10 @@ def latest(events: DataFrame) -> DataFrame:
 def pending(records: DataFrame, committed: DataFrame, key: str) -> DataFrame:
     """Records not yet committed."""
     return records.join(committed.select(key).distinct(), key, "left_anti")
+
+
+def histograms(records: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """histogram, name, n and share of all records, of several columns in one pass; ``columns`` has the name of nulls for each."""
+    rows = F.array(*(F.struct(F.lit(c).alias("histogram"), F.coalesce(F.col(c).cast("string"), F.lit(none)).alias("name")) for c, none in columns.items()))
+    counts = records.select(F.inline(rows)).groupBy("histogram", "name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("histogram")), 6))

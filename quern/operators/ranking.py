@@ -9,18 +9,23 @@ from quern.functions import text as T
 from quern.sources.scratch import written
 
 RRF_K = 60
-#: Queries in one broadcast; more are joined by a shuffle.
-BROADCAST_QUERIES = 100_000
+#: Bytes of rows, written out as JSON, in one broadcast; more are joined in parts or by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def blocks(table: DataFrame, most: int = BROADCAST_QUERIES) -> list[DataFrame]:
-    """``table`` as broadcasts of ``most`` rows or so, for joins that no key narrows: never a product of two large tables."""
-    rows = table.count()
-    if rows <= most:
-        return [F.broadcast(table)]
-    parts = -(-rows // most)
-    held = written(table.withColumn("_block", F.pmod(F.xxhash64(*table.columns), F.lit(parts))), "blocks")
-    return [F.broadcast(held.where(F.col("_block") == k).drop("_block")) for k in range(parts)]
+def size_in_bytes(table: DataFrame) -> int:
+    """Bytes of a table's rows written out as JSON, which is more than they take in memory but for small numbers."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))).cast("long"))).first()[0] or 0
+
+
+def blocks(table: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """``table``, written, as broadcasts of ``most`` bytes or so, for joins that no key narrows: never a product of two large tables."""
+    held = written(table, "blocks")
+    parts = -(-max(size_in_bytes(held), 1) // (most or BROADCAST_BYTES))
+    if parts == 1:
+        return [F.broadcast(held)]
+    split = written(held.withColumn("_block", F.pmod(F.xxhash64(*table.columns), F.lit(parts))), "blocks")
+    return [F.broadcast(split.where(F.col("_block") == k).drop("_block")) for k in range(parts)]
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
@@ -30,9 +35,10 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def bounded(table: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """``table``, to be broadcast where it has ``most`` rows at most."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def bounded(table: DataFrame, most: int | None = None) -> DataFrame:
+    """``table``, written, to be broadcast where it has ``most`` bytes at most."""
+    held = written(table, "bounded")
+    return F.broadcast(held) if size_in_bytes(held) <= (most or BROADCAST_BYTES) else held
 
 
 def ranked(scored: DataFrame, top: int, *order: Column, by: str = "query_id") -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ranking import containment, ranked, together
+from quern.functions import text as T
+from quern.operators import vectors
+from quern.operators.ranking import blocks, containment, ranked, together
+from quern.operators.structure import name_uuid
 from quern.sources.scratch import written
 
 
@@ -39,3 +42,21 @@ def valid_hits(hits: DataFrame, store: DataFrame, revision: str) -> DataFrame:
 def usable(score: Column, least: float) -> Column:
     """Whether a score is a finite number of at least ``least``; null is not."""
     return F.coalesce(~F.isnan(score) & (F.abs(score) != float("inf")) & (score >= least), F.lit(False))
+
+
+def cache_lookup(queries: DataFrame, entries: DataFrame, revision: str, least: float = 0.96) -> DataFrame:
+    """query_id, entry_id, score and response of the nearest entry of a revision, where its cosine is ``least`` or more.
+
+    ``queries``: query_id, embedding. ``entries``: entry_id, embedding, revision, response. Other revisions are never looked
+    at; ties go to the smaller id. Vectors of null or of zeros match nothing.
+    """
+    held = entries.where(F.col("revision") == revision).select("entry_id", "response", vectors.doubles(F.col("embedding")).alias("v"))
+    asked = blocks(queries.select("query_id", vectors.doubles(F.col("embedding")).alias("q")))
+    score = F.round(vectors.cosine(F.col("q"), F.col("v")), 6)
+    near = together([held.join(part, score >= least).select("query_id", "entry_id", "response", score.alias("score")) for part in asked])
+    return ranked(near, 1, F.desc("score"), F.asc("entry_id")).select("query_id", "entry_id", "score", "response")
+
+
+def cache_key(query: Column, revision: str) -> Column:
+    """The id of a question's entry under a revision: questions that differ in case or white space share it."""
+    return name_uuid(F.concat(F.lit(f"{revision}\n"), F.lower(T.clean(query))))

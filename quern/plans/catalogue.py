@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, corpus, gates, logs, measures, ranking, sampling, search, title_index, vectors
-from quern.plans import evaluation, oracles, stores, structural, upkeep  # noqa: F401  the last three add their queries to those of evaluation
+from quern.plans import answering, evaluation, oracles, stores, structural, upkeep  # noqa: F401  all but oracles add their queries to those of evaluation
 from quern.sources.scratch import shared_dir, written
 from quern.sources.tables import table
 
@@ -68,7 +68,7 @@ def lexical_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 def token_budget_select(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") / 5).cast("long").alias("tokens"))
-    hits = written(_lexical(spark, d), "lexical").where(F.col("rank") <= 16).join(docs, "doc_id")
+    hits = written(_lexical(spark, d), "lexical").join(docs, "doc_id")
     items = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "score", F.col("source").alias("group"), "tokens", F.col("doc_id").alias("id")))),
         lambda x: F.struct(x["score"].alias("score"), x["group"].alias("group"), x["tokens"].alias("tokens"), x["id"].alias("id")),
@@ -120,7 +120,7 @@ def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def maxsim_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    parts = rows.where(F.col("vec_id") % 100 == 0).select((F.col("vec_id") / 100 % 3).cast("long").alias("query_id"), F.col("vec_id").alias("part"), F.col("embedding").alias("q"))
+    parts = rows.where(F.col("vec_id") % 100 == 0).select(F.floor(F.col("vec_id") / 300).alias("query_id"), F.col("vec_id").alias("part"), F.col("embedding").alias("q"))
     return vectors.max_sim(parts, rows)
 
 
@@ -158,7 +158,7 @@ def payload_validity(spark: SparkSession, d: str) -> DataFrame:
     stale = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("content_sha256"))
     revision = F.when(F.col("doc_id") % 7 == 0, "r0").otherwise("r1")
     told = exact.join(docs, "doc_id").select("query_id", "doc_id", "rank", F.lit(False).alias("lexical"), revision.alias("revision"), F.col("doc_id").alias("store_key"), stale.alias("content_sha256"))
-    named = lexical.where("rank <= 5").select("query_id", "doc_id", "rank", F.lit(True).alias("lexical"))
+    named = lexical.select("query_id", "doc_id", "rank", F.lit(True).alias("lexical"))
     return search.valid_hits(told.unionByName(named, allowMissingColumns=True), docs, "r1")
 
 
@@ -316,12 +316,8 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("conv_id", "turn", answers.rouge_l(F.col("answer"), F.col("reference")).alias("score"))
 
 
-REFUSALS, ERRORS, DISCLAIMERS = ("ne sais", "nicht", "not the"), ("error", "timeout"), ("ein ", "le ")
-
-
 def _refusals(spark: SparkSession, d: str) -> DataFrame:
-    kind = answers.refusal(F.col("answer"), F.length(F.trim("reference")) > 60, REFUSALS, ERRORS, DISCLAIMERS, r"article [0-9]+")
-    return _pairs(spark, d).select("conv_id", "turn", "answer", "reference", kind.alias("category"))
+    return answering.refusals(_pairs(spark, d))
 
 
 def refusal_classify(spark: SparkSession, d: str) -> DataFrame:

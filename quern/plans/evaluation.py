@@ -295,9 +295,9 @@ def scope_blocklist(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT run_id, list(bad ORDER BY i) AS waves FROM w GROUP BY run_id),
 f AS (SELECT run_id, list_reduce(list_transform(waves, lambda b: {'batch': 64, 'workers': 2, 'healthy': 0, 'changes': 0, 'bad': b}), lambda s, w: CASE
   WHEN w.bad THEN {'batch': greatest(64, s.batch // 2), 'workers': greatest(1, s.workers // 2), 'healthy': 0, 'changes': s.changes + (greatest(64, s.batch // 2) <> s.batch OR greatest(1, s.workers // 2) <> s.workers)::INT, 'bad': false}
-  WHEN s.healthy >= 2 THEN {'batch': least(256, s.batch * 2), 'workers': least(4, s.workers + 1), 'healthy': 0, 'changes': s.changes + (least(256, s.batch * 2) <> s.batch OR least(4, s.workers + 1) <> s.workers)::INT, 'bad': false}
+  WHEN s.healthy >= 2 THEN {'batch': least(256, s.batch * 2), 'workers': least(2, s.workers + 1), 'healthy': 0, 'changes': s.changes + (least(256, s.batch * 2) <> s.batch OR least(2, s.workers + 1) <> s.workers)::INT, 'bad': false}
   ELSE {'batch': s.batch, 'workers': s.workers, 'healthy': s.healthy + 1, 'changes': s.changes, 'bad': false} END, {'batch': 64, 'workers': 2, 'healthy': 0, 'changes': 0, 'bad': false}) AS x FROM l)
-SELECT run_id, x.batch AS batch, x.workers AS workers, x.changes AS changes FROM f""".replace("least(4, s.workers + 1)", "least(2, s.workers + 1)"))
+SELECT run_id, x.batch AS batch, x.workers AS workers, x.changes AS changes FROM f""")
 def upload_controller(spark: SparkSession, d: str) -> DataFrame:
     wave = F.struct("ts", "event_id").alias("wave")
     waves = table(spark, d, "events").select(F.col("user_id").alias("run_id"), wave, (F.col("event_type") != "error").alias("success"), F.lit(0).alias("transient_errors"), F.lit(False).alias("rate_limited"))
@@ -415,9 +415,11 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", records.canonical("n_chars", "lang").alias("canonical"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_concat(string_split(lang, 'n'), string_split(source, 'n')))) AS flags FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, list_sort(list_distinct(list_concat(coalesce(string_split(lang, 'n'), []), coalesce(string_split(source, 'n'), [])))) AS flags FROM documents")
 def flag_union(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang is not null and source is not null").select("doc_id", records.flag_union(F.split("lang", "n"), F.split("source", "n")).alias("flags"))
+    none = F.array().cast("array<string>")
+    parts = (F.coalesce(F.split(c, "n"), none) for c in ("lang", "source"))
+    return table(spark, d, "documents").select("doc_id", records.flag_union(*parts).alias("flags"))
 
 
 _PROMOTED = """WITH l AS (SELECT user_id AS case_id, CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS b, event_id % 3 > 0 AS required,

@@ -6,7 +6,7 @@ _TERMS = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
 _CLEAN = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
 NORMALIZED_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(65279), ''), chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _SPACED = r"list_filter(regexp_split_to_array(coalesce({c}, ''), '\s+'), lambda x: x <> '')"
-_METRIC = r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+METRIC_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _terms(c: str = "text") -> str:
@@ -51,12 +51,12 @@ def _recalls(found: str, name: str = "recalls", ks: str = "1, 3, 5, 10, 24, 50")
 
 
 _BOTH = LEXICAL_SQL + "," + _GOLD
-_PAIRS = """
+PAIRS_SQL = """
 pairs AS (
   SELECT a.conv_id, a.turn, a.text AS answer, u.text AS reference FROM conversations AS a
   JOIN conversations AS u ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"""
 _MULTI = "list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x)))))"
-_REFUSED = r"""
+REFUSED_SQL = r"""
 refused AS (
   SELECT *, CASE
     WHEN contains(low, 'error') OR contains(low, 'timeout') THEN 'technical_error'
@@ -69,7 +69,7 @@ _F1 = f"""
 f1s AS (
   SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN coalesce(k, 0) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * k / (len(a) + len(b)), 4) END AS f1
   FROM (SELECT *, {_MULTI.format(a='a', b='b')} AS k
-    FROM (SELECT *, list_filter(string_split({_METRIC.format(c='answer')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({_METRIC.format(c='reference')}, ' '), lambda x: x <> '') AS b FROM SOURCE)))"""
+    FROM (SELECT *, list_filter(string_split({METRIC_SQL.format(c='answer')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({METRIC_SQL.format(c='reference')}, ' '), lambda x: x <> '') AS b FROM SOURCE)))"""
 VECTORS = """
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, q.label AS q_label, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
@@ -83,8 +83,8 @@ def _chrf() -> str:
         a, b = (gram.format(s=s, n=n) for s in "pr")
         parts.append(f"SELECT conv_id, turn, p, r, {n} AS n, {a} AS a, {b} AS b FROM texts WHERE length(p) >= {n} AND length(r) >= {n}")
     return f"""
-WITH {_PAIRS},
-texts AS (SELECT conv_id, turn, replace({_METRIC.format(c='answer')}, ' ', '') AS p, replace({_METRIC.format(c='reference')}, ' ', '') AS r FROM pairs),
+WITH {PAIRS_SQL},
+texts AS (SELECT conv_id, turn, replace({METRIC_SQL.format(c='answer')}, ' ', '') AS p, replace({METRIC_SQL.format(c='reference')}, ' ', '') AS r FROM pairs),
 grams AS ({' UNION ALL '.join(parts)}),
 ca AS (SELECT conv_id, turn, n, g, count(*) AS k FROM (SELECT conv_id, turn, n, unnest(a) AS g FROM grams) GROUP BY ALL),
 cb AS (SELECT conv_id, turn, n, g, count(*) AS k FROM (SELECT conv_id, turn, n, unnest(b) AS g FROM grams) GROUP BY ALL),
@@ -117,14 +117,13 @@ s AS (SELECT query_id, doc_id, round(coalesce(score, 0) + CASE WHEN g.doc_id IS
   FROM scored FULL JOIN phrase AS g USING (query_id, doc_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
     "token_budget_select": f"""WITH {LEXICAL_SQL},
-h AS (SELECT query_id, rank, score, source, trunc(n_chars / 5)::BIGINT AS tokens, doc_id FROM lexical JOIN documents USING (doc_id) WHERE rank <= 16),
-RECURSIVE_DUMMY AS (SELECT 1)
+h AS (SELECT query_id, rank, score, source, trunc(n_chars / 5)::BIGINT AS tokens, doc_id FROM lexical JOIN documents USING (doc_id))
 SELECT query_id, x.used AS used, array_to_string(list_transform(x.held, lambda h: h.id::VARCHAR), ',') AS chosen FROM (
   SELECT query_id, list_reduce(
     list_transform(list_sort(list({{'rank': rank, 'score': score, 'grp': source, 'tokens': tokens, 'id': doc_id}})), lambda i: {{'used': 0::BIGINT, 'held': [{{'grp': i.grp, 'id': i.id, 'score': i.score, 'tokens': i.tokens}}]}}),
     lambda s, i: CASE WHEN i.held[1].score >= 2.0 AND len(list_filter(s.held, lambda h: h.grp = i.held[1].grp)) < 1 AND s.used + i.held[1].tokens <= 720 AND len(s.held) < 3
       THEN {{'used': s.used + i.held[1].tokens, 'held': list_concat(s.held, i.held)}} ELSE s END,
-    {{'used': 0::BIGINT, 'held': [{{'grp': 'x', 'id': 0::BIGINT, 'score': 0.0::DOUBLE, 'tokens': 0::BIGINT}}][1:0]}}) AS x FROM h GROUP BY query_id)""".replace(",\nRECURSIVE_DUMMY AS (SELECT 1)", ""),
+    {{'used': 0::BIGINT, 'held': [{{'grp': 'x', 'id': 0::BIGINT, 'score': 0.0::DOUBLE, 'tokens': 0::BIGINT}}][1:0]}}) AS x FROM h GROUP BY query_id)""",
     "bm25_title_topk": """WITH w AS (SELECT p_partkey AS doc_id, regexp_extract_all(lower(coalesce(p_name, '')), '[\\p{L}\\p{N}]+') AS t FROM part),
 st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM w),
 tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM w) GROUP BY ALL),
@@ -143,7 +142,7 @@ SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 5""",
     "semantic_cache_lookup": f"WITH {VECTORS} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score >= 0.3) WHERE rank = 1",
     "maxsim_rerank": """SELECT query_id, label, round(sum(best), 6) AS score FROM (
-  SELECT q.vec_id // 100 % 3 AS query_id, q.vec_id AS part, v.label, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
+  SELECT q.vec_id // 300 AS query_id, q.vec_id AS part, v.label, max(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS best
   FROM embeddings AS q CROSS JOIN embeddings AS v WHERE q.vec_id % 100 = 0 GROUP BY ALL) GROUP BY ALL""",
     "class_recall": f"""WITH {VECTORS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10)
 SELECT query_id, round(avg((label = q_label)::INT), 6) AS precision_at_10, min(rank) FILTER (label = q_label) AS first_rank FROM t GROUP BY query_id""",
@@ -154,7 +153,7 @@ JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS n ON n.l_orderk
     "tiered_search": f"""WITH {_GOLD}, t AS (SELECT query_id, doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS tier FROM gold JOIN documents USING (doc_id)),
 m AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS first FROM t)
 SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM m WHERE tier = first) WHERE rank <= 5""",
-    "payload_validity": f"""WITH {_BOTH}, h AS (SELECT query_id, doc_id, true AS lexical FROM lexical WHERE rank <= 5
+    "payload_validity": f"""WITH {_BOTH}, h AS (SELECT query_id, doc_id, true AS lexical FROM lexical
 UNION ALL SELECT query_id, doc_id, false FROM exact WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0)
 SELECT query_id, doc_id, bool_or(lexical) AS lexical FROM h GROUP BY ALL""",
     "join_integrity": """SELECT DISTINCT doc_id AS key, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
@@ -206,20 +205,20 @@ SELECT k, max(recall) AS best, CASE WHEN count(*) FILTER (recall = (SELECT max(r
 SELECT 'error_rate' AS metric, round(e, 6) AS value, CASE WHEN e <= 0.5 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v
 UNION ALL SELECT 'mean_value', round(m, 6), CASE WHEN m IS NULL THEN 'UNSUPPORTED' WHEN m >= 1e9 THEN 'PASS' ELSE 'FAIL' END FROM v
 UNION ALL SELECT 'absent', round(a, 6), CASE WHEN a = 0 THEN 'PASS' ELSE 'FAIL' END FROM v""",
-    "token_f1": f"WITH {_PAIRS},{_F1.replace('SOURCE', 'pairs')} SELECT conv_id, turn, f1 FROM f1s",
-    "char3_f1": f"""WITH {_PAIRS},
-texts AS (SELECT conv_id, turn, {_METRIC.format(c='answer')} AS p, {_METRIC.format(c='reference')} AS r FROM pairs),
+    "token_f1": f"WITH {PAIRS_SQL},{_F1.replace('SOURCE', 'pairs')} SELECT conv_id, turn, f1 FROM f1s",
+    "char3_f1": f"""WITH {PAIRS_SQL},
+texts AS (SELECT conv_id, turn, {METRIC_SQL.format(c='answer')} AS p, {METRIC_SQL.format(c='reference')} AS r FROM pairs),
 ga AS (SELECT conv_id, turn, substr(p, i, 3) AS g, count(*) AS k FROM texts, unnest(range(1, length(p) - 1)) AS s(i) GROUP BY ALL),
 gb AS (SELECT conv_id, turn, substr(r, i, 3) AS g, count(*) AS k FROM texts, unnest(range(1, length(r) - 1)) AS s(i) GROUP BY ALL),
 c AS (SELECT conv_id, turn, sum(least(ga.k, gb.k)) AS c FROM ga JOIN gb USING (conv_id, turn, g) GROUP BY ALL)
 SELECT conv_id, turn, CASE WHEN p = '' OR r = '' THEN (p = r)::INT::DOUBLE WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * c / (length(p) - 2 + length(r) - 2), 4) END AS f1
 FROM texts LEFT JOIN c USING (conv_id, turn)""",
     "chrf": _chrf(),
-    "refusal_classify": f"WITH {_PAIRS},{_REFUSED} SELECT conv_id, turn, category FROM refused",
+    "refusal_classify": f"WITH {PAIRS_SQL},{REFUSED_SQL} SELECT conv_id, turn, category FROM refused",
     "entity_extract": r"""SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)?'), '|') AS numbers,
   array_to_string(regexp_extract_all(coalesce(text, ''), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}'), '|') AS dates,
   array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*'), lambda x: length(x) > 3), '|') AS names FROM documents""",
-    "answer_aggregate": f"WITH {_PAIRS},{_REFUSED},{_F1.replace('SOURCE', 'refused')} SELECT category, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg((f1 >= 0.1)::INT), 6) AS pass_rate FROM f1s GROUP BY category",
+    "answer_aggregate": f"WITH {PAIRS_SQL},{REFUSED_SQL},{_F1.replace('SOURCE', 'refused')} SELECT category, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg((f1 >= 0.1)::INT), 6) AS pass_rate FROM f1s GROUP BY category",
     "bounded_context": f"""WITH t AS (SELECT conv_id, sum(len({_spaced()})) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations)
 SELECT conv_id, least(60, max(s))::INTEGER AS tokens, (count(*) FILTER (s <= 60))::INTEGER AS whole_turns FROM t GROUP BY conv_id""",
     "session_export": "SELECT conv_id, sha256(string_agg('**' || coalesce(role, '') || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS sha FROM conversations GROUP BY conv_id",

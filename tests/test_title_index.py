@@ -47,5 +47,5 @@ def test_empty_tables_and_scattered_ids(spark, tmp_path, monkeypatch):
     assert title_index.build(titles(spark, (1, "red")).where("false"), str(tmp_path), "r1") == 0
     assert found(title_index.search(spark, str(tmp_path), asked, 5)) == []
     monkeypatch.setattr(title_index, "MOST_RUNS", 2)
-    with pytest.raises(ValueError):
-        title_index.build(titles(spark, (1, "a"), (11, "b"), (21, "c")), str(tmp_path), "r2", width=10)
+    assert title_index.build(titles(spark, (1, "red a"), (11, "b"), (21, "red c"), (-900, "d")), str(tmp_path), "r2", width=10) == 2
+    assert [r[1] for r in found(title_index.search(spark, str(tmp_path), asked, 5))] == [1, 21]
