@@ -177,7 +177,7 @@ def test_containment_by_windows(spark):
 
 def test_queries_beyond_one_block(spark):
     table = spark.range(10)
-    parts = ranking.blocks(table, 3)
+    parts = ranking.blocks(table, 24)  # bytes: a row is eight as JSON
     assert len(parts) == 4 and sorted(r.id for r in ranking.together(parts).collect()) == list(range(10))
 
 
