@@ -6,7 +6,7 @@ from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
@@ -260,3 +260,29 @@ def salvaged_json(c: Column, schema: str) -> Column:
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(fenced != "", fenced).otherwise(c)
     return F.from_json(F.regexp_extract(body, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
+
+
+#: Fixed value: the label before a context, without its number.
+CONTEXT_LABEL = "[Tài liệu tham khảo #"
+
+
+def bounded_text(contexts: DataFrame, most: int, label: str = CONTEXT_LABEL) -> DataFrame:
+    """key, context and tokens: labelled contexts by rank under one budget of tokens, labels included, the last one cut.
+
+    ``contexts``: key, rank, text. A context without tokens, or one that had to be cut, ends the text. A context takes its
+    label and a token at least, so no more than ``most`` over that many, each of ``most`` tokens at most, are ever held. Keys
+    for which nothing fits have no row.
+    """
+    of = Window.partitionBy("key").orderBy("rank")
+    head = len(label.split())
+    numbered = contexts.withColumn("n", F.row_number().over(of)).where(F.col("n") <= most // (head + 1) + 1)
+    cut = numbered.select("key", "n", F.slice(T.spaced(F.col("text")), 1, most + 1).alias("tokens"))
+    before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.size("tokens")
+    room = most - F.coalesce(F.sum(head + size).over(before), F.lit(0)) - head
+    open_ = ~F.coalesce(F.bool_or(size == 0).over(before), F.lit(False))
+    kept = cut.withColumn("room", room).withColumn("open", open_).where((F.col("room") > 0) & F.col("open") & (size > 0)).withColumn("tokens", F.slice("tokens", 1, F.col("room").cast("int")))
+    block = F.concat(F.lit(label), F.col("n").cast("string"), F.lit("]\n"), F.concat_ws(" ", "tokens"))
+    return kept.groupBy("key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("context"), F.sum(F.size("tokens") + head).alias("tokens")
+    )

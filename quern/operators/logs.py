@@ -74,3 +74,17 @@ def histograms(records: DataFrame, columns: dict[str, str]) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(c).alias("histogram"), F.coalesce(F.col(c).cast("string"), F.lit(none)).alias("name")) for c, none in columns.items()))
     counts = records.select(F.inline(rows)).groupBy("histogram", "name").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("histogram")), 6))
+
+
+def search_any(rows: DataFrame, columns: tuple[str, ...], pattern: str, newest: tuple[str, ...], skip: int, limit: int) -> DataFrame:
+    """A page of the rows of which some column matches a pattern in any case, newest first by ``newest``; null matches nothing."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.col(c).cast("string").rlike(f"(?iu){pattern}"), F.lit(False))
+    return rows.where(found).orderBy(*(F.desc(c) for c in newest)).offset(skip).limit(limit)
+
+
+def search_titles(rows: DataFrame, title: str, text: str, owner: tuple[str, object], newest: tuple[str, ...], limit: int = 100) -> DataFrame:
+    """An owner's newest rows whose title holds the first 100 characters of ``text`` as they are, in any case."""
+    held = F.contains(F.lower(title), F.lower(F.lit(text[:100])))
+    return rows.where((F.col(owner[0]) == F.lit(owner[1])) & held).orderBy(*(F.desc(c) for c in newest)).limit(limit)

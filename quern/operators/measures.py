@@ -78,3 +78,15 @@ def distribution(sizes: DataFrame, column: str) -> DataFrame:
     return sizes.agg(
         F.count(c).alias("n"), F.min(c).alias("least"), F.round(F.avg(c), 6).alias("mean"), F.round(F.percentile(c, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(c, F.lit(0.95)), 6).alias("p95"), F.max(c).alias("most")
     )
+
+
+def probe(ranks: DataFrame, depths: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """metric, numerator, denominator and value of recall at each depth and of the mean reciprocal rank.
+
+    ``ranks``: a row for each question with rank, null where nothing was found. No questions give no rows.
+    """
+    rank, n = F.col("rank"), F.count(F.lit(1))
+    metrics = [(f"recall_at_{k}", F.count_if(rank <= k).cast("double")) for k in depths] + [("mrr", F.sum(F.coalesce(1.0 / rank, F.lit(0.0))))]
+    sums = ranks.agg(n.alias("n"), *(v.alias(m) for m, v in metrics)).where("n > 0")
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, 6).alias("numerator"), F.col("n").alias("denominator"), F.round(F.col(m) / F.col("n"), 6).alias("value")) for m, _ in metrics))
+    return sums.select(F.inline(rows))

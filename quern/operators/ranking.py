@@ -218,6 +218,16 @@ def intent_score(query: Column, text: Column, intents: dict[str, tuple[tuple[str
     return sum((F.when(has(q, asked) & has(t, told), bonus).otherwise(0.0) for asked, told in intents.values()), F.lit(0.0))
 
 
+def passage_score(query: Column, text: Column, intents: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> Column:
+    """1 + ln of how often a passage holds each distinct term of the query as a substring, 8 for the whole query, 4 for each intent of both; six digits."""
+    phrase, body = F.lower(T.clean(query)), F.lower(T.clean(text))
+    wanted = F.array_distinct(F.transform(T.query_terms(query), lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
+    times = lambda t, x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))) / F.length(x)
+    counted = T.bound(body, lambda t: F.aggregate(F.transform(wanted, lambda x: times(t, x)), F.lit(0.0), lambda s, n: s + F.when(n > 0, 1 + F.log(n)).otherwise(0.0)))
+    whole = F.when((phrase != "") & F.contains(body, phrase), 8.0).otherwise(0.0)
+    return F.round(counted + whole + intent_score(query, text, intents or INTENTS), 6)
+
+
 #: Keywords of the query and of the text by intent.
 INTENTS = {
     "definition": (("định nghĩa", "là gì", "hiểu như thế nào", "khái niệm"), ("là", "được hiểu là", "gồm", "nghĩa là")),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import answers, logs, search
+from quern.operators import answers, logs, measures, ranking, search, vectors
 from quern.plans.evaluation import ORACLE_SQL, query
 from quern.plans.oracles import ORACLE_SQL as EARLIER
-from quern.plans.oracles import METRIC_SQL, PAIRS_SQL, REFUSED_SQL
+from quern.plans.oracles import LEXICAL_SQL, METRIC_SQL, PAIRS_SQL, REFUSED_SQL, VECTORS
 from quern.sources.tables import table
 
 REFUSALS, ERRORS, DISCLAIMERS = ("ne sais", "nicht", "not the"), ("error", "timeout"), ("ein ", "le ")
@@ -114,3 +114,62 @@ def online_snapshot(spark: SparkSession, d: str) -> DataFrame:
         F.when(e % 7 == 0, "failed").when(e % 7 < 3, "done").alias("judge_status"), F.when(e % 9 == 0, "up").when(e % 9 == 1, "down").alias("feedback"),
     )
     return logs.histograms(rows, {"status": "unknown", "provider": "unobserved", "model": "unobserved", "judge_mode": "off", "judge_status": "disabled", "feedback": "none"})
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, 60 AS remaining, '' AS context, false AS done FROM conversations
+  UNION ALL SELECT f.conv_id, t.n, CASE WHEN remaining - 5 > 0 AND len(w) > 0 THEN remaining - 5 - least(remaining - 5, len(w)) ELSE remaining END::INT,
+    CASE WHEN remaining - 5 > 0 AND len(w) > 0 THEN context || CASE WHEN context = '' THEN '' ELSE chr(10) || chr(10) END || '[Tài liệu tham khảo #' || t.n || ']' || chr(10) || array_to_string(w[1:remaining - 5], ' ') ELSE context END,
+    remaining - 5 <= 0 OR len(w) = 0 OR len(w) > remaining - 5 FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1 WHERE NOT done)
+SELECT conv_id, sha256(context) AS sha, (60 - remaining)::BIGINT AS tokens FROM f WHERE context <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1""")
+def bounded_context_text(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as labelled contexts under 60 tokens."""
+    order = F.struct("turn", "role")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), order.alias("rank"), "text")
+    return answers.bounded_text(rows, 60).select(F.col("key").alias("conv_id"), F.sha2("context", 256).alias("sha"), "tokens")
+
+
+_RANKS = f"""WITH {VECTORS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 10),
+ranks AS (SELECT query_id, min(rank) FILTER (label = q_label) AS rank FROM top GROUP BY query_id)"""
+
+
+@query(_RANKS + """ SELECT unnest(['recall_at_1', 'recall_at_3', 'recall_at_10', 'mrr']) AS metric, unnest([count(*) FILTER (rank <= 1)::DOUBLE, count(*) FILTER (rank <= 3)::DOUBLE, count(*) FILTER (rank <= 10)::DOUBLE, round(sum(coalesce(1.0::DOUBLE / rank, 0)), 6)]) AS numerator,
+count(*) AS denominator, unnest([round(count(*) FILTER (rank <= 1) / count(*), 6), round(count(*) FILTER (rank <= 3) / count(*), 6), round(count(*) FILTER (rank <= 10) / count(*), 6), round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6)]) AS value FROM ranks""")
+def probe_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Where the first of the ten nearest rows with the question's own label stands."""
+    rows = table(spark, d, "embeddings")
+    hits = vectors.nearest(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows, top=10)
+    ranks = hits.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))).alias("rank"))
+    return measures.probe(ranks, (1, 3, 10))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE regexp_matches(coalesce(lang, ''), '(?i)^(de|FR)$') OR regexp_matches(coalesce(source, ''), '(?i)^(de|FR)$') OR regexp_matches(doc_id::VARCHAR, '(?i)^(de|FR)$') ORDER BY doc_id DESC LIMIT 50 OFFSET 5")
+def record_search(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the newest records of which one of three columns matches."""
+    return logs.search_any(table(spark, d, "documents"), ("lang", "source", "doc_id"), "^(de|FR)$", ("doc_id",), 5, 50).select("doc_id", "lang", "source")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND contains(lower(text), 'la. ') ORDER BY conv_id DESC, turn DESC LIMIT 100")
+def owned_title_search(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 100 titles of one owner that hold a text as it is, full stop included."""
+    return logs.search_titles(table(spark, d, "conversations"), "text", "La. ", ("role", "user"), ("conv_id", "turn")).select("conv_id", "turn", "text")
+
+
+_INTENTS = " + ".join(
+    f"CASE WHEN ({' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in asked)}) AND ({' OR '.join(f'contains(b, {chr(39)}{w}{chr(39)})' for w in told)}) THEN 4.0::DOUBLE ELSE 0 END" for asked, told in ranking.INTENTS.values()
+)
+_PLAIN = r"lower(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')))"
+
+
+@query(rf"""WITH {LEXICAL_SQL},
+pair AS (SELECT query_id, doc_id, {_PLAIN.format(c="b.text || CASE query_id % 2 WHEN 0 THEN ' thời hạn' ELSE '' END")} AS p, {_PLAIN.format(c="d.text || CASE doc_id % 3 WHEN 0 THEN ' thời hiệu' ELSE '' END")} AS b FROM lexical JOIN benchmark AS b ON item_id = query_id JOIN documents AS d USING (doc_id)),
+term AS (SELECT *, list_distinct(list_transform(list_filter(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2), lambda x: replace(x, '_', ' '))) AS t FROM pair)
+SELECT query_id, doc_id, round(coalesce(list_sum(list_transform(list_filter(t, lambda x: contains(b, x)), lambda x: 1 + ln((length(b) - length(replace(b, x, ''))) / length(x)))), 0) + CASE WHEN p <> '' AND contains(b, p) THEN 8 ELSE 0 END + {_INTENTS}, 6) AS score FROM term""")
+def passage_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Substring counts, whole phrases and the seven intents over lexical candidates; some texts name a deadline by rule."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lexical = ranking.lexical_lane(asked, table(spark, d, "documents")).select("query_id", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " thời hiệu").otherwise("")).alias("body"))
+    queries = asked.select("query_id", F.concat("text", F.when(F.col("query_id") % 2 == 0, " thời hạn").otherwise("")).alias("q"))
+    pairs = docs.join(ranking.bounded(lexical), "doc_id").join(ranking.bounded(queries), "query_id")
+    return pairs.select("query_id", "doc_id", ranking.passage_score(F.col("q"), F.col("body")).alias("score"))

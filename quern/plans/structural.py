@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import expansion, identity, ranking, rerank, runs
+from quern.operators import expansion, gates, identity, ranking, rerank, runs
 from quern.operators.evidence import rerank_candidates
-from quern.plans.evaluation import NDCG_SQL, evidence, evidence_sql, query
+from quern.plans.evaluation import NDCG_SQL, ORACLE_SQL, evidence, evidence_sql, query
 from quern.plans.oracles import LEXICAL_SQL
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -146,3 +146,40 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     stages = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(c).alias("capacity")) for s, c in RUN_STAGES.items()))
     cases = gold.select("case_id").distinct().select("case_id", F.inline(stages))
     return runs.report(gold, candidates, cases, LOSS_ORDER, RUN_DOCUMENT_ONLY, "source", "final")
+
+
+#: The gates of a run: measures of the report by their names, what is asked of them, and two that no run has or can measure.
+GATES = (
+    ("recall.final.document.1", "gte", 0.3), ("recall.source.document.24", "eq", 1.0), ("recall.final.document.24", "gte", 0.5), ("reciprocal_rank.final.article.", "lte", 0.9),
+    ("multi_hop_all.run..", "gte", 0.99), ("candidates.final..", "lte", 2.0), ("recall.source.article.3", "gte", 0.1), ("absent", "eq", 0.0),
+)
+_RULES = ", ".join(f"('{m}', '{how}', {t}::DOUBLE)" for m, how, t in GATES)
+
+
+@query(f"""WITH rep AS ({ORACLE_SQL['run_report']}), named AS (SELECT measure || '.' || stage || '.' || coalesce(level, '') || '.' || coalesce(k::VARCHAR, '') AS metric, coalesce(micro, macro) AS value, denominator, nullif(skip_reasons, '') AS reason FROM rep),
+rule(metric, how, required) AS (VALUES {_RULES}),
+told AS (SELECT rule.metric, how, required, value, CASE WHEN named.metric IS NULL THEN 'metric_unavailable' WHEN denominator IS NULL THEN coalesce(reason, 'invalid_or_missing_denominator') WHEN denominator <= 0 THEN coalesce(reason, 'zero_or_non_finite_denominator')
+  WHEN value IS NULL THEN coalesce(reason, 'invalid_or_missing_observed_value') END AS reason FROM rule LEFT JOIN named USING (metric))
+SELECT metric, required, CASE WHEN reason IS NULL THEN value END AS observed, CASE WHEN reason IS NOT NULL THEN 'UNSUPPORTED' WHEN CASE how WHEN 'eq' THEN value = required WHEN 'gte' THEN value >= required ELSE value <= required END THEN 'PASS' ELSE 'FAIL' END AS verdict, reason,
+  CASE WHEN reason IS NULL THEN printf('%.4f', value) ELSE 'N/A' END AS shown FROM told""")
+def run_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds over a run's report, those without a denominator unsupported."""
+    return _gates(run_report(spark, d))
+
+
+def _gates(report: DataFrame) -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    name = F.concat_ws(".", "measure", "stage", part("level"), part("k"))
+    rows = report.select(name.alias("metric"), F.coalesce("micro", "macro").alias("value"), "denominator", F.nullif("skip_reasons", F.lit("")).alias("reason"))
+    found = gates.measured(rows, GATES)
+    return found.select("*", gates.shown(F.col("observed")).alias("shown"))
+
+
+@query(f"""WITH rep AS ({ORACLE_SQL['run_report']}), lines AS (SELECT level, max(micro) FILTER (stage = 'rerank_input') AS before, max(micro) FILTER (stage = 'rerank_output') AS after FROM rep WHERE measure = 'recall' AND k = 3 GROUP BY level)
+SELECT level, before, after, round(after - before, 4) AS delta FROM lines""")
+def reranker_contribution(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 3 before and after the reranker, by level."""
+    rows = run_report(spark, d).where("measure = 'recall' AND k = 3")
+    at = lambda stage: F.max(F.when(F.col("stage") == stage, F.col("micro")))
+    found = rows.groupBy("level").agg(at("rerank_input").alias("before"), at("rerank_output").alias("after"))
+    return found.withColumn("delta", F.round(F.col("after") - F.col("before"), 4))
