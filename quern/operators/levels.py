@@ -67,30 +67,38 @@ def applies(level: str) -> Column:
     return F.lit(True) if level == "document" else T.locator(F.col(level)) != ""
 
 
-def stage_recalls(gold: DataFrame, matches: DataFrame, stages: dict[str, int], document_only: tuple[str, ...]) -> DataFrame:
-    """case_id, stage, level, k, found_n, gold_n, recall and reason; ``stages`` maps each to its capacity."""
+def stage_counts(gold: DataFrame, matches: DataFrame, stages: dict[str, int | None], document_only: tuple[str, ...]) -> DataFrame:
+    """case_id, stage, capacity, document_only and, by level, gold and what is found of it to each depth; ``stages`` maps each to its capacity."""
     firsts = matches.groupBy("case_id", "evidence_id", "stage").agg(*(F.min(F.when(F.col(f"by_{x}"), F.col("rank"))).alias(f"{x}_rank") for x in LEVELS))
     spark = gold.sparkSession
     listed = [(s, cap, s in document_only) for s, cap in stages.items()]
     stage = F.broadcast(spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(c).cast("int").alias("capacity"), F.lit(o).alias("document_only")) for s, c, o in listed)))))
     held = gold.select("case_id", "evidence_id", *(applies(x).alias(f"has_{x}") for x in LEVELS)).join(stage).join(firsts, ["case_id", "evidence_id", "stage"], "left")
-    cells = [(x, k) for x in LEVELS for k in DEPTHS[x]]
-    counts = held.groupBy("case_id", "stage", "capacity", "document_only").agg(
+    return held.groupBy("case_id", "stage", "capacity", "document_only").agg(
         *(F.count_if(f"has_{x}").alias(f"{x}_n") for x in LEVELS),
-        *(F.count_if(F.col(f"has_{x}") & (F.col(f"{x}_rank") <= k)).alias(f"{x}_{k}") for x, k in cells),
+        *(F.count_if(F.col(f"has_{x}") & (F.col(f"{x}_rank") <= k)).alias(f"{x}_{k}") for x in LEVELS for k in DEPTHS[x]),
     )
-    rows = F.array(*(F.struct(F.lit(x).alias("level"), F.lit(k).alias("k"), F.col(f"{x}_{k}").alias("found_n"), F.col(f"{x}_n").alias("gold_n")) for x, k in cells))
-    long = counts.select("case_id", "stage", "capacity", "document_only", F.inline(rows))
+
+
+def counted_recalls(counts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, stage, level, k, found_n, gold_n, recall and reason of rows of ``stage_counts``."""
+    rows = F.array(*(F.struct(F.lit(x).alias("level"), F.lit(k).alias("k"), F.col(f"{x}_{k}").alias("found_n"), F.col(f"{x}_n").alias("gold_n")) for x in LEVELS for k in DEPTHS[x]))
+    long = counts.select(*keep, "stage", "capacity", "document_only", F.inline(rows))
     reason = (
         F.when(F.col("document_only") & (F.col("level") != "document"), "stage_does_not_expose_structural_locators")
         .when(F.col("k") > F.col("capacity"), "k_exceeds_configured_capacity")
         .when(F.col("gold_n") == 0, "no_applicable_gold")
     )
     return long.withColumn("reason", reason).select(
-        "case_id", "stage", "level", "k", "found_n", "gold_n", F.when(F.col("reason").isNull(), F.round(F.col("found_n") / F.col("gold_n"), 4)).alias("recall"), "reason"
+        *keep, "stage", "level", "k", "found_n", "gold_n", F.when(F.col("reason").isNull(), F.round(F.col("found_n") / F.col("gold_n"), 4)).alias("recall"), "reason"
     )
 
 
+def stage_recalls(gold: DataFrame, matches: DataFrame, stages: dict[str, int | None], document_only: tuple[str, ...]) -> DataFrame:
+    """case_id, stage, level, k, found_n, gold_n, recall and reason; ``stages`` maps each to its capacity."""
+    return counted_recalls(stage_counts(gold, matches, stages, document_only), "case_id")
+
+
 def stage_bundle(recalls: DataFrame) -> DataFrame:
     """stage, level, k: macro and micro over defined cases, their number, and each reason's count as a map."""
     defined = F.col("recall").isNotNull()

@@ -36,11 +36,12 @@ def checked_cases(cases: DataFrame) -> DataFrame:
 
 
 def _means(rows: DataFrame, *keys: str) -> DataFrame:
-    """macro, micro, numerator, denominator, scored_cases, skipped_cases and skip_reasons of ratios (numerator, denominator, value, reason)."""
-    known = F.col("value").isNotNull()
+    """macro, micro, numerator, denominator, scored_cases, skipped_cases and skip_reasons of ratios (numerator, denominator, value, reason, times)."""
+    known, times = F.col("value").isNotNull(), F.col("times")
     by_reason = rows.groupBy(*keys, "reason").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("scored"), F.sum("value").alias("sum"), F.sum(F.when(known, F.col("numerator"))).alias("num"), F.sum(F.when(known, F.col("denominator"))).alias("den")
-    )
+        F.sum("times").alias("n"), F.sum(F.when(known, times).otherwise(0)).alias("scored"), F.sum(F.col("value") * times).alias("sum"),
+        F.sum(F.when(known, F.col("numerator") * times)).alias("num"), F.sum(F.when(known, F.col("denominator") * times)).alias("den"),
+    )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return by_reason.groupBy(*keys).agg(
         F.round(ratio(F.sum("sum"), F.sum("scored")), 4).alias("macro"),
@@ -53,6 +54,11 @@ def _means(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _alike(rows: DataFrame, *but: str) -> DataFrame:
+    """Rows that are equal but for some columns, as one with how often it stands there: counts are small numbers, so few are left."""
+    return rows.groupBy(*(c for c in rows.columns if c not in but)).agg(F.count(F.lit(1)).alias("times"))
+
+
 def report(gold: DataFrame, candidates: DataFrame, cases: DataFrame, order: tuple[str, ...], document_only: tuple[str, ...], ranked_stage: str, final: str) -> DataFrame:
     """stage, measure, level, k, capacity and means: recall, reciprocal rank, candidates and first loss of each stage, and the run's own.
 
@@ -67,28 +73,29 @@ def report(gold: DataFrame, candidates: DataFrame, cases: DataFrame, order: tupl
     none = F.lit(None).cast("string")
     row = lambda measure, value, numerator=None, denominator=None, level=none, k=None, reason=none: [
         F.lit(measure).alias("measure"), level.alias("level"), (F.lit(None) if k is None else k).cast("int").alias("k"), (value if numerator is None else numerator).cast("double").alias("numerator"),
-        (F.lit(1) if denominator is None else denominator).cast("double").alias("denominator"), value.cast("double").alias("value"), reason.alias("reason"),
+        (F.lit(1) if denominator is None else denominator).cast("double").alias("denominator"), value.cast("double").alias("value"), reason.alias("reason"), F.col("times"),
     ]
     col = F.col
-    recalls = levels.stage_recalls(gold, hits, capacities, document_only).select("stage", *row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason")))
+    recalls = levels.counted_recalls(_alike(levels.stage_counts(gold, hits, capacities, document_only), "case_id"), "times").select("stage", *row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason")))
     firsts = hits.groupBy("case_id", "stage").agg(*(F.min(F.when(col(f"by_{x}") & levels.applies(x), col("rank"))).alias(x) for x in levels.LEVELS))
     counts = gold.groupBy("case_id").agg(*(F.count_if(levels.applies(x)).alias(f"{x}_n") for x in levels.LEVELS))
     known = cases.select("case_id", "stage").join(counts, "case_id").join(firsts, ["case_id", "stage"], "left")
     hidden = lambda x: F.lit(x != "document") & col("stage").isin(*document_only)
     reason = lambda x: F.when(hidden(x), "stage_does_not_expose_structural_locators").when(col(f"{x}_n") == 0, "no_applicable_gold")
     ranks = F.array(*(F.struct(F.lit(x).alias("level"), F.when(reason(x).isNull(), F.coalesce(F.round(1.0 / col(x), 4), F.lit(0.0))).alias("rr"), reason(x).alias("reason")) for x in levels.LEVELS))
-    reciprocal = known.select("stage", F.inline(ranks)).select("stage", *row("reciprocal_rank", col("rr"), level=col("level"), reason=col("reason")))
+    shape = [F.col(x) for x in levels.LEVELS] + [(F.col(f"{x}_n") > 0).cast("int").alias(f"{x}_n") for x in levels.LEVELS]
+    reciprocal = _alike(known.select("stage", *shape)).select("stage", "times", F.inline(ranks)).select("stage", *row("reciprocal_rank", col("rr"), level=col("level"), reason=col("reason")))
     sizes = cases.select("case_id", "stage").join(candidates.groupBy("case_id", "stage").agg(F.count(F.lit(1)).alias("n")), ["case_id", "stage"], "left")
-    listed = sizes.select("stage", *row("candidates", F.coalesce(col("n"), F.lit(0))))
-    whole = levels.case_bundle(gold, hits, final)
+    listed = _alike(sizes.select("stage", F.coalesce("n", F.lit(0)).alias("n"))).select("stage", *row("candidates", col("n")))
+    whole = written(_alike(levels.case_bundle(gold, hits, final), "case_id"), "whole")
     run = F.lit("run").alias("stage")
     scored = cases.select("case_id").distinct().join(counts.select("case_id", F.lit(1).alias("has")), "case_id", "left")
     parts = [
         recalls,
         reciprocal,
         listed,
-        scored.select(run, *row("coverage", F.coalesce(col("has"), F.lit(0)))),
-        levels.greedy_ndcg(gold, hits, ranked_stage).select(run, *row("ndcg", col("ndcg"))),
+        _alike(scored, "case_id").select(run, *row("coverage", F.coalesce(col("has"), F.lit(0)))),
+        _alike(levels.greedy_ndcg(gold, hits, ranked_stage), "case_id").select(run, *row("ndcg", col("ndcg"))),
         whole.select(run, *row("multi_hop_all", col("all_required").cast("int"))),
         whole.select(run, *row("multi_hop_share", col("coverage"), col("found_n"), col("required_n"))),
     ]
