@@ -1,15 +1,18 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame functions only.
 
 Seeds are e-mail addresses, IP addresses, card and telephone numbers that patterns and checks find in whole
-texts. Contexts (the word, or two words, before a string with a digit or ``@``) form a graph with the strings
-that follow them. Contexts are scored by the share of all their occurrences in the corpus that a known
+texts, and strings with the shape of a key (``KEY``), which are not spans by themselves: they only lend their kind,
+secret, to contexts. Contexts (the word, or two words, before a string with a digit or ``@``) form a graph with the
+strings that follow them. Contexts are scored by the share of all their occurrences in the corpus that a known
 identifier follows, strings by their best context, of which they take the kind; this is repeated ``ROUNDS``
 times. Where at least ``MIN_SUPPORT`` different identifiers follow a context and its score reaches ``MIN_SCORE``,
-other strings there are added as spans of the kind that its identifiers have most. Base spans always stay.
+other strings there are added as spans of the kind that its identifiers have most (those shaped like keys as secrets).
+A key in any other place, as a digest in running text, is left alone. Base spans always stay.
 
 Spans are code points, end exclusive. Null or empty texts have none. Very long texts are read whole, in time that
 grows with their length and, for very many matches, a little faster; contexts reach back over whole words of any
-length. Only strings with a digit or ``@`` are discovered, and only words before them are contexts. Repeated rows give a
+length. Only strings with a digit or ``@`` are discovered, without the quotes, brackets and symbols around them, and only
+words before them are contexts. Repeated rows give a
 row each. An empty table learns nothing. Ties of kind go to the kind listed first. Columns not in ``keep`` are ignored.
 """
 
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 from quern.sources.scratch import written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans: those of the patterns, and the one that contexts alone find.
+SPAN_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
 # Runs are entered at their start alone (or where the last match ended), and never given back, so that long
 # runs take linear time and no stack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,6 +36,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 #: A word with a digit or @, and number-like words after it.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[().+-]*+[0-9][0-9().+-]*+(?!\S))*+"
+#: 32 hexadecimal digits or more with letters and figures, or 24 characters or more of both cases with figures.
+KEY = r"^(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+|(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])[A-Za-z0-9_-]{24,}+)$"
+#: What surrounds a string: runs are entered at their start alone.
+OPENING = r"^[\"'(<\[{=,;:]++"
+CLOSING = r"(?<![\"')>\]},;:.!?#*$%&|])[\"')>\]},;:.!?#*$%&|]++$"
 MIN_SUPPORT, MIN_SCORE, ROUNDS = 3, 0.8, 3
 #: Bytes of contexts in one broadcast, rows of found spans in one; more are joined in passes or by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -109,12 +120,11 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Strings with a digit or @ that follow a word: value, start, end, kind of the base span there (null: none), last and prev word."""
-    outer = r"^[\"'(<\[{=,;:]*(.*?)[\"')>\]},;:.!?]*$"
+    """Strings with a digit or @ that follow a word: value, start, end, kind of the base span there, or of its shape (null: none), last and prev word."""
     none = F.array().cast("array<struct<value:string,start:int,end:int,kind:int,last:string,prev:string>>")
 
     def row(m: Column, blocks: Column) -> Column:
-        return bound(F.struct(F.regexp_extract(m["match"], "(?s)" + outer, 1).alias("value"), (m["start"] + F.length(m["match"])).alias("end"), F.lower(m["before"]).alias("before")), lambda x: made(m, blocks, x))
+        return bound(F.struct(F.regexp_replace(F.regexp_replace(m["match"], OPENING, ""), CLOSING, "").alias("value"), (m["start"] + F.length(m["match"])).alias("end"), F.lower(m["before"]).alias("before")), lambda x: made(m, blocks, x))
 
     def made(m: Column, blocks: Column, x: Column) -> Column:
         start = m["start"] + F.instr(m["match"], x["value"]) - 1
@@ -124,7 +134,7 @@ def candidates(text: Column, base: Column) -> Column:
             x["value"].alias("value"),
             start.alias("start"),
             (start + F.length(x["value"])).alias("end"),
-            F.try_element_at(seeds, F.lit(1))["kind"].alias("kind"),
+            F.coalesce(F.try_element_at(seeds, F.lit(1))["kind"], F.when(x["value"].rlike(KEY), F.lit(SECRET))).alias("kind"),
             F.regexp_extract(x["before"], r"(?<!\S)(\S++)\s++$", 1).alias("last"),
             F.regexp_extract(x["before"], r"(?<!\S)(\S++)\s++\S++\s++$", 1).alias("prev"),
         )
@@ -138,6 +148,11 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.filter(found, lambda c: (c["last"] != "") & (c["value"] != ""))).otherwise(none)
 
 
+def _to_find(kind: Column) -> Column:
+    """Whether only a context can make a candidate of this kind a span."""
+    return kind.isNull() | (kind == SECRET)
+
+
 def _contexts(found: DataFrame) -> DataFrame:
     """A row for each candidate and context; prev is null in contexts of one word."""
     return found.select(
@@ -188,7 +203,7 @@ def accepted_contexts(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     )
     open_contexts = written(
         graph.groupBy("context")
-        .agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("kind").isNull()).alias("unseen"))
+        .agg(F.count(F.lit(1)).alias("values"), F.count_if(_to_find(F.col("kind"))).alias("unseen"))
         .where((F.col("values") > MIN_SUPPORT) & (F.col("unseen") > 0))
         .select("context"),
         "contexts",
@@ -202,7 +217,7 @@ def accepted_contexts(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     for _ in range(ROUNDS):
         known = edges.join(written(scores, "scores"), "value").where(F.col("score") >= MIN_SCORE)
         kind = F.coalesce("kind", "own")
-        of_kind = F.array(*(F.sum(F.when(kind == k, F.col("n")).otherwise(0)) for k in range(len(KINDS))))
+        of_kind = F.array(*(F.sum(F.when(kind == k, F.col("n")).otherwise(0)) for k in range(len(SPAN_KINDS))))
         contexts = written(
             known.groupBy("context", "total")
             .agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count(F.lit(1)).alias("support"), of_kind.alias("of_kind"))
@@ -235,11 +250,11 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     if accepted is None:
         return first.select("kept.*", "base", F.col("base").alias("spans"))
     accepted = written(accepted, "accepted")
-    unseen = _contexts(found.where(F.col("c.kind").isNull())).select("row", "c", "context")
+    unseen = _contexts(found.where(_to_find(F.col("c.kind")))).select("row", "c", "context")
     extra = written(
         unseen.join(accepted, "context")
         .groupBy("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"))
-        .agg(F.min("kind").alias("kind"))
+        .agg(F.min(F.coalesce("c.kind", "kind")).alias("kind"))
         .groupBy("row")
         .agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra")),
         "discovered",
@@ -251,13 +266,13 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
 def listed(spans: Column) -> Column:
     """kind:start:end of sorted spans, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, SPAN_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span, or run of overlapping ones, replaced by its first kind in brackets."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in SPAN_KINDS))
     reached = before_each(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda s, x: F.greatest(s, x))
     last = F.array_max(F.transform(spans, lambda s: s["end"]))
     cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CUT).cast("int")), lambda b: F.substring(text, b * CUT + 1, F.lit(CUT)))

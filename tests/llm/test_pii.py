@@ -3,6 +3,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import pii
 from quern.llm.queries import op1_pii
@@ -88,6 +89,35 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[9] == got[10] == []
 
 
+def test_keys_are_found_by_their_contexts_alone(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    seen = [f'lorem {"abcdefgh"[i]} api key: "{k}"### ipsum' for i, k in enumerate(keys[:6])]
+    texts = [*seen, "dolor api key: (zq-77-open), amet", f"commit {keys[6]} of a branch", f"a digest {keys[7]} of it", "api 3 towers", 'x " 9!!!#a'] + ["key of 4"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], pii.SPAN_KINDS[s.kind]) for s in r.spans] for r in pii.personal_data(docs).collect()}
+    for i, k in enumerate(keys[:6]):
+        assert got[i] == [(k, "secret")]
+    assert got[6] == [("zq-77-open", "secret")]
+    assert all(got[i] == [] for i in range(7, len(texts)))
+    masked = pii.personal_data(docs.where("doc_id = 0 or doc_id < 7"), keep=("doc_id", "text"))
+    assert {r.t for r in masked.where("doc_id = 6").select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()} == {"dolor api key: ([SECRET]), amet"}
+
+
+def test_query_discovers_on_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    quoted = re.compile(r'token = "([0-9a-f]{40})"', re.I)
+    added = 0
+    for r in op1_pii(spark, sf).collect():
+        text = texts[r.doc_id] or ""
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        extra = {(a, b) for k, a, b in spans if k == "secret"}
+        want = {m.span(1) for m in quoted.finditer(text)}
+        assert extra == {(a, b) for a, b in want if not any(x < b and y > a for x, _, y in brute(text))}
+        added += len(extra)
+    assert added > 0
+
+
 def test_contexts_without_seeds_discover_too(spark):
     seen = [f"lorem {w} hotline: +1 (212) 555-01{i:02d} ipsum" for i, w in enumerate("abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzabcd")]
     found = [f"dolor {w} hotline: 555-02{i:02d}, amet" for i, w in enumerate("abcdefghijkl")]
