@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, corpus, gates, logs, measures, ranking, sampling, search, title_index, vectors
-from quern.plans import answering, evaluation, oracles, stores, structural, upkeep  # noqa: F401  all but oracles add their queries to those of evaluation
+from quern.plans import answering, evaluation, manifests, oracles, stores, structural, upkeep  # noqa: F401  all but oracles add their queries to those of evaluation
 from quern.sources.scratch import shared_dir, written
 from quern.sources.tables import table
 
