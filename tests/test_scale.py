@@ -21,3 +21,16 @@ def test_a_whole_phrase_without_terms_still_scores(spark):
     queries = spark.createDataFrame([(7, "a b"), (8, "ab")], "query_id long, text string")
     rows = ranking.lexical_lane(queries, docs, phrase_bonus=8.0).orderBy("query_id").collect()
     assert [(r.query_id, r.doc_id, r.score) for r in rows] == [(7, 1, 8.0), (8, 2, 9.0)]
+
+
+def test_titles_that_are_alike_are_scored_once(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "red bolt").otherwise("bolt new bolt").alias("text"))
+    queries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" unheard"), F.col("doc_id").cast("string")).alias("text"))
+    written, made = ranking.written, {}
+    try:
+        ranking.written = lambda df, label: made.setdefault(label, written(df, label)) if label in ("classes", "members", "found") else written(df, label)
+        rows = ranking.bm25(queries, docs, 3).orderBy("query_id", "rank").collect()
+    finally:
+        ranking.written = written
+    assert [made[k].count() for k in ("classes", "members", "found")] == [2, 6, 3]
+    assert len(rows) == 900 and [r.doc_id for r in rows[:6]] == [0, 2, 4, 0, 2, 4]
