@@ -34,3 +34,17 @@ def test_titles_that_are_alike_are_scored_once(spark):
         ranking.written = written
     assert [made[k].count() for k in ("classes", "members", "found")] == [2, 6, 3]
     assert len(rows) == 900 and [r.doc_id for r in rows[:6]] == [0, 2, 4, 0, 2, 4]
+
+
+def test_numbers_of_five_digits_are_named_by_neither_query_nor_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import catalogue
+
+    parts = spark.createDataFrame([(k, f"name{k}") for k in (9_950, 10_000, 19_900, 20_000)], "p_partkey long, p_name string")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    rows = catalogue.QUERIES["numbers_first"](spark, str(tmp_path)).select("query_id", "doc_id", "rank", "by_number").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT query_id, doc_id, rank, by_number FROM ({catalogue.ORACLE_SQL['numbers_first']})").fetchall())
+    assert [r.query_id for r in rows if r.by_number] == [19_900]
