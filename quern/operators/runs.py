@@ -76,31 +76,33 @@ def report(gold: DataFrame, candidates: DataFrame, cases: DataFrame, order: tupl
         (F.lit(1) if denominator is None else denominator).cast("double").alias("denominator"), value.cast("double").alias("value"), reason.alias("reason"), F.col("times"),
     ]
     col = F.col
-    recalls = levels.counted_recalls(_alike(levels.stage_counts(gold, hits, capacities, document_only), "case_id"), "times").select("stage", *row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason")))
-    firsts = hits.groupBy("case_id", "stage").agg(*(F.min(F.when(col(f"by_{x}") & levels.applies(x), col("rank"))).alias(x) for x in levels.LEVELS))
-    counts = gold.groupBy("case_id").agg(*(F.count_if(levels.applies(x)).alias(f"{x}_n") for x in levels.LEVELS))
-    known = cases.select("case_id", "stage").join(counts, "case_id").join(firsts, ["case_id", "stage"], "left")
+    # each measure is counted on its own and written as the few rows that differ, so that the driver never holds the plan of all
+    firsts = written(levels.first_matches(hits, document_only), "firsts")
+    known = gold.join(cases.select("case_id", F.lit(True).alias("known")).distinct(), "case_id", "left")
+    counts = written(_alike(levels.counted(known, firsts, capacities, document_only, "known"), "case_id"), "counts")
+    recalls = levels.counted_recalls(counts, "times").select("stage", *row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason")))
     hidden = lambda x: F.lit(x != "document") & col("stage").isin(*document_only)
     reason = lambda x: F.when(hidden(x), "stage_does_not_expose_structural_locators").when(col(f"{x}_n") == 0, "no_applicable_gold")
-    ranks = F.array(*(F.struct(F.lit(x).alias("level"), F.when(reason(x).isNull(), F.coalesce(F.round(1.0 / col(x), 4), F.lit(0.0))).alias("rr"), reason(x).alias("reason")) for x in levels.LEVELS))
-    shape = [F.col(x) for x in levels.LEVELS] + [(F.col(f"{x}_n") > 0).cast("int").alias(f"{x}_n") for x in levels.LEVELS]
-    reciprocal = _alike(known.select("stage", *shape)).select("stage", "times", F.inline(ranks)).select("stage", *row("reciprocal_rank", col("rr"), level=col("level"), reason=col("reason")))
+    ranks = F.array(*(F.struct(F.lit(x).alias("level"), F.when(reason(x).isNull(), F.coalesce(F.round(1.0 / col(f"{x}_first"), 4), F.lit(0.0))).alias("rr"), reason(x).alias("reason")) for x in levels.LEVELS))
+    reciprocal = counts.where("known").select("stage", "times", F.inline(ranks)).select("stage", *row("reciprocal_rank", col("rr"), level=col("level"), reason=col("reason")))
     sizes = cases.select("case_id", "stage").join(candidates.groupBy("case_id", "stage").agg(F.count(F.lit(1)).alias("n")), ["case_id", "stage"], "left")
-    listed = _alike(sizes.select("stage", F.coalesce("n", F.lit(0)).alias("n"))).select("stage", *row("candidates", col("n")))
-    whole = written(_alike(levels.case_bundle(gold, hits, final), "case_id"), "whole")
+    listed = written(_alike(sizes.select("stage", F.coalesce("n", F.lit(0)).alias("n"))), "sizes").select("stage", *row("candidates", col("n")))
+    whole = written(_alike(levels.bundled(gold, firsts.where((col("stage") == final) & col("met"))), "case_id"), "whole")
     run = F.lit("run").alias("stage")
-    scored = cases.select("case_id").distinct().join(counts.select("case_id", F.lit(1).alias("has")), "case_id", "left")
+    has = gold.select("case_id", F.lit(1).alias("has")).distinct()
+    covered = written(_alike(cases.select("case_id").distinct().join(has, "case_id", "left"), "case_id"), "covered")
+    gained = written(_alike(levels.greedy_ndcg(gold, hits, ranked_stage), "case_id"), "gained")
     parts = [
         recalls,
         reciprocal,
         listed,
-        _alike(scored, "case_id").select(run, *row("coverage", F.coalesce(col("has"), F.lit(0)))),
-        _alike(levels.greedy_ndcg(gold, hits, ranked_stage), "case_id").select(run, *row("ndcg", col("ndcg"))),
+        covered.select(run, *row("coverage", F.coalesce(col("has"), F.lit(0)))),
+        gained.select(run, *row("ndcg", col("ndcg"))),
         whole.select(run, *row("multi_hop_all", col("all_required").cast("int"))),
         whole.select(run, *row("multi_hop_share", col("coverage"), col("found_n"), col("required_n"))),
     ]
-    lost = levels.first_losses(gold, hits, order, document_only).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-    items = gold.agg(F.count(F.lit(1)).alias("total"))
+    lost = written(levels.losses(gold, firsts.where("alive"), order).groupBy("stage").agg(F.count(F.lit(1)).alias("n")), "lost")
+    items = written(gold.agg(F.count(F.lit(1)).alias("total")), "items")
     stages = F.array(*(F.lit(s) for s in order))
     losses = items.select("total", F.explode(stages).alias("stage")).join(lost, "stage", "left").select(
         "stage", F.lit("first_loss").alias("measure"), none.alias("level"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("macro"), F.round(ratio(F.coalesce("n", F.lit(0)), col("total")), 4).alias("micro"),

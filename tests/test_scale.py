@@ -48,3 +48,10 @@ def test_numbers_of_five_digits_are_named_by_neither_query_nor_sql(spark, tmp_pa
     rows = catalogue.QUERIES["numbers_first"](spark, str(tmp_path)).select("query_id", "doc_id", "rank", "by_number").collect()
     assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT query_id, doc_id, rank, by_number FROM ({catalogue.ORACLE_SQL['numbers_first']})").fetchall())
     assert [r.query_id for r in rows if r.by_number] == [19_900]
+
+
+def test_the_driver_never_holds_the_plan_of_a_whole_report(spark):
+    from quern.plans.structural import run_report
+
+    plan = run_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 8 and len(plan) < 40_000
