@@ -2,35 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import together
+from quern.sources.scratch import written
+
+
+#: Documents, or cases, of one key in a block.
+BLOCK_ROWS = 1024
+
+
+def _blocks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """way, key and ``name``: the values of each key in arrays of some ``BLOCK_ROWS``, dealt by their hashes, so that no task holds a key's rows."""
+    sizes = written(rows.groupBy("way", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")), "sizes")
+    dealt = rows.join(sizes, ["way", "key"]).withColumn("block", F.pmod(F.xxhash64(value, "row"), "blocks"))
+    values = F.transform(F.collect_list(F.struct(F.col(value).alias("x"))), lambda s: s["x"])  # nulls stay
+    return dealt.groupBy("way", "key", "block").agg(values.alias(name)).drop("block")
+
+
+def _resolved(found: DataFrame, *columns: Column) -> DataFrame:
+    """``columns``, method and complete by ``way``; null: nothing was found."""
+    way = F.col("way")
+    names = F.when(way == 1, "exact_doc_id").when(way == 2, "exact_source_url").when(way == 3, "exact_metadata_doc_number").when(way == 4, "lexical_candidate_fallback")
+    return found.select(*columns, F.coalesce(names, F.lit("not_applicable")).alias("method"), F.coalesce(way < 4, F.lit(True)).alias("complete"))
+
+
+def _expanded(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """case_id, document_id, method and complete of every case and every document of its key: blocks meet, and pairs of rows are made where they are read."""
+    met = _blocks(members.withColumn("row", F.lit(0)), "found", "documents").join(_blocks(asked, "case_id", "cases"), ["way", "key"])
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _resolved(met, "cases", "documents").repartition(parts)
+    return dealt.select("method", "complete", "documents", F.explode("cases").alias("case_id")).select("case_id", F.explode("documents").alias("document_id"), "method", "complete")
+
 
 def resolve_identities(hints: DataFrame, metadata: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
     """case_id, document_id, method and complete of each hint by the first way that finds anything.
 
     Ways: id, URL, number without spaces in upper case, then ``lexical`` (case_id, document_id: candidates, so
     incomplete). ``hints``: case_id, document_id, source_url, document_number. ``metadata``: the last three.
+
+    A case may name a key of many documents, so the result may be quadratic: a case's way is found on the keys alone, and
+    only that way's documents are listed, at the end, without a shuffle of pairs.
     """
     number = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
-    ids = metadata.select(F.col("document_id").alias("found"), F.col("source_url").alias("u"), number(F.col("document_number")).alias("n"))
-    ways = [
-        hints.join(ids, F.col("document_id") == F.col("found")).select("case_id", "found", F.lit(1).alias("way")),
-        hints.join(ids, F.trim("source_url") == F.col("u")).where(F.trim("source_url") != "").select("case_id", "found", F.lit(2).alias("way")),
-        hints.join(ids, number(F.col("document_number")) == F.col("n")).where(F.col("n") != "").select("case_id", "found", F.lit(3).alias("way")),
-    ]
+    key = lambda way, c: F.struct(F.lit(way).alias("way"), c.alias("key"))
+    told = F.array(key(2, F.col("source_url")), key(3, number(F.col("document_number"))))
+    members = written(metadata.select(F.col("document_id").alias("found"), F.inline(told)).where(F.col("key") != "").distinct(), "members")
+    named = F.array(key(2, F.trim("source_url")), key(3, number(F.col("document_number"))))
+    asked = hints.select("case_id", F.inline(named)).where(F.col("key") != "").join(members.select("way", "key").distinct(), ["way", "key"])
+    ids = metadata.select(F.col("document_id").alias("found")).distinct()
+    exact = hints.join(ids, F.col("document_id") == F.col("found")).select("case_id", F.lit(1).alias("way"), F.lit(None).cast("string").alias("key"), "found")
+    every = exact.unionByName(asked.select("case_id", "way", "key", F.lit(None).cast(exact.schema["found"].dataType).alias("found")))
     if lexical is not None:
-        ways.append(lexical.select("case_id", F.col("document_id").alias("found"), F.lit(4).alias("way")))
-    every = ways[0]
-    for w in ways[1:]:
-        every = every.unionByName(w)
-    best = every.groupBy("case_id").agg(F.min("way").alias("best"))
-    kept = every.distinct().join(best, "case_id").where(F.col("way") == F.col("best")).select("case_id", "found", "way")
-    way = F.col("way")
-    names = F.when(way == 1, "exact_doc_id").when(way == 2, "exact_source_url").when(way == 3, "exact_metadata_doc_number").when(way == 4, "lexical_candidate_fallback")
-    return hints.select("case_id").join(kept, "case_id", "left").select(
-        "case_id", F.col("found").alias("document_id"), F.coalesce(names, F.lit("not_applicable")).alias("method"), F.coalesce(way < 4, F.lit(True)).alias("complete")
-    )
+        every = every.unionByName(lexical.select("case_id", F.lit(4).alias("way"), F.lit(None).cast("string").alias("key"), F.col("document_id").alias("found")))
+    every = written(every.distinct(), "ways")
+    first = every.groupBy("case_id", "way").agg(F.count("key").alias("keys")).groupBy("case_id").agg(F.min(F.struct("way", "keys")).alias("x")).select("case_id", "x.way", "x.keys")
+    rows = hints.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = written(every.join(first.join(rows, "case_id"), ["case_id", "way"]), "kept")
+    again = lambda df: df.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row"))  # noqa: E731  a hint's row for each of its case
+    case, document = F.col("case_id"), F.col("found").alias("document_id")
+    parts = [_resolved(again(kept.where("keys = 0")), case, document), _expanded(again(kept.where("keys = 1")).select("case_id", "way", "key", "row"), members)]
+    several = kept.where("keys > 1")
+    if not several.isEmpty():  # keys of one case may share documents
+        pairs = _expanded(several.select("case_id", "way", "key", F.lit(1).alias("row")), members).distinct()
+        parts.append(again(pairs.join(rows, "case_id")).select("case_id", "document_id", "method", "complete"))
+    none = hints.select("case_id").join(first, "case_id", "left_anti")
+    parts.append(_resolved(none.withColumn("way", F.lit(None).cast("int")), case, F.lit(None).cast(exact.schema["found"].dataType).alias("document_id")))
+    return together(parts)
 
 
 def patched_labels(labels: DataFrame, decisions: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

@@ -71,3 +71,35 @@ def test_scores_by_matrices_equal_those_by_pairs_and_shuffle_few_rows(spark, mon
     assert told(vectors.hybrid(queries, rows, 0.75, 4)) == told(ranking.ranked(vectors.scored(queries, rows).withColumn("score", blend), 4, *order))
     good = rows.where("vec_id < 300")
     assert vectors._best(good.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), good, 4).count() < 6 * 4 * 4
+
+
+def test_cases_and_documents_of_one_key_meet_in_blocks_and_are_never_shuffled_as_pairs(spark, monkeypatch):
+    from quern.operators import evidence
+
+    monkeypatch.setattr(evidence, "BLOCK_ROWS", 8)
+    meta = [(k, f"u{k % 2}" if k < 60 else None, f"N {k % 5}") for k in range(70)] + [(3, "u1", "n 3"), (3, "u0", None), (None, "u1", "N 9")]
+    hints = [(k, k if k % 9 == 0 else None, f" u{k % 3} " if k % 2 else "", f"n{k % 8}") for k in range(60)] + [(1, None, "u0", None), (1, None, "u0", None), (7, None, None, "n1"), (80, None, None, "x"), (None, 3, "u1", "n1")]
+    lexical = [(80, 5), (80, 5), (80, 6), (99, 1), (9, 1)]
+    number = lambda x: "".join(x.split()).upper() if x else ""
+    found: dict = {}
+    for case, i, u, n in hints:
+        for d, v, m in meta:
+            for way, same in ((1, i is not None and i == d), (2, (u or "").strip() not in ("",) and (u or "").strip() == v), (3, number(n) != "" and number(n) == number(m))):
+                if same and case is not None:
+                    found.setdefault(case, set()).add((way, d))
+    for case, d in lexical:
+        found.setdefault(case, set()).add((4, d))
+    names = {1: "exact_doc_id", 2: "exact_source_url", 3: "exact_metadata_doc_number", 4: "lexical_candidate_fallback"}
+    want = []
+    for case, *_ in hints:
+        least = min((w for w, _ in found.get(case, ())), default=None)
+        want += [(case, d, names[w], w < 4) for w, d in found.get(case, ()) if w == least] or [(case, None, "not_applicable", True)]
+    got = evidence.resolve_identities(
+        spark.createDataFrame(hints, "case_id long, document_id long, source_url string, document_number string"),
+        spark.createDataFrame(meta, "document_id long, source_url string, document_number string"), spark.createDataFrame(lexical, "case_id long, document_id long"),
+    )
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    one = spark.range(300).select(F.col("id").alias("case_id"), F.lit(None).cast("long").alias("document_id"), F.lit("u").alias("source_url"), F.lit(None).cast("string").alias("document_number"))
+    all_of_one = evidence.resolve_identities(one, one.select(F.col("case_id").alias("document_id"), "source_url", "document_number"))
+    blocks = [line for line in all_of_one._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(documents" in line]
+    assert blocks and all_of_one.count() == 90_000
