@@ -119,3 +119,15 @@ def test_cases_and_documents_of_one_key_meet_in_blocks_and_are_never_shuffled_as
     all_of_one = evidence.resolve_identities(one, one.select(F.col("case_id").alias("document_id"), "source_url", "document_number"))
     blocks = [line for line in all_of_one._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(documents" in line]
     assert blocks and all_of_one.count() == 90_000
+
+
+def test_lanes_are_scored_once_for_what_is_before_and_after_fusion(spark, monkeypatch):
+    from quern.plans import catalogue
+
+    made = []
+    for name in ("lexical_lane", "containment"):
+        monkeypatch.setattr(ranking, name, lambda *a, _name=name, _made=getattr(ranking, name), **k: made.append(_name) or _made(*a, **k))
+    for name in ("reranker_delta", "winner_by_recall"):
+        made.clear()
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sorted(made) == ["containment", "lexical_lane"]
