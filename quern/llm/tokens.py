@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +40,10 @@ class Encoder:
     """Encodes texts to the ids (uint32) that the library gives without adding special tokens."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
+        self.split = regex.compile(_WORD).findall
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -93,26 +96,22 @@ class Encoder:
         if self._apart(text):
             return self._whole(text)
         words, cache = text.split(), self.cache
-        try:
-            found = b"".join([cache[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in cache}
+        new = set(words).difference(cache)
+        if new:
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
                 new = set(words)
             self._learn(new)
-            found = b"".join([cache[w] for w in words])
-        return np.frombuffer(found, self.dtype).astype("<u4")
+        return np.frombuffer(b"".join(map(cache.__getitem__, words)), self.dtype.newbyteorder("=")).astype("<u4")
 
     def _learn(self, words: set[str]) -> None:
-        import regex
-
-        merge, dtype, cache = self.ranks._core_bpe.encode_single_piece, self.dtype, self.cache
+        merge, dtype, cache, split = self.ranks._core_bpe.encode_single_piece, self.dtype.newbyteorder("="), self.cache, self.split
+        code = "H" if dtype.itemsize == 2 else "I"
         rest, stems = [], self.stems
         if len(stems) > CACHE_WORDS:
             stems.clear()
         for w in words:
-            if len(w) > 60 or max(w) >= "ƀ" or "İ" in w:
+            if len(w) > 60 or (not w.isascii() and (max(w) >= "ƀ" or "İ" in w)):
                 rest.append(w)
                 continue
             if w.isalpha():
@@ -120,8 +119,9 @@ class Encoder:
             elif w[-1] in ".,;:!?" and w[:-1].isalpha():
                 parts = (w[:-1].lower(), w[-1])
             else:
-                parts = regex.findall(_WORD, w.lower())
-            cache[w] = b"".join([stems.get(p) or stems.setdefault(p, np.array(merge(p.encode() + END), dtype).tobytes()) for p in parts])
+                parts = split(w.lower())
+            found = [stems.get(p) or stems.setdefault(p, array(code, merge(p.encode() + END)).tobytes()) for p in parts]
+            cache[w] = found[0] if len(found) == 1 else b"".join(found)
         for w, encoding in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
             cache[w] = np.array(encoding.ids, dtype).tobytes()
 
