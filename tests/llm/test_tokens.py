@@ -171,3 +171,20 @@ def test_empty_table(spark):
     tokens = token_files.written(token_files.token_table(docs, WORD, 1), "tokens")
     ranks = token_files.id_ranks(tokens, encoder(WORD).size, 2)
     assert token_files.read_blocks(token_files.write_blocks(tokens, ranks, 2), ranks).collect() == []
+
+
+def test_words_of_a_text_with_a_new_one_are_looked_up_once():
+    class Counted(dict):
+        calls = 0
+
+        def __getitem__(self, key):
+            self.calls += 1
+            return super().__getitem__(key)
+
+    enc = Encoder(WORD)
+    enc.cache = Counted()
+    enc.encode(["known words, Again"])
+    enc.cache.calls = 0
+    text = "known words, Again Unheard-of Ünheard! 12,5 İx ƀy"
+    assert enc.encode([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    assert enc.cache.calls == 8
