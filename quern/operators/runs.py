@@ -6,7 +6,7 @@ Ratios without a value are counted under their reason and left out of means. An
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import levels
@@ -15,24 +15,33 @@ from quern.operators.ranking import together
 from quern.sources.scratch import written
 
 
-def asserted(value: Column, holds: Column, message: Column) -> Column:
-    """``value``, where ``holds``; otherwise the job fails with ``message``."""
-    return F.when(holds, value).otherwise(F.raise_error(message).cast("long"))
+def cases_of(gold: DataFrame, candidates: DataFrame, cases: DataFrame) -> DataFrame:
+    """``levels.cases_of`` with ``configured``, stage and capacity of the case as ``cases`` has them; null where the run hasn't the case."""
+    configured = cases.groupBy("case_id").agg(F.collect_list(F.struct("stage", F.col("capacity").cast("int").alias("capacity"))).alias("configured"))
+    return levels.listed_gold(gold).join(configured, "case_id", "full").join(levels.listed_candidates(candidates), "case_id", "left")
 
 
-def checked_cases(cases: DataFrame) -> DataFrame:
-    """stage, capacity and cases of ``cases`` (case_id, stage, capacity: one row for each), checked.
+def _configured(cases: DataFrame) -> DataFrame:
+    """known, whether the case has gold, and its stages with capacity, number of candidates, and whether they are repeated."""
+    n = lambda c: F.size(F.filter(F.coalesce("candidates", F.array()), lambda x: F.array_contains(x["its"]["stage"], c["stage"])))
+    again = lambda c: F.size(F.filter("configured", lambda x: x["stage"] == c["stage"])) > 1
+    told = F.transform(F.array_sort("configured"), lambda c: F.named_struct(F.lit("stage"), c["stage"], F.lit("capacity"), c["capacity"], F.lit("n"), n(c), F.lit("faulty"), again(c) | F.col("case_id").isNull()))
+    return cases.select("case_id", F.col("configured").isNotNull().alias("known"), F.coalesce(F.size("items") > 0, F.lit(False)).alias("has"), told.alias("told"))
 
-    Case sets are compared by their size and the sum of their hashes.
-    """
-    sums = cases.groupBy("stage").agg(
-        F.min("capacity").alias("low"), F.max("capacity").alias("high"), F.count_distinct("case_id").alias("cases"), F.sum(F.xxhash64("case_id").cast("decimal(38,0)")).alias("digest"), F.count(F.lit(1)).alias("n")
-    )
-    every = Window.partitionBy(F.lit(0))
-    one = sums.withColumn("same", (F.min("digest").over(every) == F.max("digest").over(every)) & (F.min("n").over(every) == F.max("n").over(every)))
-    capacity = asserted(F.col("high").cast("long"), F.col("low").eqNullSafe(F.col("high")), F.concat(F.lit("inconsistent configured capacity for "), "stage"))
-    n = asserted(F.col("cases"), F.col("same") & (F.col("n") == F.col("cases")), F.concat(F.lit("cases are missing, further or repeated in some stage; one of them: "), "stage"))
-    return one.select("stage", capacity.alias("capacity"), n.alias("cases"))
+
+def checked_stages(told: DataFrame) -> dict[str, int | None]:
+    """Capacity by stage of ``_configured`` rows, with how often each stands there; raises where the run breaks the rules."""
+    every = F.struct(F.lit(None).cast("string").alias("stage"), F.lit(None).cast("int").alias("capacity"), F.lit(0).alias("n"), F.lit(False).alias("faulty"))
+    rows = told.where("known").select("times", F.inline(F.concat("told", F.array(every))))
+    found = rows.groupBy("stage").agg(F.min("capacity").alias("low"), F.max("capacity").alias("high"), F.sum("times").alias("n"), F.bool_or("faulty").alias("faulty")).collect()
+    cases = sum(r.n for r in found if r.stage is None)
+    stages = sorted((r for r in found if r.stage is not None), key=lambda r: r.stage)
+    for r in stages:
+        if r.low != r.high:
+            raise ValueError(f"inconsistent configured capacity for {r.stage}")
+        if r.faulty or r.n != cases:
+            raise ValueError(f"cases are missing, further or repeated in some stage; one of them: {r.stage}")
+    return {r.stage: r.high for r in stages}
 
 
 def _means(rows: DataFrame, *keys: str) -> DataFrame:
@@ -65,49 +74,63 @@ def report(gold: DataFrame, candidates: DataFrame, cases: DataFrame, order: tupl
     ``cases``: case_id, stage, capacity. ``order``: stages in which a loss may come first. Measures of the whole run have the
     stage ``run``: coverage (cases with gold), ndcg at ``ranked_stage``, multi_hop_all and multi_hop_share at ``final``.
     """
-    capacities = {r.stage: r.capacity for r in checked_cases(cases).collect()}  # a row for each stage; a run that breaks the rules fails here
+    stages = tuple(r.stage for r in cases.select("stage").distinct().collect())
+    return reported(cases_of(gold, candidates, cases), stages, order, document_only, ranked_stage, final)
+
+
+def reported(cases: DataFrame, stages: tuple[str, ...], order: tuple[str, ...], document_only: tuple[str, ...], ranked_stage: str, final: str) -> DataFrame:
+    """``report`` of ``cases_of`` a run with these stages.
+
+    All that is counted of a case and stage is made in one job, and written as the few rows that differ with how often each
+    stands there; what must hold of the run and its measures are read off these.
+    """
+    col = F.col
+    held = levels.judged(cases)
+    listed = dict.fromkeys((*stages, *order, ranked_stage, final))
+    losses = F.transform("items", lambda i: levels.first_loss(i, order, document_only))
+    each = levels.by_stage(held.where(F.size("items") > 0).withColumn("losses", losses), listed, document_only)
+    found = each.select(
+        "stage", "document_only", col("configured").isNotNull().alias("known"), *levels.counts(), F.size(F.filter("here", lambda x: x["met"])).alias("met_n"),
+        F.size(F.filter("losses", lambda x: x.eqNullSafe(col("stage")))).alias("lost_n"), F.when(col("stage") == ranked_stage, levels.served_gain(levels.served(ranked_stage))).alias("ndcg"),
+    )
+    counts = written(_alike(found).unionByName(_alike(_configured(held), "case_id"), allowMissingColumns=True), "counts")
+    told = counts.where(col("stage").isNull())
+    capacities = checked_stages(told)
     if not capacities:
         kinds = "stage string, measure string, level string, k int, macro double, micro double, numerator double, denominator double, scored_cases long, skipped_cases long, skip_reasons string, capacity int"
-        return gold.sparkSession.createDataFrame([], kinds)
-    hits = written(levels.level_matches(gold, candidates), "matches")
+        return cases.sparkSession.createDataFrame([], kinds)
+    configured = F.coalesce(*(F.when(col("stage") == s, F.lit(c)) for s, c in capacities.items()), F.lit(None)).cast("int")
+    each = counts.where(col("stage").isin(*capacities)).withColumn("capacity", configured)
     none = F.lit(None).cast("string")
-    row = lambda measure, value, numerator=None, denominator=None, level=none, k=None, reason=none: [
-        F.lit(measure).alias("measure"), level.alias("level"), (F.lit(None) if k is None else k).cast("int").alias("k"), (value if numerator is None else numerator).cast("double").alias("numerator"),
-        (F.lit(1) if denominator is None else denominator).cast("double").alias("denominator"), value.cast("double").alias("value"), reason.alias("reason"), F.col("times"),
-    ]
-    col = F.col
-    # each measure is counted on its own and written as the few rows that differ, so that the driver never holds the plan of all
-    firsts = written(levels.first_matches(hits, document_only), "firsts")
-    known = gold.join(cases.select("case_id", F.lit(True).alias("known")).distinct(), "case_id", "left")
-    counts = written(_alike(levels.counted(known, firsts, capacities, document_only, "known"), "case_id"), "counts")
-    recalls = levels.counted_recalls(counts, "times").select("stage", *row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason")))
+
+    def row(measure: str, value: Column, numerator: Column | None = None, denominator: Column | None = None, level: Column = none, k: Column | None = None, reason: Column = none, stage: Column = col("stage")) -> Column:
+        return F.struct(
+            stage.alias("stage"), F.lit(measure).alias("measure"), level.alias("level"), (F.lit(None) if k is None else k).cast("int").alias("k"), (value if numerator is None else numerator).cast("double").alias("numerator"),
+            (F.lit(1) if denominator is None else denominator).cast("double").alias("denominator"), value.cast("double").alias("value"), reason.alias("reason"),
+        )
+
+    rows_of = lambda rows, *some: rows.select("times", F.inline(F.filter(F.array(*some), lambda x: x.isNotNull())))
+    run, items = F.lit("run"), col("document_n")
     hidden = lambda x: F.lit(x != "document") & col("stage").isin(*document_only)
     reason = lambda x: F.when(hidden(x), "stage_does_not_expose_structural_locators").when(col(f"{x}_n") == 0, "no_applicable_gold")
-    ranks = F.array(*(F.struct(F.lit(x).alias("level"), F.when(reason(x).isNull(), F.coalesce(F.round(1.0 / col(f"{x}_first"), 4), F.lit(0.0))).alias("rr"), reason(x).alias("reason")) for x in levels.LEVELS))
-    reciprocal = counts.where("known").select("stage", "times", F.inline(ranks)).select("stage", *row("reciprocal_rank", col("rr"), level=col("level"), reason=col("reason")))
-    sizes = cases.select("case_id", "stage").join(candidates.groupBy("case_id", "stage").agg(F.count(F.lit(1)).alias("n")), ["case_id", "stage"], "left")
-    listed = written(_alike(sizes.select("stage", F.coalesce("n", F.lit(0)).alias("n"))), "sizes").select("stage", *row("candidates", col("n")))
-    whole = written(_alike(levels.bundled(gold, firsts.where((col("stage") == final) & col("met"))), "case_id"), "whole")
-    run = F.lit("run").alias("stage")
-    has = gold.select("case_id", F.lit(1).alias("has")).distinct()
-    covered = written(_alike(cases.select("case_id").distinct().join(has, "case_id", "left"), "case_id"), "covered")
-    gained = written(_alike(levels.greedy_ndcg(gold, hits, ranked_stage), "case_id"), "gained")
+    rank = lambda x: F.when(reason(x).isNull(), F.coalesce(F.round(1.0 / col(f"{x}_first"), 4), F.lit(0.0)))
     parts = [
-        recalls,
-        reciprocal,
-        listed,
-        covered.select(run, *row("coverage", F.coalesce(col("has"), F.lit(0)))),
-        gained.select(run, *row("ndcg", col("ndcg"))),
-        whole.select(run, *row("multi_hop_all", col("all_required").cast("int"))),
-        whole.select(run, *row("multi_hop_share", col("coverage"), col("found_n"), col("required_n"))),
+        rows_of(levels.counted_recalls(each, "times"), row("recall", col("recall"), col("found_n"), col("gold_n"), col("level"), col("k"), col("reason"))),
+        rows_of(
+            counts.where(col("stage").isNotNull()),
+            *(F.when(col("known") & col("stage").isin(*capacities), row("reciprocal_rank", rank(x), level=F.lit(x), reason=reason(x))) for x in levels.LEVELS),
+            F.when(col("stage") == ranked_stage, row("ndcg", col("ndcg"), stage=run)),
+            F.when(col("stage") == final, row("multi_hop_all", (col("met_n") == items).cast("int"), stage=run)),
+            F.when(col("stage") == final, row("multi_hop_share", F.round(col("met_n") / items, 4), col("met_n"), items, stage=run)),
+        ),
+        told.where("known").select("times", F.inline(F.concat(F.transform("told", lambda c: row("candidates", c["n"], stage=c["stage"])), F.array(row("coverage", col("has").cast("int"), stage=run))))),
+    ]
+    lost = [
+        counts.where(col("stage").isin(*order)).select("stage", (col("lost_n") * col("times")).alias("n"), (items * col("times")).alias("total")),
+        cases.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, order))).alias("stage"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")),
     ]
-    lost = written(levels.losses(gold, firsts.where("alive"), order).groupBy("stage").agg(F.count(F.lit(1)).alias("n")), "lost")
-    items = written(gold.agg(F.count(F.lit(1)).alias("total")), "items")
-    stages = F.array(*(F.lit(s) for s in order))
-    losses = items.select("total", F.explode(stages).alias("stage")).join(lost, "stage", "left").select(
-        "stage", F.lit("first_loss").alias("measure"), none.alias("level"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("macro"), F.round(ratio(F.coalesce("n", F.lit(0)), col("total")), 4).alias("micro"),
-        F.coalesce("n", F.lit(0)).cast("double").alias("numerator"), col("total").cast("double").alias("denominator"), col("total").alias("scored_cases"), F.lit(0).cast("long").alias("skipped_cases"), F.lit("").alias("skip_reasons"),
+    losses = together(lost).groupBy("stage").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select(
+        "stage", F.lit("first_loss").alias("measure"), none.alias("level"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("macro"), F.round(ratio(col("n"), col("total")), 4).alias("micro"),
+        col("n").cast("double").alias("numerator"), col("total").cast("double").alias("denominator"), col("total").alias("scored_cases"), F.lit(0).cast("long").alias("skipped_cases"), F.lit("").alias("skip_reasons"),
     )
-    found = _means(together(parts), "stage", "measure", "level", "k").unionByName(losses)
-    configured = F.coalesce(*(F.when(col("stage") == s, F.lit(c)) for s, c in capacities.items()), F.lit(None))
-    return found.withColumn("capacity", configured.cast("int"))
+    return _means(together(parts), "stage", "measure", "level", "k").unionByName(losses).withColumn("capacity", configured)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import expansion, gates, identity, ranking, rerank, runs
 from quern.operators.evidence import rerank_candidates
-from quern.plans.evaluation import NDCG_SQL, ORACLE_SQL, evidence, evidence_sql, query
+from quern.plans.evaluation import NDCG_SQL, ORACLE_SQL, evidence_cases, evidence_sql, query
 from quern.plans.oracles import LEXICAL_SQL
 from quern.sources.scratch import written
 from quern.sources.tables import table
@@ -142,10 +142,9 @@ SELECT stage, measure, level, k::INT AS k, macro, micro, numerator, denominator,
 UNION ALL SELECT stage, 'first_loss', NULL, NULL, NULL, round(n / total, 4), n::DOUBLE, total::DOUBLE, total, 0, '', capacity FROM (SELECT stage, capacity, (SELECT count(*) FROM lost WHERE lost.stage = st.stage) AS n, (SELECT count(*) FROM gold) AS total FROM st WHERE loses)""")
 def run_report(spark: SparkSession, d: str) -> DataFrame:
     """Ten stages of a run over order lines, checked and aggregated."""
-    gold, candidates = evidence(spark, d, RUN_STAGES)
     stages = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(c).alias("capacity")) for s, c in RUN_STAGES.items()))
-    cases = gold.select("case_id").distinct().select("case_id", F.inline(stages))
-    return runs.report(gold, candidates, cases, LOSS_ORDER, RUN_DOCUMENT_ONLY, "source", "final")
+    cases = evidence_cases(spark, d, RUN_STAGES).withColumn("configured", stages)
+    return runs.reported(cases, tuple(RUN_STAGES), LOSS_ORDER, RUN_DOCUMENT_ONLY, "source", "final")
 
 
 #: The gates of a run: measures of the report by their names, what is asked of them, and two that no run has or can measure.
