@@ -131,3 +131,37 @@ def test_lanes_are_scored_once_for_what_is_before_and_after_fusion(spark, monkey
         made.clear()
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert sorted(made) == ["containment", "lexical_lane"]
+
+
+def test_levels_of_a_case_are_measured_with_one_shuffle_of_its_lines(spark):
+    from quern.plans import catalogue
+
+    shuffles = {}
+    for name in ("level_match", "required_level_match", "level_recall", "stage_metrics", "level_mrr", "greedy_ndcg", "level_first_loss", "case_metrics"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "evidence-" not in plan
+        shuffles[name] = sum("Exchange hashpartitioning(l_orderkey" in line for line in plan.splitlines()), plan.count("Exchange")
+    assert all(lines == 1 for lines, _ in shuffles.values())
+    assert {name for name, (_, n) in shuffles.items() if n > 1} == {"required_level_match", "stage_metrics"}  # these add up what is left of all cases
+
+
+def test_a_report_writes_what_is_counted_once(spark, monkeypatch):
+    from quern.operators import runs
+    from quern.plans.structural import run_report
+
+    made, written = [], runs.written
+    monkeypatch.setattr(runs, "written", lambda df, label: made.append((label, df)) or written(df, label))
+    rows = run_report(spark, "/root/testdata/sf0.001").collect()
+    plan = made[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert [label for label, _ in made] == ["counts"] and "Join" not in plan
+    assert len(rows) == 162
+
+
+def test_a_case_without_id_meets_no_candidate(spark):
+    from quern.operators import levels
+
+    gold = spark.createDataFrame([(None, 1, 5, None, None, None, "document"), (2, 1, 5, None, None, None, "document")], "case_id long, evidence_id long, document_id long, document_number string, article string, clause string, required_level string")
+    found = spark.createDataFrame([(None, "s", 1, 5, None, None, None), (2, "s", 1, 5, None, None, None)], "case_id long, stage string, rank int, document_id long, document_number string, article string, clause string")
+    cases = levels.judged(levels.listed_gold(gold).withColumnRenamed("case_id", "c").join(levels.listed_candidates(found).withColumnRenamed("case_id", "c2"), F.col("c").eqNullSafe(F.col("c2"))).withColumnRenamed("c", "case_id"))
+    assert {r.case_id: r.found_n for r in levels.case_bundle(None, cases, "s").collect()} == {None: 0, 2: 1}
+    assert [r.case_id for r in levels.level_matches(gold, found).collect()] == [2]
