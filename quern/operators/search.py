@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import vectors
-from quern.operators.ranking import blocks, containment, ranked, together
+from quern.operators.ranking import bounded, containment, ranked, together
 from quern.operators.structure import name_uuid
 from quern.sources.scratch import written
 
@@ -50,11 +50,15 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, revision: str, least: f
     ``queries``: query_id, embedding. ``entries``: entry_id, embedding, revision, response. Other revisions are never looked
     at; ties go to the smaller id. Vectors of null or of zeros match nothing.
     """
-    held = entries.where(F.col("revision") == revision).select("entry_id", "response", vectors.doubles(F.col("embedding")).alias("v"))
-    asked = blocks(queries.select("query_id", vectors.doubles(F.col("embedding")).alias("q")))
+    held = entries.where(F.col("revision") == revision)
+    near = vectors.closest(queries, held.withColumnRenamed("entry_id", "vec_id"), least)
+    best = ranked(near, 1, F.desc("score"), F.asc("vec_id")).select(F.col("query_id").alias("_query"), F.col("vec_id").alias("_entry"))
+    asked = queries.select("query_id", vectors.doubles(F.col("embedding")).alias("q")).join(bounded(best), F.col("query_id").eqNullSafe(F.col("_query")))
     score = F.round(vectors.cosine(F.col("q"), F.col("v")), 6)
-    near = together([held.join(part, score >= least).select("query_id", "entry_id", "response", score.alias("score")) for part in asked])
-    return ranked(near, 1, F.desc("score"), F.asc("entry_id")).select("query_id", "entry_id", "score", "response")
+    # ids may be repeated, so what they name is scored once more
+    named = held.select("entry_id", "response", vectors.doubles(F.col("embedding")).alias("v")).join(bounded(asked.select("query_id", "q", "_entry")), F.col("entry_id").eqNullSafe(F.col("_entry")))
+    told = named.select("query_id", "entry_id", "response", score.alias("score")).where(F.col("score") >= least)
+    return ranked(told, 1, F.desc("score"), F.asc("entry_id")).select("query_id", "entry_id", "score", "response")
 
 
 def cache_key(query: Column, revision: str) -> Column:

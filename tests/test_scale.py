@@ -165,3 +165,21 @@ def test_a_case_without_id_meets_no_candidate(spark):
     cases = levels.judged(levels.listed_gold(gold).withColumnRenamed("case_id", "c").join(levels.listed_candidates(found).withColumnRenamed("case_id", "c2"), F.col("c").eqNullSafe(F.col("c2"))).withColumnRenamed("c", "case_id"))
     assert {r.case_id: r.found_n for r in levels.case_bundle(None, cases, "s").collect()} == {None: 0, 2: 1}
     assert [r.case_id for r in levels.level_matches(gold, found).collect()] == [2]
+
+
+def test_a_cache_scored_by_matrices_answers_as_one_scored_by_pairs(spark, monkeypatch):
+    from quern.operators import search, vectors
+
+    monkeypatch.setattr(vectors, "HELD_SCORES", 64)
+    odd = [(900, [1.0, None], "r1"), (901, [float("nan"), 1.0], "r1"), (902, [1.0], "r1"), (903, None, "r1"), (904, [0.0, 0.0], "r1"), (None, [1.0, 5.0], "r1"), (7, [5.0, 1.0], "r1")]
+    every = [(k, [float(k % 7) - 3, float(k % 11) - 5], f"r{k % 3 % 2}") for k in range(300)]
+    for rows in (every + odd, every):
+        entries = spark.createDataFrame(rows, "entry_id long, embedding array<float>, revision string").withColumn("response", F.concat(F.lit("a "), F.to_json(F.struct("entry_id", "embedding")))).repartition(3)
+        asked = entries.where("entry_id % 13 = 0 OR entry_id > 900").select(F.col("entry_id").alias("query_id"), F.transform("embedding", lambda x: x + 0.25).alias("embedding"))
+        score = F.round(vectors.cosine(vectors.doubles(F.col("q")), vectors.doubles(F.col("embedding"))), 6)
+        pairs = entries.where("revision = 'r1'").join(asked.withColumnRenamed("embedding", "q"), score >= 0.9).select("query_id", "entry_id", score.alias("score"), "response")
+        told = lambda df: sorted(map(repr, df.collect()))
+        found = search.cache_lookup(asked, entries, "r1", 0.9)
+        assert told(found) == told(ranking.ranked(pairs, 1, F.desc("score"), F.asc("entry_id")).drop("rank"))
+    plan = vectors.closest(asked, entries.withColumnRenamed("entry_id", "vec_id"), 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
