@@ -183,3 +183,17 @@ def test_a_cache_scored_by_matrices_answers_as_one_scored_by_pairs(spark, monkey
         assert told(found) == told(ranking.ranked(pairs, 1, F.desc("score"), F.asc("entry_id")).drop("rank"))
     plan = vectors.closest(asked, entries.withColumnRenamed("entry_id", "vec_id"), 0.9)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
+def test_sparse_vectors_shuffle_no_terms_and_hold_texts_that_span_batches(spark):
+    from quern.operators import sparse
+
+    docs = spark.createDataFrame([(k % 7, " ".join(f"t{(k * j) % 13}" for j in range(k))) for k in range(1, 40)] + [(None, "a b"), (3, None)], "doc_id long, text string").repartition(2)
+    whole = sparse.vectors(docs, 20.0, F.length, most=3, lead=1)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    told = sorted(map(repr, whole.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(repr, sparse.vectors(docs, 20.0, F.length, most=3, lead=1).collect())) == told and len(told) == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
